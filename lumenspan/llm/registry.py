@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspan.llm import q_html, q_mixing, q_pii, q_quality, q_sharding
+from lumenspan.llm import q_html, q_mixing, q_pii, q_quality, q_sharding, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (q_html, q_mixing, q_pii, q_quality, q_sharding)
+MODULES = (q_html, q_mixing, q_pii, q_quality, q_sharding, q_warc)
 
 
 def queries() -> dict[str, Query]:
