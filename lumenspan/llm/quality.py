@@ -141,12 +141,6 @@ def rejected(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang")
     return out
 
 
-def assess(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with their measures, base_failed and kept; written once, as calibration reads them first."""
-    measured = materialize(with_measures(docs), "quality-measures")
-    return judge(measured, labels, **options)
-
-
 def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
     cutoffs = calibrate(measured, labels, stratum, **options)
     failed = base_failed()
@@ -154,6 +148,7 @@ def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", **optio
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, columns unchanged."""
+    """The rows of ``docs`` that no rule rejects, columns unchanged; written once, as calibration reads them first."""
     inner = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "lang", "text")
-    return assess(inner, labels, **options).where("kept").select("row_.*")
+    measured = materialize(with_measures(inner).drop("text"), "quality-measures")
+    return judge(measured, labels, **options).where("kept").select("row_.*")
