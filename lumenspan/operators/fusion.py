@@ -20,20 +20,20 @@ HALF = 15.0
 
 def grid_of(detections: DataFrame) -> DataFrame:
     """The distinct times of a stream, once for each modality."""
-    times = detections.select("stream_id", F.col("t").alias("at")).distinct()
+    times = detections.select("stream_id", F.col("t").alias("moment")).distinct()
     return times.withColumn("modality", F.explode(F.array(*[F.lit(m) for m in MODALITIES])))
 
 
 def align_strict(detections: DataFrame, width: float = 0.1) -> DataFrame:
     """Per time and modality the earliest-listed observation less than ``width`` away."""
-    pairs = band_join(grid_of(detections), detections, ["stream_id", "modality"], "at", "t", width, strict=True)
-    first = pairs.groupBy("stream_id", "at", "modality").agg(F.min(F.struct("seq", "score", "confidence")).alias("x"))
-    return first.select("stream_id", "at", "modality", "x.seq", "x.score", "x.confidence")
+    pairs = band_join(grid_of(detections), detections, ["stream_id", "modality"], "moment", "t", width, strict=True)
+    first = pairs.groupBy("stream_id", "moment", "modality").agg(F.min(F.struct("seq", "score", "confidence")).alias("x"))
+    return first.select("stream_id", "moment", "modality", "x.seq", "x.score", "x.confidence")
 
 
 def align_window(detections: DataFrame, width: float = 5.0) -> DataFrame:
     """Per time and modality the nearest observation within ``width``; the earlier-listed wins ties."""
-    return nearest(grid_of(detections), detections, ["stream_id", "modality"], ["stream_id", "at", "modality"], "at", "t", "seq", width, ["seq", "score", "confidence"])
+    return nearest(grid_of(detections), detections, ["stream_id", "modality"], ["stream_id", "moment", "modality"], "moment", "t", "seq", width, ["seq", "score", "confidence"])
 
 
 def interpolated(detections: DataFrame, most: float = 10.0) -> DataFrame:
@@ -42,7 +42,7 @@ def interpolated(detections: DataFrame, most: float = 10.0) -> DataFrame:
     Confidence is damped to 0.8; where the two are more than ``most`` apart there is no
     row; where only one side exists, both numbers are halved.
     """
-    found = neighbours(grid_of(detections).withColumnRenamed("at", "t"), detections, ["stream_id", "modality"], "t", ["score", "confidence"])
+    found = neighbours(grid_of(detections).withColumnRenamed("moment", "t"), detections, ["stream_id", "modality"], "t", ["score", "confidence"])
     a, b, t = F.col("prior"), F.col("later"), F.col("t")
     part = (t - a["t"]) / (b["t"] - a["t"])
     blend = lambda n, k: (a[n] + (b[n] - a[n]) * part) * k
@@ -50,7 +50,7 @@ def interpolated(detections: DataFrame, most: float = 10.0) -> DataFrame:
     one = F.coalesce(a, b)
     rows = found.where(F.coalesce(a["t"], b["t"]).isNotNull()).where(~both | (b["t"] - a["t"] <= most))
     return rows.select(
-        "stream_id", F.col("t").alias("at"), "modality",
+        "stream_id", F.col("t").alias("moment"), "modality",
         F.when(both, blend("score", 1.0)).otherwise(one["score"] * 0.5).alias("score"),
         F.when(both, blend("confidence", 0.8)).otherwise(one["confidence"] * 0.5).alias("confidence"),
     )
@@ -58,8 +58,8 @@ def interpolated(detections: DataFrame, most: float = 10.0) -> DataFrame:
 
 def align_interpolated(detections: DataFrame, width: float = 5.0) -> DataFrame:
     """Nearest within ``width``, and blended scores where a modality has none."""
-    exact = align_window(detections, width).select("stream_id", "at", "modality", "score", "confidence", F.lit(False).alias("blended"))
-    filled = interpolated(detections).join(exact, ["stream_id", "at", "modality"], "left_anti").withColumn("blended", F.lit(True))
+    exact = align_window(detections, width).select("stream_id", "moment", "modality", "score", "confidence", F.lit(False).alias("blended"))
+    filled = interpolated(detections).join(exact, ["stream_id", "moment", "modality"], "left_anti").withColumn("blended", F.lit(True))
     return exact.unionByName(filled)
 
 
@@ -69,7 +69,7 @@ def align_interpolated(detections: DataFrame, width: float = 5.0) -> DataFrame:
 def pivoted(aligned: DataFrame) -> DataFrame:
     """One row for each stream and time, with score and confidence columns of each modality."""
     pick = lambda m, c: F.max(F.when(F.col("modality") == m, F.col(c))).alias(f"{m}_{c}")
-    return aligned.groupBy("stream_id", "at").agg(*[pick(m, c) for m in MODALITIES for c in ("score", "confidence")])
+    return aligned.groupBy("stream_id", "moment").agg(*[pick(m, c) for m in MODALITIES for c in ("score", "confidence")])
 
 
 def _present(m: str, least: float) -> Column:
@@ -108,9 +108,9 @@ def fuse(wide: DataFrame, weights: dict[str, float] | None = None, by_confidence
     total = _sum([F.when(_present(m, least), factor(m)).otherwise(0.0) for m in CORE])
     mean = F.try_divide(_sum([F.when(_present(m, least), factor(m) * F.col(f"{m}_score")).otherwise(0.0) for m in CORE]), total)
     bonus = F.col("chat_score") * weights["chat"] * (F.col("chat_confidence") if by_confidence else F.lit(1.0))
-    raw = F.least(F.lit(1.0), mean + F.when(_present("chat", least), bonus).otherwise(0.0))
+    raw = F.when(total > 0, F.least(F.lit(1.0), mean + F.when(_present("chat", least), bonus).otherwise(0.0)))
     scored = wide.withColumn("score", penalised(raw)).withColumn("confidence", agreement(least)).where("score IS NOT NULL")
-    return scored.withColumn("start_time", F.greatest(F.col("at") - HALF, F.lit(0.0))).withColumn("end_time", F.col("at") + HALF)
+    return scored.withColumn("start_time", F.greatest(F.col("moment") - HALF, F.lit(0.0))).withColumn("end_time", F.col("moment") + HALF)
 
 
 def filter_fused(fused: DataFrame, score: float = 0.2, confidence: float = 0.3, both_core: bool = False) -> DataFrame:
@@ -125,7 +125,7 @@ def correlations(wide: DataFrame) -> DataFrame:
     for a, b in pairs:
         both = F.col(f"{a}_score").isNotNull() & F.col(f"{b}_score").isNotNull()
         x, y = F.when(both, F.col(f"{a}_score")), F.when(both, F.col(f"{b}_score"))
-        made.append(F.when(F.count(x) >= 3, F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias(f"{a}_{b}"))
+        made.append(F.when(F.count(x) >= 3, F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))).otherwise(0.0).alias(f"{a}_{b}"))
     return wide.groupBy("stream_id").agg(*made)
 
 
@@ -169,7 +169,7 @@ def bounded(candidates: DataFrame, before: Column, after: Column, most: float =
     length, middle = F.col("new_end") - F.col("new_start"), (F.col("new_end") + F.col("new_start")) / 2
     fixed = F.greatest(F.lit(shortest), F.least(F.lit(longest), length))
     off = (length < shortest) | (length > longest)
-    return moved.withColumn("half_", F.when(off, fixed / 2)).withColumn("middle_", middle).withColumn("new_start", F.coalesce(F.greatest(F.lit(0.0), F.col("middle_") - F.col("half_")), "new_start")).withColumn("new_end", F.coalesce(F.col("middle_") + F.col("half_"), "new_end")).drop("half_", "middle_")
+    return moved.withColumn("half_", F.when(off, fixed / 2)).withColumn("middle_", middle).withColumn("new_start", F.when(F.col("half_").isNotNull(), F.greatest(F.lit(0.0), F.col("middle_") - F.col("half_"))).otherwise(F.col("new_start"))).withColumn("new_end", F.coalesce(F.col("middle_") + F.col("half_"), "new_end")).drop("half_", "middle_")
 
 
 def duration_score(length: Column) -> Column:

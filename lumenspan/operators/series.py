@@ -11,8 +11,8 @@ from lumenspan.operators.temporal import band_join, fold_by
 
 def moving_average(series: DataFrame, width: float = 10.0, strength: float | None = None) -> DataFrame:
     """``smooth``: mean over half the width on both sides; with ``strength``, blended with the value."""
-    frame = Window.partitionBy("series").orderBy("t").rangeBetween(-width / 2, width / 2)
-    mean = F.avg("v").over(frame)
+    half = f"CAST({width / 2} AS DOUBLE)"
+    mean = F.expr(f"avg(v) OVER (PARTITION BY series ORDER BY t RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)")
     return series.withColumn("smooth", mean if strength is None else (1 - strength) * F.col("v") + strength * mean)
 
 
@@ -45,9 +45,9 @@ def exponential(series: DataFrame, alpha: float) -> DataFrame:
 
 def time_correlation(series: DataFrame, width: float = 30.0) -> DataFrame:
     """Per series the mean absolute correlation of value and time over the windows that start at each row."""
-    frame = Window.partitionBy("series").orderBy("t").rangeBetween(0, width)
-    local = series.select("series", F.count("*").over(frame).alias("n"), F.abs(F.corr("t", "v").over(frame)).alias("c"))
-    return local.where("n >= 3").groupBy("series").agg(F.avg(F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0))).alias("correlation"))
+    frame = f"(PARTITION BY series ORDER BY t RANGE BETWEEN CURRENT ROW AND CAST({width} AS DOUBLE) FOLLOWING)"
+    local = series.select("series", F.expr(f"count(*) OVER {frame}").alias("n"), F.abs(F.expr(f"try_divide(covar_pop(t, v) OVER {frame}, (stddev_pop(t) OVER {frame}) * (stddev_pop(v) OVER {frame}))")).alias("c"))
+    return local.where("n >= 3").groupBy("series").agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("correlation"))
 
 
 def spacing_outliers(series: DataFrame, deviations: float = 3.0, fewest: int = 10) -> DataFrame:

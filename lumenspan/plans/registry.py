@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspan.plans import q_relational
+from lumenspan.plans import q_relational, q_temporal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (q_relational,)
+MODULES = (q_relational, q_temporal)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
