@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from lumenspan.llm.common import materialize
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of words whose ids a worker remembers before it starts anew.
-REMEMBERED = 1 << 24
+#: Characters of words whose ids a worker remembers before it starts anew; some 400 MB.
+REMEMBERED = 16_000_000
+SLICE = 128  # texts encoded at a time
+#: A special token of the vocabulary, used between words.
+MARK = "<|startoftext|>"
+#: Marks that the tokenizer parts from a letter or digit before them.
+CLOSING = ".,!?;:#$%&*"
 
 
 # ---- tokens -------------------------------------------------------------------------
@@ -56,36 +62,97 @@ class WordTokenizer:
     """Ids of texts for a vocabulary that drops white space: words are encoded once and remembered.
 
     Spaces and line feeds part pieces that such a tokenizer never joins, so the ids of a
-    text are those of its parts in a row.
+    text are those of its parts in a row. New words are encoded in one string, parted by
+    a special token that no word holds. Words of lower-case letters alone come out of
+    the tokenizer's normal form and pattern as they are; for these both are left out, and
+    the words' ends are told by the vocabulary's own end marks.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.size = 0
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if self.size > REMEMBERED:
-                self.known, self.size = {}, 0
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            self.size += sum(map(len, new))
-        return b"".join(map(self.known.__getitem__, words))
+    def _parts(self, word: str) -> tuple[str, str]:
+        """A word as its lower-cased body and its closing marks, where the tokenizer parts and lowers it likewise."""
+        body = word.rstrip(CLOSING)
+        if not body or not body[-1].isalnum() or max(body) > "\u024f":
+            return word, ""
+        lower = body.lower()
+        return (lower, word[len(body) :]) if len(lower) == len(body) else (word, "")
+
+    def _encode_letters(self, words: list[str]) -> None:
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def _encode_words(self, words: list[str]) -> None:
+        self.size += sum(map(len, words))
+        letters = [w for w in words if w.isalpha() and (w.isascii() or max(w) <= "\u024f") and w == w.lower() and is_normalized("NFC", w)]
+        if letters:
+            self._encode_letters(letters)
+            chosen = set(letters)
+            words = [w for w in words if w not in chosen]
+        if not words:
+            return
+        odd = [w for w in words if MARK[:2] in w]
+        plain = [w for w in words if MARK[:2] not in w]
+        whole = self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain), *odd], add_special_tokens=False)
+        ids = np.array(whole[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(MARK))
+        raw = ids.tobytes()
+        starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+        self.known.update(zip(plain, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=bool(plain)))
+        for w, e in zip(odd, whole[1:], strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        parts = {w: self._parts(w) for w in new}
+        needed = {x for pair in parts.values() for x in pair if x}
+        self._encode_words(sorted(needed.difference(self.known)))
+        for word, (body, marks) in parts.items():
+            if word not in self.known:
+                self.known[word] = self.known.get(body, b"") + self.known.get(marks, b"")
+                self.size += len(word)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        all_ = set().union(*words)
+        if self.size > REMEMBERED:
+            self.known, self.size = {}, 0
+        if new := all_.difference(self.known):
+            self._learn(new)
+        find = self.known.__getitem__
+        return [b"".join(map(find, w)) for w in words]
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker process, so that tasks share what it remembers."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def _pieces(path: str | None, capacity: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(path or vocabulary_path())
+    tokenizer = word_tokenizer(path or vocabulary_path())
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
     step, end = 4 * capacity, np.array([END_ID], dtype="<u4").tobytes()
     for batch in batches:
         rows, out, ids = [], [], []
-        for row, text in enumerate(batch.column(1).to_pylist()):
-            whole = (tokenizer.encode(text) if text else b"") + end
+        coded = (x for at in range(0, batch.num_rows, SLICE) for x in tokenizer.encode([t or "" for t in batch.column(1).slice(at, SLICE).to_pylist()]))
+        for row, text_ids in enumerate(coded):
+            whole = text_ids + end
             for n, at in enumerate(range(0, len(whole), step)):
                 raw = whole[at : at + step]
                 length = len(raw) // 4
