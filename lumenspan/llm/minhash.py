@@ -13,10 +13,10 @@ No bucket is turned into all its pairs:
 2. Every member of a shared bucket is checked against the smallest member of its
    buckets; the confirmed links give first components.
 3. In buckets that still hold several components, members of different components are
-   compared by signature, in blocks of bounded size: the most frequent component
-   against the rest, and the rest among itself. First the most similar few of each
-   member and component are checked, and components joined; then, in what is still
-   apart, all of them.
+   compared by signature, in cells of bounded size: blocks of the most frequent
+   component against blocks of the rest, and the rest among itself. Of each cell only
+   the members that resemble another get their texts, and are checked against each
+   other on full sets; a cell returns the links that join components, not all pairs.
 
 So every pair of different components that shares a bucket is compared, while pairs
 inside a component need not be. All stages are joins and aggregations on tables in the
@@ -48,7 +48,6 @@ BANDS, ROWS, BITS = 40, 4, 4
 HASHES = BANDS * ROWS
 PERCENT = 75
 BLOCK = 1024
-FIRST = 4  # most similar members of a component that are checked in the first round
 SLICE = 256  # texts handled at a time
 
 _random = np.random.default_rng(7)
@@ -140,40 +139,88 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(partial(_confirm, percent), f"a {kind}, b {kind}")
 
 
-def _similar(fewest: int, first: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each cell, the pairs of different components with enough equal bit groups."""
+def _similar(fewest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell, the members that resemble one of another component.
+
+    A pair counts in the first band that it shares, so later bands don't repeat it.
+    """
     for batch in batches:
-        found_a, found_b, found_c, found_e = [], [], [], []
-        same = batch.column(0).to_pylist()
-        lists = batch.column(1)
+        kept: list[tuple[int, int]] = []
+        band, i, j = (batch.column(k).to_pylist() for k in (0, 2, 3))
+        lists = batch.column(4)
         bounds, members = lists.offsets.to_numpy(), lists.values
-        ids, component, side = (members.field(k).to_numpy() for k in range(3))
+        component, side = (members.field(k).to_numpy() for k in (1, 2))
         packed = np.frombuffer(b"".join(members.field(3).to_pylist()), dtype=np.uint8).reshape(-1, HASHES // 2)
+        keys = members.field(4).flatten().to_numpy().reshape(-1, BANDS)
         for cell, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             rows = np.arange(lo, hi)
-            left, right = (rows, rows) if same[cell] else (rows[side[lo:hi] == 0], rows[side[lo:hi] == 1])
+            same, before = i[cell] == j[cell], band[cell]
+            left, right = (rows, rows) if same else (rows[side[lo:hi] == 0], rows[side[lo:hi] == 1])
+            like = np.zeros(hi - lo, dtype=bool)
             for x in left:
-                others = right[right > x] if same[cell] else right
+                others = right[right > x] if same else right
                 others = others[component[others] != component[x]]
                 if not len(others):
                     continue
-                equal = _EQUAL[packed[others] ^ packed[x]].sum(axis=1, dtype=np.int64)
-                near = np.flatnonzero(equal >= fewest)
-                if first is not None and len(near) > first:
-                    # The most similar few of each component, and of each member on the other side.
-                    order = near[np.lexsort((-equal[near], component[others[near]]))]
-                    c = component[others[order]]
-                    nth = np.arange(len(c)) - np.maximum.accumulate(np.where(np.concatenate(([True], c[1:] != c[:-1])), np.arange(len(c)), 0))
-                    near = order[nth < first]
-                found_a += [ids[x]] * len(near)
-                found_b += ids[others[near]].tolist()
-                found_c += component[others[near]].tolist()
-                found_e += equal[near].tolist()
-        yield pa.RecordBatch.from_pydict({"x": pa.array(found_a, members.field(0).type), "y": pa.array(found_b, members.field(0).type), "c": pa.array(found_c, members.field(1).type), "equal": pa.array(found_e, pa.int64())})
-
-
-def apart_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, first: int | None, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and have similar signatures.
+                others = others[_EQUAL[packed[others] ^ packed[x]].sum(axis=1, dtype=np.int64) >= fewest]
+                others = others[~(keys[others, :before] == keys[x, :before]).any(axis=1)]
+                if len(others):
+                    like[others - lo] = like[x - lo] = True
+            kept += [(cell, r) for r in rows[like]]
+        cells, rows = pa.array([c for c, _ in kept], pa.int64()), pa.array([r for _, r in kept], pa.int64())
+        columns = [batch.column(k).take(cells) for k in range(4)] + [members.field(k).take(rows) for k in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["band", "key", "i", "j", "id", "component", "side"])
+
+
+def _link_cell(percent: int, same: bool, ids: list, component: list, side: list, sets: list[np.ndarray]) -> Iterator[tuple]:
+    """Links between members of different components, but none within what earlier ones have joined."""
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    number = {c: n for n, c in enumerate(dict.fromkeys(component))}
+    joined = np.array([number[c] for c in component])
+    sides = np.array(side)
+    marks = np.zeros(int(codes.max()) + 1, dtype=bool)
+    for x in range(len(ids)) if same else np.flatnonzero(sides == 0):
+        others = joined != joined[x]
+        if not same:
+            others &= sides == 1
+        if not others.any():
+            continue
+        own = codes[starts[x] : starts[x] + sizes[x]]
+        marks[own] = True
+        common = np.add.reduceat(marks[codes], starts, dtype=np.int64)
+        marks[own] = False
+        for y in np.flatnonzero(others & (100 * common >= percent * (sizes + sizes[x] - common))):
+            if joined[y] != joined[x]:
+                joined[joined == joined[y]] = joined[x]
+                yield ids[x], ids[y]
+
+
+def _link_cells(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell; a cell is held whole, and has at most some 2 * BLOCK rows."""
+    held: list[dict] = []
+
+    def linked() -> pa.RecordBatch:
+        sets = shingle_sets([r["text"] for r in held])
+        same = held[0]["i"] == held[0]["j"]
+        pairs = list(_link_cell(percent, same, *([r[k] for r in held] for k in ("id", "component", "side")), sets))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], id_type) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        id_type = batch.schema.field("id").type
+        for at in range(0, batch.num_rows, SLICE):
+            for row in batch.slice(at, SLICE).to_pylist():
+                if held and any(row[k] != held[0][k] for k in ("band", "key", "i", "j")):
+                    yield linked()
+                    held = []
+                held.append(row)
+    if held:
+        yield linked()
+
+
+def apart_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; enough of them to join what belongs together.
 
     members: (band, key, id); labels: (id, component), for linked ids.
     """
@@ -193,19 +240,23 @@ def apart_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, firs
     for_rest = F.transform(upto("rest_blocks"), lambda k: cell(F.least(block, k), F.greatest(block, k), F.when(block <= k, 0).otherwise(1)))
     cells = F.explode(F.when(F.col("is_main"), against).otherwise(F.concat(for_main, for_rest)))
     dealt = dealt.select("band", "key", "id", "component", cells.alias("cell"))
-    signed = dealt.join(sketches.select(F.col("doc_id").alias("id"), "signature"), "id")
-    grouped = signed.groupBy("band", "key", "cell.i", "cell.j").agg(F.collect_list(F.struct("id", "component", "cell.side", "signature")).alias("members"))
+    signed = dealt.join(sketches.select(F.col("doc_id").alias("id"), "signature", "bands"), "id")
+    keys = [F.col("band"), F.col("key"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j")]
+    grouped = signed.groupBy(*keys).agg(F.collect_list(F.struct("id", "component", "cell.side", "signature", "bands")).alias("members"))
     id_type = members.schema["id"].dataType.simpleString()
-    schema = f"x {id_type}, y {id_type}, c {id_type}, equal long"
-    found = grouped.select((F.col("i") == F.col("j")).alias("same"), "members").mapInArrow(partial(_similar, fewest_equal(percent), first), schema)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = f"band int, key long, i int, j int, id {id_type}, component {id_type}, side int"
+    alike = materialize(grouped.select("band", "key", "i", "j", "members").mapInArrow(partial(_similar, fewest_equal(percent)), rows), "minhash-alike")
+    order = ["band", "key", "i", "j"]
+    with_text = alike.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select(*order, "id", "component", "side", "text")
+    return with_text.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_link_cells, percent), f"a {id_type}, b {id_type}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``."""
     sketches = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, _sketch_schema(docs)), "minhash-sketches")
     named = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
+    # Written first, so that the join on a hot set is dealt anew and Spark can split it.
+    classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "minhash-classes")
     rows = materialize(sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "minhash-rows")
     first_of_class = rows.where("doc_id = class_id").select("doc_id").distinct()
     chosen = named.join(first_of_class, "doc_id", "left_semi").select("doc_id", "bands", "signature")
@@ -214,16 +265,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = materialize(banded.join(buckets, ["band", "key"]).select("band", "key", "id", "center"), "minhash-members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "minhash-texts")
-    signed = materialize(sketches.select("doc_id", "signature").join(ids, "doc_id", "left_semi"), "minhash-signatures")
+    signed = materialize(sketches.select("doc_id", "signature", "bands").join(ids, "doc_id", "left_semi"), "minhash-signatures")
 
     to_center = members.where("id <> center").groupBy("id").agg(F.min("center").alias("b")).select(F.col("id").alias("a"), "b")
     links = materialize(confirmed(to_center, texts, percent), "minhash-links")
     labels = materialize(components(links), "minhash-labels")
-    for first in (FIRST, None):
-        more = materialize(confirmed(materialize(apart_pairs(members, labels, signed, first, percent), "minhash-pairs"), texts, percent), "minhash-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = materialize(components(links), "minhash-labels")
+    more = materialize(apart_links(members, labels, signed, texts, percent), "minhash-links")
+    if not more.isEmpty():
+        labels = materialize(components(links.union(more)), "minhash-labels")
     joined = rows.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id").alias("component_id")
     return joined.select("doc_id", "n_shingles", component, F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
