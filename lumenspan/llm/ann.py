@@ -90,6 +90,9 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def _search(k: int, bound: float, turn: np.ndarray, mean: np.ndarray, left: pa.Table, right: pa.Table) -> pa.Table:
     dim = len(mean)
+    kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], kind)})
     ids = left.column("vec_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
@@ -125,7 +128,6 @@ def _search(k: int, bound: float, turn: np.ndarray, mean: np.ndarray, left: pa.T
             best = np.lexsort((ids[near], -scores))[:k]
             out_q.append(own)
             out_rows.append([{"vec_id": int(ids[near[j]]), "score": float(scores[j])} for j in best])
-    kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
     return pa.table({"query_id": pa.array(out_q, pa.int64()), "found": pa.array(out_rows, kind)})
 
 
