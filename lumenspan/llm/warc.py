@@ -66,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}"]
     head += [f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {_clean(url)}"] * (url is not None)
+    head += [] if url is None else [f"WARC-Target-URI: {_clean(url)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"] * (refers_to is not None)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
