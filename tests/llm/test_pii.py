@@ -1,0 +1,83 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lumenspan.llm import pii, q_pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def valid(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    return {"email": True, "ip": all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in match.split(".")) if kind == "ip" else None, "card": 14 <= len(digits) <= 19 and luhn(digits or "0"), "phone": 10 <= len(digits) <= 15}[kind]
+
+
+def brute(text):
+    found = [(m.start(), n, kind, m.end()) for n, (kind, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text or "") if valid(kind, m[0])]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+
+
+TEXTS = [
+    None, "", "nothing here", "mail a.b+c@mail.example.com or a@b.c@d.e and x@y", "é😀 a@b.co", "ip 1.2.3.4 and 1.2.3.4.5.6.7.8 and 300.1.1.1 and 0001.002.03.255",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112 and 4111111111111111", "call +1 (603) 555-8791 or +44 20 7946 0958 x", "+1 (843) 555-7672 170.106.47.218 x", "1.1.1.1@2.com _x@d.e a@b.com_x@d.e",
+    "a@" + "b.c" * 50, "x" * 30_000 + "@" + "y.z" * 9_000, "1" * 20_000 + "." + "2.3.4", "1-" * 20_000 + "1", "+1" + " " * 5_000, "+1+2+3 (4)5 6 7 8 9 0 1 2 3", "a.b.c@d", "ａ@b.c ٣.٣.٣.٣",
+]
+
+
+@pytest.fixture(scope="module")
+def scorer(spark):
+    return pii.fit_scorer(spark)
+
+
+def test_base_spans_equal_brute_force(spark, docs, scorer):
+    rows = pii.with_spans(docs(*enumerate(TEXTS)), scorer).select("doc_id", pii.written(F.col("base_")).alias("b"), pii.written(F.col("spans_")).alias("s")).collect()
+    for r in rows:
+        assert r["b"] == brute(TEXTS[r["doc_id"]]), r["doc_id"]
+        assert set(r["b"].split(",")) <= set(r["s"].split(",")) or not r["b"]
+
+
+def test_method_finds_what_the_patterns_miss_and_leaves_the_rest(spark, docs, scorer):
+    texts = ["des. Des +1 (826) 555-4081 190.137.223.204 du", "contact jane.07 [at] mail [dot] example [dot] com now", "order 1234567890123456 of version 3.4.5.600", "meet at noon.", "isbn 9781234567890 here"]
+    spans = [r["s"] for r in pii.with_spans(docs(*enumerate(texts)), scorer).select("doc_id", pii.written(F.col("spans_")).alias("s")).orderBy("doc_id").collect()]
+    assert "phone:9:26" in spans[0] and "ip" in spans[0]
+    assert spans[1].startswith("email:8:")
+    assert spans[2:] == ["", "", ""]
+
+
+def test_held_out_accuracy(spark, scorer):
+    examples = spark.createDataFrame(pii.training_examples(600, seed=99), "text string, secret string, label int")
+    rows = examples.withColumn("doc_id", F.monotonically_increasing_id()).withColumn("secret_at", F.instr("text", F.col("secret")) - 1)
+    near = lambda x: (x["s"] >= F.col("secret_at") - 1) & (x["s"] <= F.col("secret_at") + F.length("secret"))
+    added = F.array_except("spans_", "base_")
+    found = pii.with_spans(rows, scorer).select("label", F.exists("spans_", near).alias("hit"), F.exists(added, near).alias("added")).collect()
+    caught = sum(r["hit"] for r in found if r["label"]) / sum(r["label"] for r in found)
+    false = sum(r["added"] for r in found if not r["label"]) / sum(1 - r["label"] for r in found)
+    assert caught > 0.85 and false < 0.05  # what the base patterns take is theirs
+
+
+def test_redaction_and_clashing_columns(spark, docs, scorer):
+    df = docs((1, "write a@b.co, ip 1.2.3.4!"), (2, None), (3, "clean"), (3, "clean"), extra=True)
+    out = pii.redact(df, scorer)
+    assert out.columns == df.columns
+    assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["write [EMAIL], ip [IP]!", None, "clean", "clean"]
+    assert pii.redact(df.limit(0), scorer).count() == 0
+
+
+def test_query_digest(spark):
+    rows = q_pii.query(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in rows:
+        spans = brute(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        assert sum(r[f"n_{k}"] for k in pii.KINDS) == len([x for x in spans.split(",") if x])
