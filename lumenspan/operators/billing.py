@@ -45,7 +45,7 @@ def trends(usage: DataFrame, granularity: str = "day") -> DataFrame:
     """Quantity of each main type and total cost by day, week or month."""
     kind = F.col("usage_type")
     total = lambda name: F.round(F.sum(F.when(kind == name, F.col("quantity")).otherwise(0.0)), 4).alias(name)
-    return usage.groupBy(F.date_trunc(granularity, F.col("period_start")).cast("date").alias("period")).agg(total("stream_processing"), total("api_call"), total("webhook_delivery"), F.round(F.sum("total_cost"), 4).alias("cost"))
+    return usage.groupBy(F.date_trunc(granularity, F.col("period_start")).cast("timestamp_ntz").alias("period")).agg(total("stream_processing"), total("api_call"), total("webhook_delivery"), F.round(F.sum("total_cost"), 4).alias("cost"))
 
 
 def invoice(usage: DataFrame) -> DataFrame:
