@@ -123,7 +123,7 @@ _TOX = " + ".join(f"len(regexp_extract_all(regexp_replace(lower(message), '[^\\x
 _CAPS = "COALESCE(length(regexp_replace(message, '[^A-Z]', '', 'g')) / NULLIF(length(regexp_replace(message, '[^A-Za-z]', '', 'g')), 0), 0)"
 
 
-@query("h17_toxicity", f"SELECT event_id, ROUND(LEAST(1, 0.2 * ({_TOX}) + CASE WHEN {_CAPS} > 0.7 THEN 0.1 ELSE 0 END + CASE WHEN length(regexp_replace(message, '[^!?]', '', 'g')) / GREATEST(length(message), 1) > 0.2 THEN 0.1 ELSE 0 END), 6) AS toxicity FROM chat_messages")
+@query("h17_toxicity", f"SELECT event_id, ROUND(CAST(LEAST(1, 0.2 * ({_TOX}) + CASE WHEN {_CAPS} > 0.7 THEN 0.1 ELSE 0 END + CASE WHEN length(regexp_replace(message, '[^!?]', '', 'g')) / GREATEST(length(message), 1) > 0.2 THEN 0.1 ELSE 0 END) AS DOUBLE), 6) AS toxicity FROM chat_messages")
 def _(s, d):
     return T.chat_messages(s, d).select("event_id", F.round(X.toxicity(F.col("message")), 6).alias("toxicity"))
 

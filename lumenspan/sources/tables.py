@@ -191,8 +191,8 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of ten channels; their texts are the openings of documents."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("message"))
+    """Messages of ten channels; their texts are whole documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
     n_docs = docs.count()
     events = _events(spark, sf_dir).withColumn("doc_id", F.col("event_id") % n_docs)
     return events.join(docs, "doc_id").select(
