@@ -2,13 +2,21 @@
 
 Every text gets a fixed set of measures. Two base rules always reject. The other
 rules reject a document whose measure lies above a cutoff that is chosen per stratum
-(language) on labelled documents: of a fixed grid, walked from lenient to strict, the
-last cutoff whose false rejection rate among good documents is proved, by an exact
-binomial tail, to be at most ``alpha`` divided by the number of rules. The test level
-is ``delta`` divided by strata times rules (Bonferroni); within one walk no further
-correction is needed, for it stops at the first failure. With probability 1 - delta
-no stratum then loses more than ``alpha`` of its good documents. Without enough
-labels nothing can be proved, and the rule rejects nothing there.
+(language) on labelled documents. All rules of a stratum are certified together, as
+one score: a chain of joint cutoffs is walked from lenient to strict, one rule after
+another, and its last point is taken at which the false rejection rate of all rules
+together among good documents is proved, by an exact binomial tail, to be at most
+``alpha``. Within one chain no correction is needed, for it stops at the first
+failure. The order of the rules comes from the documents labelled bad alone, which
+the test never counts: first the rule that catches most of them, then always the one
+that catches most of the rest. Lest a rule that good documents break too should block
+the others, there is one more chain for each other rule, which begins with that rule.
+The first chain is tested at ``MAIN`` times ``delta`` by the number of strata, the
+other chains share the rest of it (Bonferroni over strata and chains), and the proved
+point that catches most bad documents is used. With probability 1 - delta no stratum
+then loses more than ``alpha`` of its good documents. Without enough labels nothing
+can be proved, and the rules reject nothing there; ``fewest_labels`` says how many good
+documents a stratum needs.
 
 Defined results: a null text has no words and fails the base rules; a null stratum is
 a stratum; several labels of one document count as good if one of them is; null
@@ -19,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.common import GAP, SPACES, materialize
@@ -29,6 +37,8 @@ REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.01
 DELTA = 0.05
+#: The first chain's part of a stratum's test level.
+MAIN = 0.8
 #: Measure and cutoffs from lenient to strict; a document is rejected above the cutoff.
 RULES: dict[str, tuple[float, ...]] = {
     "symbol_ratio": (0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01),
@@ -105,29 +115,63 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(map(math.exp, logs)))
 
 
+def fewest_labels(n_strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good documents that a stratum needs for any proof, if none of them is rejected."""
+    return math.ceil(math.log(MAIN * delta / n_strata) / math.log1p(-alpha))
+
+
+def chains(cells: list[tuple[tuple[int, ...], int, int]]) -> list[list[int]]:
+    """The orders in which the rules (by index) are tightened, the first by the bad documents caught."""
+    order: list[int] = []
+    rest = [(levels, bad) for levels, _, bad in cells if bad]
+    while len(order) < len(RULES):
+        best = max((r for r in range(len(RULES)) if r not in order), key=lambda r: sum(bad for levels, bad in rest if levels[r]))
+        order.append(best)
+        rest = [(levels, bad) for levels, bad in rest if not levels[best]]
+    return [order] + [[r, *(o for o in order if o != r)] for r in order[1:]]
+
+
+def certified(cells: list[tuple[tuple[int, ...], int, int]], alpha: float, level: float) -> dict[str, float]:
+    """A stratum's cutoffs. A cell is (how many cutoffs of each rule the measure exceeds, good documents, bad ones)."""
+    n = sum(good for _, good, _ in cells)
+    grids = list(RULES.values())
+    most, found = -1, [0] * len(grids)
+    for nth, order in enumerate(chains(cells)):
+        part = level * (MAIN if nth == 0 else (1 - MAIN) / (len(grids) - 1))
+        used, good, bad, left = [0] * len(grids), 0, 0, cells
+        for rule, step in ((r, i + 1) for r in order for i in range(len(grids[r]))):
+            # The cutoff numbered step is exceeded if at most the step - 1 more lenient ones are not.
+            hit = [c for c in left if c[0][rule] + step > len(grids[rule])]
+            good += sum(c[1] for c in hit)
+            if binomial_tail(good, n, alpha) > part:
+                break
+            bad += sum(c[2] for c in hit)
+            left = [c for c in left if c[0][rule] + step <= len(grids[rule])]
+            used[rule] = step
+        if any(used) and bad > most:
+            most, found = bad, used
+    return {name: cuts[step - 1] for (name, cuts), step in zip(RULES.items(), found, strict=True) if step}
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
     """Certified cutoffs: stratum -> rule -> cutoff.
 
-    The driver gets one row of counts for each stratum that has enough good documents
-    for any proof; there are at most as many as labels divided by that number.
+    The driver gets counts by the cutoffs exceeded, of the strata that have enough good
+    documents for any proof: for each of them at most one row for each point of the
+    grid (30,000 to 40,000), and never more rows than labelled documents.
     """
-    good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("best_")).where("best_ = 1").select("doc_id")
-    held = measured.join(good, "doc_id", "left_semi").where(~base_failed())
-    per_rule = alpha / len(RULES)
-    fewest = math.ceil(math.log(delta / len(RULES)) / math.log1p(-per_rule))
-    above = [F.count(F.when(measure(r) > c, 1)).alias(f"{r}:{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]
-    strata = held.groupBy(F.col(stratum).alias("stratum_")).agg(F.count("*").alias("n_"), *above)
-    n_strata = strata.count()
-    found: dict[str | None, dict[str, float]] = {}
-    for row in strata.where(F.col("n_") >= fewest).collect():
-        cutoffs = {}
-        for rule, cuts in RULES.items():
-            for i, cut in enumerate(cuts):
-                if binomial_tail(row[f"{rule}:{i}"], row["n_"], per_rule) > delta / (n_strata * len(RULES)):
-                    break
-                cutoffs[rule] = cut
-        found[row["stratum_"]] = cutoffs
-    return found
+    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("best_"))
+    exceeded = [sum((F.when(measure(r) > c, 1).otherwise(0) for c in cuts), F.lit(0)).alias(r) for r, cuts in RULES.items()]
+    held = measured.join(known, "doc_id").where(~base_failed()).select(F.col(stratum).alias("stratum_"), (F.col("best_") == 1).alias("good_"), *exceeded)
+    cells = held.groupBy("stratum_", *RULES).agg(F.count(F.when(F.col("good_"), 1)).alias("n_good_"), F.count(F.when(~F.col("good_"), 1)).alias("n_bad_"))
+    n_strata = cells.where("n_good_ > 0").select("stratum_").distinct().count()
+    if not n_strata:
+        return {}
+    by_stratum: dict[str | None, list[tuple[tuple[int, ...], int, int]]] = {}
+    totals = cells.withColumn("n_", F.sum("n_good_").over(Window.partitionBy("stratum_")))
+    for row in totals.where(F.col("n_") >= fewest_labels(n_strata, alpha, delta)).collect():
+        by_stratum.setdefault(row["stratum_"], []).append((tuple(row[r] for r in RULES), row["n_good_"], row["n_bad_"]))
+    return {name: certified(rows, alpha, delta / n_strata) for name, rows in by_stratum.items()}
 
 
 def rejected(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> Column:
