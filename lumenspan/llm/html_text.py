@@ -5,7 +5,9 @@ lines are summed over a sliding window. Where the sums surge from nothing a text
 begins, where they dive to nothing it ends; what lies between is kept. Parts that a
 page marks as something else (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are stripped with their content and leave a
-gap of empty lines as wide as the window, so that the sums dive there. If a page marks
+gap of empty lines as wide as the window, so that the sums dive there. A class or id
+marks such a part only if it is a known name, alone or beside neutral words, and not
+if the element holds most of the text of the page, or of its article and main parts. If a page marks
 an article or main part, only lines inside it count. Of several blocks, those whose
 highest sum reaches a share of the page's highest are kept; a line made of links only
 counts as empty.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,45 +45,97 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Start tags that end an open element of these names.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - {"br", "option", "li", "td", "th", "tr", "dd", "dt", "caption", "tbody", "tfoot", "thead"}
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|copyright|disqus|footer|foot|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
-    r"overlay|pagination|pager|popup|promo\w*|recommend\w*|related|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe|signup|login|toolbar|widgets?|skip-?link|tags?)(?:$|[\s_-])",
+MARK = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|copyright|disqus|footer|foot|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
+    r"overlay|pagination|pager|popup|promo\w*|recommend\w*|related|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe|signup|login|toolbar|widgets?|skiplink|tags?|\d+",
     re.I,
 )
+#: Words that may stand beside such a name in a class or id; any other word makes it the name of something else.
+BESIDE = {
+    "a", "area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "center", "col", "column", "container", "content", "entry", "form", "global",
+    "group", "holder", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "mobile", "outer", "page", "panel", "post", "posts", "primary", "right",
+    "row", "secondary", "section", "site", "skip", "slot", "sticky", "stories", "sub", "text", "thread", "top", "unit", "wrap", "wrapper",
+}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 SPACE = re.compile(r"\s+")
 
 
+def marks_of(names: str) -> set[str]:
+    """The aside names among the classes and ids: whole ones, or beside none but neutral words."""
+    found: set[str] = set()
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        marks = {w for w in words if MARK.fullmatch(w) and not w.isdigit()}
+        # "tag-news" tells a subject, "post-tags" a list of them.
+        if marks and all(w in BESIDE or MARK.fullmatch(w) for w in words):
+            found |= marks
+    return found
+
+
+class Line(NamedTuple):
+    text: str
+    plain: int  # letters outside links
+    main: bool  # in a marked main part
+    asides: tuple[int, ...] = ()  # open elements that are asides by name
+    held: int = 0  # how many of those hold the innermost main part
+    gap: int = -1  # the named aside that a gap belongs to
+
+
 class Lines(HTMLParser):
-    """Collects the lines of a page: text, letters outside links, and whether in a marked main part."""
+    """Collects the lines of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # name, left out, main part
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, left out, main part, named aside
         self.out = self.main = self.links = 0
+        self.asides: list[int] = []
+        self.named: list[bool] = []  # of each named aside, whether it is one of reader comments
+        self.mains: list[int] = []
         self.parts: list[str] = []
         self.plain = 0
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[Line] = []
+
+    def line(self, text: str, plain: int, gap: int = -1) -> Line:
+        return Line(text, plain, self.main > 0, tuple(self.asides), self.mains[-1] if self.mains else 0, gap)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.plain, self.main > 0))
+            self.lines.append(self.line(text, self.plain))
         self.parts, self.plain = [], 0
 
-    def gap(self) -> None:
-        self.lines.extend([("", 0, False)] * WINDOW)
+    def gap(self, aside: int = -1) -> None:
+        self.lines.extend([self.line("", 0, aside)] * WINDOW)
 
     def pop(self) -> None:
-        name, left_out, main = self.stack.pop()
-        if name in BLOCKS or left_out or main:
+        name, left_out, main, aside = self.stack.pop()
+        if name in BLOCKS or left_out or main or aside:
             self.flush()
         self.out -= left_out
         self.main -= main
+        if main:
+            self.mains.pop()
         self.links -= name == "a"
+        if aside:
+            nth = self.asides.pop()
+            if not self.out:
+                self.gap(nth)
         if left_out and not self.out:
             self.gap()
 
+    def whole(self) -> list[Line]:
+        """The lines without the asides by name; such an element stays if it holds most of the main parts' text or of the page's, unless it holds reader comments."""
+        total = sum(x.plain for x in self.lines)
+        total_main = sum(x.plain for x in self.lines if x.main)
+        inside, main_inside = [0] * len(self.named), [0] * len(self.named)
+        for x in self.lines:
+            for nth, aside in enumerate(x.asides):
+                inside[aside] += x.plain
+                main_inside[aside] += x.plain if nth < x.held else 0
+        stays = [not comments and (0 < total_main < 2 * m or 2 * i > total) for i, m, comments in zip(inside, main_inside, self.named, strict=True)]
+        return [x for x in self.lines if all(stays[a] for a in x.asides) and not (x.gap >= 0 and stays[x.gap])]
+
     def close_to(self, names: set[str], stop: set[str]) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in names:
@@ -103,15 +158,24 @@ class Lines(HTMLParser):
         marks = f"{named.get('class') or ''} {named.get('id') or ''}"
         main = tag in ("article", "main") or (named.get("role") or "").lower() in ("main", "article")
         left_out = tag in SILENT or (tag in ASIDE and not (tag == "header" and self.main)) or "hidden" in named or (named.get("aria-hidden") or "") == "true"
-        left_out = left_out or (tag not in ("html", "body", "article", "main") and (bool(MARKS.search(marks)) or (named.get("role") or "").lower() in ROLES))
+        left_out = left_out or (tag not in ("html", "body", "article", "main") and (named.get("role") or "").lower() in ROLES)
         left_out = left_out or bool(re.search(r"display\s*:\s*none", named.get("style") or "", re.I))
         # An article inside a list of reader comments is left out with it; one that is a comment itself by its name too.
         if main and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", marks, re.I):
             left_out, main = True, False
+        names = set() if left_out or tag in ("html", "body", "article", "main") else marks_of(marks)
         if left_out and not self.out:
             self.flush()
             self.gap()
-        self.stack.append((tag, left_out, main))
+        if names:
+            self.flush()
+            if not self.out:
+                self.gap(len(self.named))
+            self.asides.append(len(self.named))
+            self.named.append(bool(names & COMMENTS))
+        if main:
+            self.mains.append(len(self.asides))
+        self.stack.append((tag, left_out, main, bool(names)))
         self.out += left_out
         self.main += main
         self.links += tag == "a"
@@ -135,15 +199,15 @@ class Lines(HTMLParser):
                 self.plain += len(data.strip())
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool]]:
-    """The lines of a page as (text, letters outside links, in a marked main part)."""
+def page_lines(html: str) -> list[Line]:
+    """The lines of a page, without those of its asides."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     while parser.stack:
         parser.pop()
     parser.flush()
-    return parser.lines
+    return parser.whole()
 
 
 def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> str:
@@ -151,8 +215,8 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     if not html:
         return ""
     lines = page_lines(html)
-    marked = any(main and text for text, _, main in lines)
-    sizes = np.array([(len(text) if main else 0) if marked else plain for text, plain, main in lines], dtype=np.int64)
+    marked = any(x.main and x.text for x in lines)
+    sizes = np.array([(len(x.text) if x.main else 0) if marked else x.plain for x in lines], dtype=np.int64)
     if not sizes.any():
         return ""
     # sums[i]: letters of lines i to i + window - 1.
@@ -164,7 +228,7 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     for a, b in zip(surges, dives, strict=True):
         if sums[a : b + 1].max() >= least:
             # The first sum above nothing already looks window - 1 lines ahead.
-            kept += [text for (text, _, _), size in zip(lines[a : b + 1], sizes[a : b + 1], strict=True) if size]
+            kept += [x.text for x, size in zip(lines[a : b + 1], sizes[a : b + 1], strict=True) if size]
     return " ".join(kept)
 
 

@@ -44,3 +44,12 @@ def test_nulls_broken_markup_and_long_pages(spark):
     assert found[1] == found[2] == "" and found[4] == "plain words only"
     assert found[5] == " ".join(["word"] * 50_000) and found[6] == "deep" and found[7] == "a &am"
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_wrappers_named_after_asides_keep_their_article():
+    for attributes in ('class="content no-sidebar"', 'class="layout with-sidebar"', 'class="post tag-news"', 'id="page" class="has-header"', 'class="sidebar"'):
+        body = f"<p>{LONG}</p><section id='side-effects'><p>{LONG}</p></section>"
+        for page in (f"<div {attributes}><article>{body}</article></div>", f"<div {attributes}>{body}</div><div class='site-footer'>Imprint</div>"):
+            assert html_text.main_text(f"<body>{page}</body>") == f"{LONG}{LONG}".strip(), attributes
+    page = f"<body><div class='no-sidebar'><article><p>{LONG}</p></article></div><div class='related-posts'><article>{LONG}</article></div><div class='post-tags'>News</div></body>"
+    assert html_text.main_text(page) == LONG.strip()
