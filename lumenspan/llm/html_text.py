@@ -9,8 +9,10 @@ gap of empty lines as wide as the window, so that the sums dive there. A class o
 marks such a part only if it is a known name, alone or beside neutral words, and not
 if the element holds most of the text of the page, or of its article and main parts. If a page marks
 an article or main part, only lines inside it count. Of several blocks, those whose
-highest sum reaches a share of the page's highest are kept; a line made of links only
-counts as empty.
+highest sum reaches a share of the page's highest are kept, and with them the lower
+blocks of the same text: those in the same box, those beyond an advert or the like in
+a box beside it, and those between kept ones. A line made of links only counts as
+empty in the sums, but is kept between kept lines.
 
 Defined results: a null or empty page has an empty text; unclosed elements end with
 their parent; unfinished references and tags at the end of a page are kept as text or
@@ -56,7 +58,11 @@ BESIDE = {
     "group", "holder", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "mobile", "outer", "page", "panel", "post", "posts", "primary", "right",
     "row", "secondary", "section", "site", "skip", "slot", "sticky", "stories", "sub", "text", "thread", "top", "unit", "wrap", "wrapper",
 }
+#: Elements whose own text belongs together.
+BOXES = {"div", "section", "article", "main", "td", "th", "center"}
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond"}
+#: Parts of the page's frame; other asides (adverts, scripts, forms) may stand within a text.
+FRAME = {"nav", "header", "footer", "menu", "navbar", "navigation", "foot", "masthead", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "toolbar", "banner", "contentinfo", "menubar"} | COMMENTS
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 SPACE = re.compile(r"\s+")
 
@@ -80,6 +86,9 @@ class Line(NamedTuple):
     asides: tuple[int, ...] = ()  # open elements that are asides by name
     held: int = 0  # how many of those hold the innermost main part
     gap: int = -1  # the named aside that a gap belongs to
+    home: int = 0  # the outermost main part, else the innermost box; 0 is the page
+    parent: int = 0  # the box around that one
+    wall: bool = False  # a gap of the page's frame
 
 
 class Lines(HTMLParser):
@@ -87,17 +96,20 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, left out, main part, named aside
+        self.stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, left out, main part, named aside, box, part of the frame
         self.out = self.main = self.links = 0
         self.asides: list[int] = []
         self.named: list[bool] = []  # of each named aside, whether it is one of reader comments
         self.mains: list[int] = []
+        self.boxes = [0, 0]
+        self.n_boxes = self.outermost = 0
         self.parts: list[str] = []
         self.plain = 0
         self.lines: list[Line] = []
 
-    def line(self, text: str, plain: int, gap: int = -1) -> Line:
-        return Line(text, plain, self.main > 0, tuple(self.asides), self.mains[-1] if self.mains else 0, gap)
+    def line(self, text: str, plain: int, gap: int = -1, wall: bool = False) -> Line:
+        at = self.outermost if self.main else len(self.boxes) - 1
+        return Line(text, plain, self.main > 0, tuple(self.asides), self.mains[-1] if self.mains else 0, gap, self.boxes[at], self.boxes[at - 1], wall)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -105,24 +117,26 @@ class Lines(HTMLParser):
             self.lines.append(self.line(text, self.plain))
         self.parts, self.plain = [], 0
 
-    def gap(self, aside: int = -1) -> None:
-        self.lines.extend([self.line("", 0, aside)] * WINDOW)
+    def gap(self, aside: int, wall: bool) -> None:
+        self.lines.extend([self.line("", 0, aside, wall)] * WINDOW)
 
     def pop(self) -> None:
-        name, left_out, main, aside = self.stack.pop()
+        name, left_out, main, aside, box, wall = self.stack.pop()
         if name in BLOCKS or left_out or main or aside:
             self.flush()
         self.out -= left_out
         self.main -= main
         if main:
             self.mains.pop()
+        if box:
+            self.boxes.pop()
         self.links -= name == "a"
         if aside:
             nth = self.asides.pop()
             if not self.out:
-                self.gap(nth)
+                self.gap(nth, wall)
         if left_out and not self.out:
-            self.gap()
+            self.gap(-1, wall)
 
     def whole(self) -> list[Line]:
         """The lines without the asides by name; such an element stays if it holds most of the main parts' text or of the page's, unless it holds reader comments."""
@@ -164,18 +178,26 @@ class Lines(HTMLParser):
         if main and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", marks, re.I):
             left_out, main = True, False
         names = set() if left_out or tag in ("html", "body", "article", "main") else marks_of(marks)
+        role = (named.get("role") or "").lower()
+        wall = not FRAME.isdisjoint({tag, role, *names}) or (left_out and not FRAME.isdisjoint(marks_of(marks)))
+        box = tag in BOXES or main
         if left_out and not self.out:
             self.flush()
-            self.gap()
+            self.gap(-1, wall)
         if names:
             self.flush()
             if not self.out:
-                self.gap(len(self.named))
+                self.gap(len(self.named), wall)
             self.asides.append(len(self.named))
             self.named.append(bool(names & COMMENTS))
         if main:
             self.mains.append(len(self.asides))
-        self.stack.append((tag, left_out, main, bool(names)))
+            if not self.main:
+                self.outermost = len(self.boxes)
+        if box:
+            self.n_boxes += 1
+            self.boxes.append(self.n_boxes)
+        self.stack.append((tag, left_out, main, bool(names), box, wall))
         self.out += left_out
         self.main += main
         self.links += tag == "a"
@@ -210,13 +232,46 @@ def page_lines(html: str) -> list[Line]:
     return parser.whole()
 
 
+def homes_of(line: Line) -> set[tuple[str, int]]:
+    """What a line shares with the other lines of its text; main parts side by side belong together."""
+    return {("in", line.home), ("beside", line.parent)} if line.main else {("in", line.home)}
+
+
+def joined(lines: list[Line], one: int, other: int) -> bool:
+    """Whether nothing but asides within a text lie between two lines of one box, or of neighbouring boxes."""
+    a, b = lines[one], lines[other]
+    close = a.home == b.home or bool(({a.home, a.parent} & {b.home, b.parent}) - {0})
+    return close and not any(x.wall for x in lines[one + 1 : other])
+
+
+def kept_parts(lines: list[Line], sizes: np.ndarray, parts: list[tuple[int, int]], high: list[bool], share: float) -> list[tuple[int, int]]:
+    """The high parts and the lower ones of the same texts: in their boxes, next to them past an inline aside, or between them."""
+    homes: set[tuple[str, int]] = set()
+    for (a, b), is_high in zip(parts, high, strict=True):
+        if is_high:
+            held: dict[tuple[str, int], int] = {}
+            for i in range(a, b + 1):
+                for home in homes_of(lines[i]) if sizes[i] else ():
+                    held[home] = held.get(home, 0) + int(sizes[i])
+            homes |= {home for home, size in held.items() if size >= share * sizes[a : b + 1].sum()}
+    keep = [is_high or any(sizes[i] and not homes.isdisjoint(homes_of(lines[i])) for i in range(a, b + 1)) for (a, b), is_high in zip(parts, high, strict=True)]
+    for i in range(1, len(parts)):
+        keep[i] = keep[i] or (keep[i - 1] and joined(lines, parts[i - 1][1], parts[i][0]))
+    for i in range(len(parts) - 2, -1, -1):
+        keep[i] = keep[i] or (keep[i + 1] and joined(lines, parts[i][1], parts[i + 1][0]))
+    at = np.flatnonzero(keep)
+    return parts[at[0] : at[-1] + 1]
+
+
 def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> str:
     """The text between surges and dives of the windowed line lengths."""
     if not html:
         return ""
     lines = page_lines(html)
     marked = any(x.main and x.text for x in lines)
-    sizes = np.array([(len(x.text) if x.main else 0) if marked else x.plain for x in lines], dtype=np.int64)
+    if marked:
+        lines = [x if x.main or not x.text else x._replace(text="", plain=0) for x in lines]
+    sizes = np.array([len(x.text) if marked else x.plain for x in lines], dtype=np.int64)
     if not sizes.any():
         return ""
     # sums[i]: letters of lines i to i + window - 1.
@@ -224,11 +279,17 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     surges = np.flatnonzero((sums > 0) & (np.concatenate(([0], sums[:-1])) == 0))
     dives = np.flatnonzero((sums > 0) & (np.concatenate((sums[1:], [0])) == 0))
     least = 0 if marked else share * sums.max()
-    kept = []
-    for a, b in zip(surges, dives, strict=True):
-        if sums[a : b + 1].max() >= least:
-            # The first sum above nothing already looks window - 1 lines ahead.
-            kept += [x.text for x, size in zip(lines[a : b + 1], sizes[a : b + 1], strict=True) if size]
+    high = [bool(sums[a : b + 1].max() >= least) for a, b in zip(surges, dives, strict=True)]
+    # The first sum above nothing already looks window - 1 lines ahead.
+    parts = [(int(a + np.flatnonzero(sizes[a : b + 1])[0]), int(b)) for a, b in zip(surges, dives, strict=True)]
+    kept: list[str] = []
+    end = None
+    for a, b in kept_parts(lines, sizes, parts, high, share):
+        if end is not None:
+            # Lines of links between two parts, if they stand in the box of one of them.
+            kept += [x.text for x in lines[end + 1 : a] if x.text and x.home in (lines[end].home, lines[a].home)]
+        kept += [x.text for x in lines[a : b + 1] if x.text]
+        end = b
     return " ".join(kept)
 
 

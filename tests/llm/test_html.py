@@ -53,3 +53,14 @@ def test_wrappers_named_after_asides_keep_their_article():
             assert html_text.main_text(f"<body>{page}</body>") == f"{LONG}{LONG}".strip(), attributes
     page = f"<body><div class='no-sidebar'><article><p>{LONG}</p></article></div><div class='related-posts'><article>{LONG}</article></div><div class='post-tags'>News</div></body>"
     assert html_text.main_text(page) == LONG.strip()
+
+
+def test_inline_asides_and_lines_of_links_do_not_cut_an_article():
+    long, end, link = f"<p>{LONG * 4}</p>", "<p>" + "The end of it. " * 20 + "</p>", "<p><a href=x>A source</a></p>"
+    body = f"{long}{link}{long}{long}<div class=ad>Buy</div>{end}<form>Name</form>{link * 5}<p>Last words.</p>"
+    whole = " ".join(f"{LONG * 4} A source {LONG * 8} {'The end of it. ' * 20} {'A source ' * 5} Last words.".split())
+    for page in (f"<div>{body}</div>", f"<nav>Menu</nav><p>Site of sites</p><nav>Menu</nav><div class=text>{body}</div><footer>F</footer><div><p>Imprint</p></div>", f"<article>{body}</article>"):
+        found = html_text.main_text(f"<body>{page}</body>")
+        assert found == whole
+    halves = f"<div class=post><div>{long}{long}</div><div class=ad>Buy</div><div>{end}</div></div><nav>Menu</nav><div>Imprint</div>"
+    assert html_text.main_text(f"<body>{halves}</body>") == " ".join(f"{LONG * 8} {'The end of it. ' * 20}".split())
