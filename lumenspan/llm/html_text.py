@@ -7,8 +7,10 @@ page marks as something else (menus, headers, footers, sidebars, notices, advert
 forms, scripts, styles, reader comments) are stripped with their content and leave a
 gap of empty lines as wide as the window, so that the sums dive there. A class or id
 marks such a part only if it is a known name, alone or beside neutral words, and not
-if the element holds most of the text of the page, or of its article and main parts. If a page marks
-an article or main part, only lines inside it count. Of several blocks, those whose
+if the element holds most of the text of the page, or of its article and main parts. If article or
+main parts hold most of a page's text outside links, only lines inside them count, and
+those made of links too; otherwise their borders are gaps, and the sums of their blocks
+count twice against the share. Of several blocks, those whose
 highest sum reaches a share of the page's highest are kept, and with them the lower
 blocks of the same text: those in the same box, those beyond an advert or the like in
 a box beside it, and those between kept ones. A line made of links only counts as
@@ -34,6 +36,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 WINDOW = 3
 SHARE = 0.25
+BONUS = 2
 
 # Fixed names: elements without text of their own, blocks, and parts that are not main text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "audio", "video"}
@@ -139,15 +142,22 @@ class Lines(HTMLParser):
             self.gap(-1, wall)
 
     def whole(self) -> list[Line]:
-        """The lines without the asides by name; such an element stays if it holds most of the main parts' text or of the page's, unless it holds reader comments."""
+        """The lines without the asides by name; such an element stays if it holds most of the main parts' text or of the page's, unless it holds reader comments.
+
+        Beside a main part, most of the page's text means a whole block that leaves the main parts less than their share.
+        """
         total = sum(x.plain for x in self.lines)
         total_main = sum(x.plain for x in self.lines if x.main)
-        inside, main_inside = [0] * len(self.named), [0] * len(self.named)
+        inside, main_inside, n_lines = [0] * len(self.named), [0] * len(self.named), [0] * len(self.named)
         for x in self.lines:
             for nth, aside in enumerate(x.asides):
                 inside[aside] += x.plain
+                n_lines[aside] += x.plain > 0
                 main_inside[aside] += x.plain if nth < x.held else 0
-        stays = [not comments and (0 < total_main < 2 * m or 2 * i > total) for i, m, comments in zip(inside, main_inside, self.named, strict=True)]
+        stays = [
+            not comments and (0 < total_main < 2 * m or (2 * i > total and (not total_main or (n >= WINDOW and SHARE * i > total_main))))
+            for i, m, n, comments in zip(inside, main_inside, n_lines, self.named, strict=True)
+        ]
         return [x for x in self.lines if all(stays[a] for a in x.asides) and not (x.gap >= 0 and stays[x.gap])]
 
     def close_to(self, names: set[str], stop: set[str]) -> None:
@@ -237,6 +247,20 @@ def homes_of(line: Line) -> set[tuple[str, int]]:
     return {("in", line.home), ("beside", line.parent)} if line.main else {("in", line.home)}
 
 
+def bordered(lines: list[Line]) -> list[Line]:
+    """The lines with a gap at each border of a main part."""
+    found: list[Line] = []
+    before = None
+    for x in lines:
+        if x.text:
+            home = x.home if x.main else None
+            if found and home != before:
+                found += [Line("", 0, False, wall=True)] * WINDOW
+            before = home
+        found.append(x)
+    return found
+
+
 def joined(lines: list[Line], one: int, other: int) -> bool:
     """Whether nothing but asides within a text lie between two lines of one box, or of neighbouring boxes."""
     a, b = lines[one], lines[other]
@@ -268,9 +292,11 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     if not html:
         return ""
     lines = page_lines(html)
-    marked = any(x.main and x.text for x in lines)
+    marked = 2 * sum(x.plain for x in lines if x.main) > sum(x.plain for x in lines)
     if marked:
         lines = [x if x.main or not x.text else x._replace(text="", plain=0) for x in lines]
+    elif any(x.main for x in lines):
+        lines = bordered(lines)
     sizes = np.array([len(x.text) if marked else x.plain for x in lines], dtype=np.int64)
     if not sizes.any():
         return ""
@@ -278,9 +304,8 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     sums = np.convolve(sizes, np.ones(window, dtype=np.int64))[window - 1 :]
     surges = np.flatnonzero((sums > 0) & (np.concatenate(([0], sums[:-1])) == 0))
     dives = np.flatnonzero((sums > 0) & (np.concatenate((sums[1:], [0])) == 0))
-    least = 0 if marked else share * sums.max()
-    high = [bool(sums[a : b + 1].max() >= least) for a, b in zip(surges, dives, strict=True)]
-    # The first sum above nothing already looks window - 1 lines ahead.
+    # The first sum above nothing already looks window - 1 lines ahead; lines of a main part count more.
+    high = [bool((BONUS if lines[b].main and not marked else 1) * sums[a : b + 1].max() >= share * sums.max()) for a, b in zip(surges, dives, strict=True)]
     parts = [(int(a + np.flatnonzero(sizes[a : b + 1])[0]), int(b)) for a, b in zip(surges, dives, strict=True)]
     kept: list[str] = []
     end = None

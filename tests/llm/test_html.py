@@ -64,3 +64,13 @@ def test_inline_asides_and_lines_of_links_do_not_cut_an_article():
         assert found == whole
     halves = f"<div class=post><div>{long}{long}</div><div class=ad>Buy</div><div>{end}</div></div><nav>Menu</nav><div>Imprint</div>"
     assert html_text.main_text(f"<body>{halves}</body>") == " ".join(f"{LONG * 8} {'The end of it. ' * 20}".split())
+
+
+def test_an_article_elsewhere_does_not_take_the_place_of_the_text():
+    body = f"<div class=body><p>{LONG * 3}</p><p>{LONG * 3}</p><p>Short end.</p></div>"
+    teaser = '<div class="more-posts"><article><h2>Read on</h2><p>A teaser.</p></article></div>'
+    for page in (body + teaser, teaser + body):
+        assert html_text.main_text(f"<body>{page}</body>") == " ".join(f"{LONG * 6} Short end.".split())
+    # Where articles hold most of the text, the sums choose among them; replies beside a kept one stay.
+    replies = f"<div class=thread><article><p>{LONG * 6}</p></article><article><p>Thanks!</p></article></div>"
+    assert html_text.main_text(f"<body><p>Site</p>{replies}<nav>Menu</nav>{teaser}</body>") == " ".join(f"{LONG * 6} Thanks!".split())
