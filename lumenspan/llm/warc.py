@@ -107,7 +107,8 @@ def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
     """Rows (page_id, url, html, first_): the page to refer to, null for responses."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.when(F.octet_length(html) >= least, F.sha1(html.cast("binary"))).alias("sha_"))
-    groups = keyed.where("sha_ IS NOT NULL").groupBy("sha_").agg(F.min("page_id").alias("first_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+    # Written first, so that the join on a hot payload is dealt anew and Spark can split it over tasks, and so over archives.
+    groups = materialize(keyed.where("sha_ IS NOT NULL").groupBy("sha_").agg(F.min("page_id").alias("first_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_"), "warc-groups")
     same = F.col("page_id").eqNullSafe(F.col("first_"))
     return keyed.join(groups, "sha_", "left").select("page_id", "url", "html", F.when(~same, F.col("first_")).alias("first_"))
 

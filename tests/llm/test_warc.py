@@ -84,3 +84,21 @@ def test_broken_payload_raises():
     with pytest.raises(ValueError):
         warc.parse_record(raw)
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")
+
+
+def test_a_hot_payload_is_spread_over_archives(spark, tmp_path):
+    options = {
+        "autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.coalescePartitions.enabled": "false", "shuffle.partitions": "16",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        df = spark.range(1800, numPartitions=12).selectExpr("id AS page_id", "'u' AS url", "IF(id % 3 = 0, repeat(sha2('hot', 512), 8), repeat(sha2(string(id - id % 3), 512), 8)) AS html")
+        manifest = warc.write_archives(df, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v) if v is not None else spark.conf.unset(f"spark.sql.{k}")
+    assert sum(r["records"] for r in manifest) == 1800
+    assert max(r["records"] for r in manifest) < 600  # the hot payload's copies
