@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -40,9 +41,12 @@ from lumenspan.llm.common import materialize
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of words whose ids a worker remembers before it starts anew; some 400 MB.
-REMEMBERED = 16_000_000
-SLICE = 128  # texts encoded at a time
+#: Characters of words whose ids a worker remembers before it forgets the older half; some 60 MB.
+REMEMBERED = 2_500_000
+SLICE = 128  # texts encoded at a time, fewer if they hold more than SLICE_CHARS characters
+SLICE_CHARS = 500_000
+#: Ids that a task holds before it hands them on.
+HELD_IDS = 1_000_000
 #: A special token of the vocabulary, used between words.
 MARK = "<|startoftext|>"
 #: Marks that the tokenizer parts from a letter or digit before them.
@@ -127,7 +131,8 @@ class WordTokenizer:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         all_ = set().union(*words)
         if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            self.size = sum(map(len, self.known))
         if new := all_.difference(self.known):
             self._learn(new)
         find = self.known.__getitem__
@@ -144,13 +149,38 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def slices(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in runs of at most SLICE and about SLICE_CHARS characters; null counts as empty."""
+    run, chars = [], 0
+    for value in column:
+        text = value.as_py() or ""
+        if run and (len(run) == SLICE or chars + len(text) > SLICE_CHARS):
+            yield run
+            run, chars = [], 0
+        run.append(text)
+        chars += len(text)
+    if run:
+        yield run
+
+
 def _pieces(path: str | None, capacity: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokenizer = word_tokenizer(path or vocabulary_path())
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
     step, end = 4 * capacity, np.array([END_ID], dtype="<u4").tobytes()
     for batch in batches:
-        rows, out, ids = [], [], []
-        coded = (x for at in range(0, batch.num_rows, SLICE) for x in tokenizer.encode([t or "" for t in batch.column(1).slice(at, SLICE).to_pylist()]))
+        rows, out, ids, held = [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            piece, start, length, crc, nth = np.array(out, dtype=np.int64).reshape(-1, 5).T
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(rows), part, dtype=np.int64)), pa.array(nth)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part_", "nth_"]
+            if with_ids:
+                offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        coded = (x for texts in slices(batch.column(1)) for x in tokenizer.encode(texts))
         for row, text_ids in enumerate(coded):
             whole = text_ids + end
             for n, at in enumerate(range(0, len(whole), step)):
@@ -159,16 +189,14 @@ def _pieces(path: str | None, capacity: int, with_ids: bool, batches: Iterator[p
                 rows.append(row)
                 out.append((n, at // 4, length, zlib.crc32(raw), seen[length]))
                 seen[length] += 1
+                held += length
                 if with_ids:
-                    ids.append(np.frombuffer(raw, dtype="<i4"))
-        piece, start, length, crc, nth = np.array(out, dtype=np.int64).reshape(-1, 5).T
-        columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(rows), part, dtype=np.int64)), pa.array(nth)]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part_", "nth_"]
-        if with_ids:
-            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
-            names.append("ids")
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+                    ids.append(raw)
+                if held >= HELD_IDS:
+                    yield packed()
+                    rows, out, ids, held = [], [], [], 0
+        if rows:
+            yield packed()
 
 
 def tokenized_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

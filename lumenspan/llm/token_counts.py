@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.common import materialize, with_prefix
-from lumenspan.llm.packing import SLICE, vocabulary_path, word_tokenizer
+from lumenspan.llm.packing import slices, vocabulary_path, word_tokenizer
 
 
 def _lengths(path: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokenizer, counts = word_tokenizer(path or vocabulary_path()), Counter()
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            texts = batch.column(0).slice(at, SLICE).to_pylist()
-            counts.update(len(x) // 4 for x in tokenizer.encode([t or "" for t in texts]))
+        for texts in slices(batch.column(0)):
+            counts.update(len(x) // 4 for x in tokenizer.encode(texts))
     yield pa.RecordBatch.from_pydict({"length": pa.array(counts.keys(), pa.int64()), "n": pa.array(counts.values(), pa.int64())})
 
 
