@@ -30,6 +30,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.common import fresh_path, materialize
 
+#: Packed bytes of the records that one task reads.
+READ_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -202,6 +205,18 @@ def _walk(file, start: int, size: int) -> Iterator[tuple[int, int]]:
             began, inflate = at - len(chunk), zlib.decompressobj(31)
 
 
+def _lines(file, start: int, size: int) -> Iterator[bytes]:
+    """The lines of a stored member, read in chunks."""
+    rest, at = b"", start
+    while at < start + size:
+        chunk = file.read_at(min(1 << 20, start + size - at), at)
+        at += len(chunk)
+        *lines, rest = (rest + chunk).split(b"\n")
+        yield from (x for x in lines if x)
+    if rest:
+        yield rest
+
+
 def record_places(path: str) -> Iterator[tuple[str, int, int]]:
     """(path, offset, length) of every record of an archive."""
     system, name = open_system(path)
@@ -210,7 +225,7 @@ def record_places(path: str) -> Iterator[tuple[str, int, int]]:
         starts = {k: _content_at(file, local) for k, (method, local, _) in members.items() if method == 0}
         indexed = set()
         for member in sorted(k for k in starts if k.startswith("indexes/")):
-            for line in file.read_at(members[member][2], starts[member]).splitlines():
+            for line in _lines(file, starts[member], members[member][2]):
                 entry = json.loads(line)
                 indexed.add(entry["filename"])
                 yield path, starts[entry["filename"]] + entry["offset"], entry["length"]
@@ -221,9 +236,9 @@ def record_places(path: str) -> Iterator[tuple[str, int, int]]:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            rows = list(record_places(path))
-            for i in range(0, len(rows), 50_000):
-                p, o, n = zip(*rows[i : i + 50_000], strict=True)
+            rows = record_places(path)
+            while some := list(islice(rows, 50_000)):
+                p, o, n = zip(*some, strict=True)
                 yield pa.RecordBatch.from_pydict({"path": p, "offset": o, "length": n})
 
 
@@ -255,8 +270,12 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the archives named in column ``path``.
 
     Indexes are read first; their entries are then dealt out by file and offset, so one
-    large archive is read by many tasks.
+    large archive is read by many tasks, each of about READ_BYTES.
     """
+    spark = paths.sparkSession
     places = paths.select("path").repartition("path").mapInArrow(_places, "path string, offset long, length long")
-    dealt = materialize(places, "warc-places").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    places = materialize(places, "warc-places")
+    packed = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, packed // READ_BYTES)
+    dealt = places.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(partial(_records, with_payload), RECORD_SCHEMA + ", payload binary" * with_payload)
