@@ -40,14 +40,36 @@ def test_bounds_hold():
     r = np.random.default_rng(3)
     data = r.normal(size=(400, 64))
     turn = ann.rotation(64)
+    bits = turn.shape[1]
     rest = data - data.mean(0)
     far = np.linalg.norm(rest, axis=1)
     turned = rest @ turn / far[:, None]
-    signs = np.where(turned >= 0, 1, -1) / 8
-    along = (turned * signs).sum(1)
-    guess = (rest @ turn) @ signs.T * (far / along)
-    error = np.linalg.norm(rest, axis=1)[:, None] * ann.BOUND * np.sqrt((1 - along**2) / 63) / along * far
-    assert (abs(guess - rest @ rest.T) <= error).mean() > 0.9999
+    assert np.allclose(np.linalg.norm(turned, axis=1), 1)
+    along = np.abs(turned).sum(1) / np.sqrt(bits)
+    words = np.packbits(turned >= 0, axis=1, bitorder="little").view(np.uint64).T.copy()
+    ones = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
+    signs = np.where(turned >= 0, 1, -1) / np.sqrt(bits)
+    held = []
+    for q in rest:
+        planes, least, step = ann.query_planes(q @ turn)
+        products = ann.code_products(words, ones, planes, least, step)
+        rounded = least + step * np.rint((q @ turn - least) / step)
+        assert np.allclose(products, signs @ rounded)
+        guess = products * far / along
+        error = ann.BOUND * far / along * (np.linalg.norm(q) * np.sqrt((1 - along**2) / (bits - 1)) + step / np.sqrt(12))
+        held.append(np.abs(guess - rest @ q) <= error)
+    assert np.mean(held) > 0.997
+
+
+def test_short_vectors_repeated_ids_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [1.0, 0.0]), (2, [3.0]), (2, [2.0, 5.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for name in ("v", "code", "block", "query_block", "far", "found", "rank", "score", "query_id"):
+        df = df.withColumn(name, F.lit("x"))
+    found = ann.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(20, 2, 7.0), (20, 2, 3.0), (20, 1, 1.0)]
 
 
 def test_ties_nulls_and_odd_vectors(spark):
