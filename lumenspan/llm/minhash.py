@@ -24,8 +24,8 @@ shared folder.
 
 Defined results: a document without words (null, empty or blank text) has an empty set
 and is linked with nothing; rows without an id take no part and stay unlinked (null
-component, kept); ids are taken to be unique, and rows that repeat one are judged
-alike; other columns are passed through; an empty table gives an empty one.
+component, kept); ids are taken to be unique, and of rows that repeat one a single text
+is compared; other columns are passed through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ from lumenspan.llm.shingles import shingle_sets
 BANDS, ROWS, BITS = 40, 4, 4
 HASHES = BANDS * ROWS
 PERCENT = 75
-BLOCK = 1024
+#: Members and text bytes of a block, in expectation; a cell holds two blocks.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 SLICE = 256  # texts handled at a time
 
 _random = np.random.default_rng(7)
@@ -198,7 +199,7 @@ def _link_cell(percent: int, same: bool, ids: list, component: list, side: list,
 
 
 def _link_cells(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell; a cell is held whole, and has at most some 2 * BLOCK rows."""
+    """Rows sorted by cell; a cell is held whole, and has at most some 2 * BLOCK rows and 2 * BLOCK_BYTES of text."""
     held: list[dict] = []
 
     def linked() -> pa.RecordBatch:
@@ -224,11 +225,14 @@ def apart_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, text
 
     members: (band, key, id); labels: (id, component), for linked ids.
     """
-    placed = members.join(labels, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
-    per = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    buckets = per.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("apart")).where("apart > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    buckets = buckets.select("band", "key", F.col("top.component").alias("main"), blocks(F.col("top.n")).alias("main_blocks"), blocks(F.col("n") - F.col("top.n")).alias("rest_blocks"))
+    sizes = texts.select(F.col("doc_id").alias("id"), F.octet_length("text").alias("bytes"))
+    placed = members.join(labels, "id", "left").join(sizes, "id").select("band", "key", "id", "bytes", F.coalesce("component", "id").alias("component"))
+    per = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    buckets = per.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("top"), F.count("*").alias("apart")).where("apart > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    main_blocks = blocks(F.col("top.n"), F.col("top.bytes"))
+    rest_blocks = blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    buckets = buckets.select("band", "key", F.col("top.component").alias("main"), main_blocks.alias("main_blocks"), rest_blocks.alias("rest_blocks"))
     dealt = placed.join(buckets, ["band", "key"]).withColumn("is_main", F.col("component") == F.col("main"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -259,13 +263,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "minhash-classes")
     rows = materialize(sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "minhash-rows")
     first_of_class = rows.where("doc_id = class_id").select("doc_id").distinct()
+    repeats = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    once = lambda df: df.dropDuplicates(["doc_id"]) if repeats else df
     chosen = named.join(first_of_class, "doc_id", "left_semi").select("doc_id", "bands", "signature")
-    banded = chosen.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    banded = once(chosen).select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(banded.join(buckets, ["band", "key"]).select("band", "key", "id", "center"), "minhash-members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "minhash-texts")
-    signed = materialize(sketches.select("doc_id", "signature", "bands").join(ids, "doc_id", "left_semi"), "minhash-signatures")
+    texts = materialize(once(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(ids, "doc_id", "left_semi")), "minhash-texts")
+    signed = materialize(once(sketches.select("doc_id", "signature", "bands").join(ids, "doc_id", "left_semi")), "minhash-signatures")
 
     to_center = members.where("id <> center").groupBy("id").agg(F.min("center").alias("b")).select(F.col("id").alias("a"), "b")
     links = materialize(confirmed(to_center, texts, percent), "minhash-links")
@@ -283,11 +289,16 @@ def _sketch_schema(docs: DataFrame) -> str:
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: the one with the smallest id. Columns unchanged; rows without an id stay."""
+    """One document of each group: the one with the smallest id. Columns unchanged; rows without an id stay.
+
+    Of rows that repeat an id and a text, the first in the order of all columns stays;
+    rows that repeat an id with another text all do.
+    """
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     own = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not repeated.isEmpty():  # of rows that repeat an id, one
-        once = own.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    if not repeated.isEmpty():
+        rows = own.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row_"))
+        once = rows.groupBy("row_.doc_id", "row_.text").agg(F.min("row_").alias("row_")).select("row_.*").select(docs.columns)
         own = own.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
     return own.unionByName(docs.where("doc_id IS NULL"))

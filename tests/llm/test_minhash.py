@@ -71,6 +71,9 @@ def test_buckets_larger_than_a_block(spark, docs, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
     rows = near_copies(2)
     check(docs(*rows), rows)
+    monkeypatch.setattr(minhash, "BLOCK", 1024)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    check(docs(*rows), rows)
 
 
 def test_nulls_empty_and_long_texts(spark, docs):
@@ -88,6 +91,8 @@ def test_deduplicate_keeps_one_row_a_group(spark, docs):
     assert out.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 1), (False, 5), (False, 9), (True, 0)]
     assert minhash.deduplicate(df.limit(0)).count() == 0
+    two_texts = docs((1, "one text of five words"), (1, "and quite another text here"), (1, "one text of five words"))
+    assert minhash.deduplicate(two_texts).count() == 2
 
 
 def test_shingle_hashes_in_chunks(monkeypatch):
