@@ -3,7 +3,8 @@
 Base spans of four kinds (email, ip, card, phone) come from fixed patterns with a
 check on each match. High-recall generators propose further, overlapping spans for
 what those patterns miss: numbers inside a run that failed as a whole, national phone
-numbers, spelled-out addresses. Boosted trees score each proposal by its format and
+numbers, spelled-out addresses, and, as a kind of its own beside the four, secrets such
+as tokens and keys. Boosted trees score each proposal by its format and
 context; a proposal counts if its score reaches its kind's threshold, calibrated on
 held-out examples to a stated precision. Base spans always stay; proposals that touch
 one are dropped.
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds with base patterns, then the kind that only the trees find.
+ALL_KINDS = (*KINDS, "secret")
 
 # Possessive repeats and the start conditions (not inside a run, or right after the last
 # match) change no match; they keep matching linear and free of recursion.
@@ -51,8 +54,12 @@ PROPOSALS = (
     ("card", r"(?<![0-9])[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{2,7}(?![0-9])"),
     ("ip", r"(?<![0-9])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])"),
     ("email", r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\x20?(?:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\}|\x20dot\x20)\x20?[A-Za-z]{2,})+"),
+    ("phone", r"(?<![0-9+)(.-])0[0-9]{1,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9-])"),
+    ("secret", r"(?<=(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{8,}+"),
+    ("secret", r"(?<![A-Za-z0-9_-])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_-])"),
+    ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{20,}+"),
 )
-PROPOSAL_NEEDS = (r"\+[0-9]", r"[0-9]{3}[\x20.-][0-9]{4}", r"[0-9]{13}", r"[0-9]{4}[\x20-][0-9]{4}", r"[0-9]\.[0-9]", r"[\[({\x20]at[\])}\x20]")
+PROPOSAL_NEEDS = (r"\+[0-9]", r"[0-9]{3}[\x20.-][0-9]{4}", r"[0-9]{13}", r"[0-9]{4}[\x20-][0-9]{4}", r"[0-9]\.[0-9]", r"[\[({\x20]at[\])}\x20]", r"[0-9][\x20/-][0-9]{3}", r"(?i:token|secret|passw(?:or)?d|pwd|key)[\"']?\x20{0,2}[:=]", "AKIA", r"[0-9][A-Za-z_-]+[0-9]")
 
 # Fixed word lists of the context features.
 CUES = {
@@ -60,10 +67,14 @@ CUES = {
     "cue_card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment|pan)\b",
     "cue_ip": r"(?i)\b(?:ip|ipv4|host|server|address|ping|client)\b",
     "cue_email": r"(?i)\b(?:mail|email|e-mail|contact|write|reach)\b",
+    "cue_secret": r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer|credentials?)\b",
+    "cue_hash": r"(?i)\b(?:commit|sha\d*|md5|hash|checksum|digest|etag|uuid|guid|rev|revision|build)\b",
     "cue_other": r"(?i)\b(?:order|invoice|isbn|version|release|v|id|serial|build|section|part|ref|tracking|sku|figure|chapter)\b",
 }
+# Fixed beginnings of keys that issuers hand out.
+ISSUED = r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|xox[abp]-)"
 FEATURES = (
-    "is_email", "is_ip", "is_card", "is_phone", "n_digits", "n_chars", "n_marks", "luhn", "octets", "plus", "paren", "bracketed",
+    "is_email", "is_ip", "is_card", "is_phone", "is_secret", "n_digits", "n_distinct", "mixed_case", "issued", "n_chars", "n_marks", "luhn", "octets", "plus", "paren", "bracketed",
     "digit_before", "digit_after", "letter_before", "letter_after", "lead_0", *CUES,
 )
 CONTEXT = 32
@@ -126,7 +137,7 @@ def proposals(text: Column) -> Column:
     out = []
     for (kind, pattern), needs in zip(PROPOSALS, PROPOSAL_NEEDS, strict=True):
         placed = _placed(_found(text, pattern), lambda m: F.lit(True))
-        marked = F.transform(placed, partial(_marked, KINDS.index(kind), ("m",)))
+        marked = F.transform(placed, partial(_marked, ALL_KINDS.index(kind), ("m",)))
         out.append(F.when(text.rlike(needs), marked).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")))
     return F.array_distinct(F.concat(*out))
 
@@ -137,7 +148,8 @@ def features(text: Column, c: Column) -> dict[str, Column]:
     before = F.substring(text, F.greatest(c["s"] - CONTEXT + 1, F.lit(1)), F.least(c["s"], F.lit(CONTEXT)))
     last, following = F.substring(text, c["s"], F.when(c["s"] > 0, 1).otherwise(0)), F.substring(text, c["e"] + 1, F.lit(1))
     own = {
-        "is_email": c["k"] == 0, "is_ip": c["k"] == 1, "is_card": c["k"] == 2, "is_phone": c["k"] == 3,
+        "is_email": c["k"] == 0, "is_ip": c["k"] == 1, "is_card": c["k"] == 2, "is_phone": c["k"] == 3, "is_secret": c["k"] == 4,
+        "n_distinct": F.size(F.array_distinct(F.split(m, ""))), "mixed_case": m.rlike("[a-z]") & m.rlike("[A-Z]"), "issued": m.rlike(ISSUED),
         "n_digits": F.length(digits), "n_chars": F.length(m), "n_marks": F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")),
         "luhn": F.call_function("luhn_check", digits), "octets": m.rlike(OCTETS), "plus": m.startswith("+"), "paren": F.contains(m, F.lit("(")), "bracketed": m.rlike(r"[\[({](?:at|dot)[\])}]"),
         "digit_before": last.rlike("[0-9]"), "digit_after": following.rlike("[0-9]"), "letter_before": last.rlike(r"\p{L}"), "letter_after": following.rlike(r"\p{L}"), "lead_0": digits.startswith("0"),
@@ -149,7 +161,7 @@ def features(text: Column, c: Column) -> dict[str, Column]:
 # ---- training -----------------------------------------------------------------------
 
 
-def training_examples(rows: int = 1600, seed: int = 11) -> list[tuple[str, str, int]]:
+def training_examples(rows: int = 2400, seed: int = 11) -> list[tuple[str, str, int]]:
     """Built examples (text, the string that may be private, 1 if it is)."""
     r = random.Random(seed)
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -161,12 +173,21 @@ def training_examples(rows: int = 1600, seed: int = 11) -> list[tuple[str, str,
         return body + str(-total % 10)
 
     octet = lambda: str(r.randint(1, 254))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    code = lambda n, of=letters + letters.upper() + "0123456789": "".join(r.choice(of) for _ in range(n))
+    hexes = lambda n: code(n, "0123456789abcdef")
 
     def private():
-        kind = r.choice(KINDS)
+        kind = r.choice(ALL_KINDS)
+        if kind == "secret":
+            s = r.choice((hexes(40), hexes(32), code(24), code(36), code(r.randint(6, 14)) + number(r.randint(2, 4)) + code(2)))
+            if r.random() < 0.3:  # forms that need no word before them
+                s = r.choice((f"AKIA{code(15, letters.upper() + '234567')}{code(1, letters.upper())}", f"AKIA{code(16, letters.upper() + '234567')}", f"ghp_{code(36)}", f"sk-{code(32)}"))
+                return word(), s
+            return r.choice(("token", "api_key", "secret", "password", "access_key", "TOKEN", "Secret")) + r.choice((" = ", "=", ": ", ' = "', ':"')), s
         if kind == "phone":
             a, b, c = number(3), number(3), number(4)
-            s = r.choice((f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+44 {number(4)} {number(3)} {number(4)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}"))
+            s = r.choice((f"0{number(2)} {b} {c}", f"0{a}/{number(3)}{number(3)}", f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+44 {number(4)} {number(3)} {number(4)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}"))
             cue = r.choice(("call", "phone", "tel", "mobile", "fax")) if not s.startswith("+") or r.random() < 0.3 else word()
         elif kind == "card":
             s = card(r.choice((16, 16, 16, 15, 19)))
@@ -176,11 +197,21 @@ def training_examples(rows: int = 1600, seed: int = 11) -> list[tuple[str, str,
             s, cue = ".".join(octet() for _ in range(4)), r.choice(("ip", "host", "server", word()))
         else:
             at, dot = r.choice(((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), (" [at] ", ".")))
-            s, cue = f"{word()}.{number(2)}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'example.com'))}", r.choice(("email", "contact", word()))
+            local = r.choice((word(), f"{word()}.{word()}", f"{word()}.{number(2)}", f"{word()}{number(1)}"))
+            end = r.choice(("com", "org", "net", "de", "fr", f"example{dot}com", f"mail{dot}org"))
+            s, cue = f"{local}{at}{word()}{dot}{end}", r.choice(("email", "contact", word()))
         return cue, s
 
     def plain():
-        pick = r.randrange(8)
+        pick = r.randrange(12)
+        if pick == 8:
+            return r.choice(("commit", "sha1", "md5", "checksum", "etag", "digest")) + r.choice((" ", ": ", " = ")), hexes(r.choice((32, 40, 64)))
+        if pick == 9:
+            return r.choice(("id", "uuid", "guid")), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"
+        if pick == 10:
+            return r.choice(("token", "password", "secret")) + r.choice((": ", " = ")), r.choice((word() + word() + word() + word(), "required", "undefined", "process.env.NAME"))
+        if pick == 11:
+            return word(), "-".join(word() for _ in range(r.randint(4, 6))) + "-" + number(r.randint(1, 4))
         if pick == 0:
             return r.choice(("order", "invoice", "serial", "tracking", word())), number(r.choice((13, 14, 16, 17, 19)))
         if pick == 1:
@@ -203,7 +234,8 @@ def training_examples(rows: int = 1600, seed: int = 11) -> list[tuple[str, str,
         cue, s = private() if label else plain()
         filler = lambda n: " ".join(word() for _ in range(n))
         beside = number(r.randint(2, 3)) + "." + number(2) if r.random() < 0.15 else filler(1)
-        out.append((f"{filler(5)}. {cue} {s} {beside} {filler(4)}", s, label))
+        between = "" if cue[-1] in "=\": " else " "
+        out.append((f"{filler(5)}. {cue}{between}{s} {beside} {filler(4)}", s, label))
     return out
 
 
@@ -238,7 +270,7 @@ def _tree(node) -> tuple:
 _FITTED: dict[tuple, Scorer] = {}
 
 
-def fit_scorer(spark: SparkSession, rows: int = 1600, precision: float = 0.98, trees: int = 12, depth: int = 3, seed: int = 11) -> Scorer:
+def fit_scorer(spark: SparkSession, rows: int = 2400, precision: float = 0.98, trees: int = 12, depth: int = 3, seed: int = 11) -> Scorer:
     """Fit the trees on half of the built examples and calibrate thresholds on the other half.
 
     A kind's threshold is the smallest margin at which the held-out proposals that reach
@@ -247,7 +279,8 @@ def fit_scorer(spark: SparkSession, rows: int = 1600, precision: float = 0.98, t
     key = (rows, precision, trees, depth, seed)
     if key in _FITTED:
         return _FITTED[key]
-    examples = spark.createDataFrame(training_examples(rows, seed), "text string, secret string, label int").withColumn("row", F.monotonically_increasing_id())
+    numbered = [(i, *x) for i, x in enumerate(training_examples(rows, seed))]
+    examples = spark.createDataFrame(numbered, "row long, text string, secret string, label int")
     spread = examples.coalesce(1).select("*", F.explode(proposals(F.col("text"))).alias("c"))
     values = features(F.col("text"), F.col("c"))
     # A proposal is private if its example is, and it lies within the private string.
@@ -259,7 +292,7 @@ def fit_scorer(spark: SparkSession, rows: int = 1600, precision: float = 0.98, t
     held = table.where("row % 2 = 1").select("kind", "truth", scorer.margin({k: F.col(k) for k in FEATURES}).alias("margin")).collect()
     table.unpersist()
     thresholds = []
-    for number in range(len(KINDS)):
+    for number in range(len(ALL_KINDS)):
         mine = sorted(((x["margin"], x["truth"]) for x in held if x["kind"] == number), reverse=True)
         best, right = float("inf"), 0.0
         for i, (margin, truth_) in enumerate(mine, 1):
@@ -284,25 +317,28 @@ def with_spans(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     # Proposals that touch a base span go before any scoring.
     fresh = F.filter("proposed_", lambda c: ~F.exists("base_", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     step = step.withColumn("fresh_", fresh)
-    scored = F.transform("fresh_", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), scorer.margin(features(text, c)).alias("p")))
-    step = step.withColumn("scored_", F.when(F.size("fresh_") > 0, scored))
+    # Features once a proposal, then the trees over them.
+    told = F.transform("fresh_", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), *[v.alias(n) for n, v in features(text, c).items()]))
+    step = step.withColumn("told_", F.when(F.size("fresh_") > 0, told))
+    scored = F.transform("told_", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), scorer.margin({n: c[n] for n in FEATURES}).alias("p")))
+    step = step.withColumn("scored_", scored)
     step = step.withColumn("chosen_", F.filter("scored_", lambda c: c["p"] >= F.get(cuts, c["k"])))
     # Of chosen proposals of one kind, those inside a longer one add nothing.
     inside = lambda c, o: (o["k"] == c["k"]) & (o["s"] <= c["s"]) & (c["e"] <= o["e"]) & (o["e"] - o["s"] > c["e"] - c["s"])
     chosen = F.filter("chosen_", lambda c: ~F.exists("chosen_", lambda o: inside(c, o)))
     plain = F.transform(F.coalesce(chosen, F.array().cast("array<struct<s:int,k:int,e:int,p:double>>")), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
-    return step.withColumn("spans_", F.array_sort(F.array_distinct(F.concat("base_", plain)))).drop("proposed_", "fresh_", "scored_", "chosen_")
+    return step.withColumn("spans_", F.array_sort(F.array_distinct(F.concat("base_", plain)))).drop("proposed_", "fresh_", "told_", "scored_", "chosen_")
 
 
 def written(spans: Column) -> Column:
     """Spans as ``kind:start:end``, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat(F.get(names, x["k"]), F.lit(":"), x["s"], F.lit(":"), x["e"])), ",")
 
 
 def redact(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; spans that overlap become one."""
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
     inner = docs.select(F.struct(*docs.columns).alias("row_"), "text")
     found = with_spans(inner, scorer)
 
