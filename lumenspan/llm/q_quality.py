@@ -25,9 +25,21 @@ def _sql() -> str:
         "upper_ratio": "n_upper / NULLIF(word_chars, 0)",
         "word_length": "word_chars / NULLIF(n_words, 0)",
     }
-    n = len(quality.RULES)
-    grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, {i} AS nth, {c}::DOUBLE AS cut" for r, cuts in quality.RULES.items() for i, c in enumerate(cuts))
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, COALESCE({e}, 0)::DOUBLE AS v FROM judged" for r, e in over.items())
+    rules, grids = list(quality.RULES), list(quality.RULES.values())
+    n, steps = len(rules), sum(map(len, grids))
+    sizes = f"[{', '.join(str(len(g)) for g in grids)}]"
+    exceeded = ", ".join(" + ".join(f"CASE WHEN COALESCE({over[r]}, 0)::DOUBLE > {c}::DOUBLE THEN 1 ELSE 0 END" for c in quality.RULES[r]) for r in rules)
+    level = f"{quality.DELTA}::DOUBLE / (SELECT n FROM strata)"
+    # The order of the rules, one after another by the bad documents that they catch of those left.
+    orders = ", ".join(
+        f"""order{i + 1} AS (
+  SELECT o.lang, list_append(o.rules, r) AS rules, o.mask + (1 << r) AS mask
+  FROM order{i} o CROSS JOIN range({n}) x(r) LEFT JOIN bad b ON b.lang IS NOT DISTINCT FROM o.lang AND (b.hits >> r) & 1 = 1 AND b.hits & o.mask = 0
+  WHERE (o.mask >> r) & 1 = 0 GROUP BY o.lang, o.rules, o.mask, r
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY o.lang ORDER BY COUNT(b.hits) DESC, r) = 1
+)"""
+        for i in range(n)
+    )
     space = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
 WITH texts AS (SELECT doc_id, lang, COALESCE(text, '') AS text FROM documents),
@@ -47,23 +59,46 @@ words AS (
     len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
     len(w) < 10 OR 100 * COALESCE(n_repeat_words, 0) > 20 * len(w) AS base_failed
   FROM words LEFT JOIN covered USING (doc_id)
-), grid AS ({grid}),
-vals AS ({values}),
-good AS (
-  SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING MAX(quality) = 1
-), counts AS (
-  SELECT v.lang, g.rule, g.nth, g.cut, COUNT(*) AS n, COUNT(*) FILTER (v.v > g.cut) AS k
-  FROM vals v JOIN grid g USING (rule) JOIN judged j USING (doc_id) WHERE v.doc_id IN (FROM good) AND NOT j.base_failed GROUP BY ALL
+), levels AS (
+  SELECT doc_id, lang, base_failed, [{exceeded}] AS e FROM judged
+), labelled AS (
+  SELECT ROW_NUMBER() OVER () AS nth_row, lang, good, e FROM levels
+  JOIN (SELECT doc_id, MAX(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+), strata AS (
+  SELECT COUNT(*) AS n FROM (SELECT DISTINCT lang FROM labelled WHERE good)
+), enough AS (
+  SELECT lang, COUNT(*) AS n FROM labelled WHERE good GROUP BY lang
+  HAVING COUNT(*) >= ceil(ln({quality.MAIN}::DOUBLE * {level}) / ln(1 - {quality.ALPHA}::DOUBLE))
+), bad AS (
+  SELECT lang, list_sum(list_transform(range({n}), lambda r: CASE WHEN e[r + 1] > 0 THEN 1 << r ELSE 0 END))::BIGINT AS hits FROM labelled WHERE NOT good
+), order0 AS (
+  SELECT lang, []::BIGINT[] AS rules, 0::BIGINT AS mask FROM enough
+), {orders}, chains AS (
+  SELECT lang, nth, list_prepend(rules[nth + 1], list_filter(rules, lambda r: r <> rules[nth + 1])) AS rules FROM order{n} CROSS JOIN range({n}) x(nth)
+), places AS (
+  SELECT lang, nth, i, rules[i + 1] AS rule, {sizes}[rules[i + 1] + 1] AS size,
+    COALESCE(SUM({sizes}[rules[i + 1] + 1]) OVER (PARTITION BY lang, nth ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base
+  FROM chains CROSS JOIN range({n}) x(i)
+), hits AS (
+  SELECT p.lang, p.nth, l.good, MIN(p.base + p.size - l.e[p.rule + 1] + 1) AS step
+  FROM places p JOIN labelled l ON p.lang IS NOT DISTINCT FROM l.lang AND l.e[p.rule + 1] > 0 GROUP BY p.lang, p.nth, l.nth_row, l.good
+), points AS (
+  SELECT c.lang, c.nth, s.step, t.n, COUNT(h.step) FILTER (h.good) AS k, COUNT(h.step) FILTER (NOT h.good) AS caught
+  FROM chains c JOIN enough t ON c.lang IS NOT DISTINCT FROM t.lang CROSS JOIN range(1, {steps + 1}) s(step)
+  LEFT JOIN hits h ON h.lang IS NOT DISTINCT FROM c.lang AND h.nth = c.nth AND h.step <= s.step GROUP BY c.lang, c.nth, s.step, t.n
 ), tails AS (
-  SELECT *, list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln({quality.ALPHA / n}::DOUBLE) + (n - i) * ln(1 - {quality.ALPHA / n}::DOUBLE)))) AS p,
-    (SELECT COUNT(DISTINCT COALESCE(lang, chr(0))) FROM counts) AS strata
-  FROM counts
+  SELECT *, CASE WHEN k > {quality.ALPHA}::DOUBLE * n THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
+    - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln({quality.ALPHA}::DOUBLE) + (n - i) * ln(1 - {quality.ALPHA}::DOUBLE)))) END AS p
+  FROM points
 ), walked AS (
-  SELECT *, MAX(p) OVER (PARTITION BY lang, rule ORDER BY nth) AS worst FROM tails
-), cutoffs AS (
-  SELECT lang, rule, MIN(cut) AS cut FROM walked WHERE worst <= {quality.DELTA}::DOUBLE / (strata * {n}) GROUP BY lang, rule
+  SELECT *, MAX(p) OVER (PARTITION BY lang, nth ORDER BY step) AS worst FROM tails
+), chosen AS (
+  SELECT lang, nth, step FROM walked
+  WHERE worst <= CASE WHEN nth = 0 THEN {quality.MAIN}::DOUBLE ELSE (1 - {quality.MAIN}::DOUBLE) / {n - 1} END * {level} AND caught > {quality.PRICE} * k
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY caught - {quality.PRICE} * k DESC, nth, step) = 1
 ), fired AS (
-  SELECT DISTINCT v.doc_id FROM vals v JOIN cutoffs c ON v.rule = c.rule AND v.lang IS NOT DISTINCT FROM c.lang WHERE v.v > c.cut
+  SELECT DISTINCT l.doc_id FROM chosen c JOIN places p ON p.lang IS NOT DISTINCT FROM c.lang AND p.nth = c.nth
+  JOIN levels l ON l.lang IS NOT DISTINCT FROM c.lang AND l.e[p.rule + 1] > 0 AND p.base + p.size - l.e[p.rule + 1] + 1 <= c.step
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (FROM fired) AS kept FROM judged
 """

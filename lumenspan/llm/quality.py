@@ -12,8 +12,9 @@ the test never counts: first the rule that catches most of them, then always the
 that catches most of the rest. Lest a rule that good documents break too should block
 the others, there is one more chain for each other rule, which begins with that rule.
 The first chain is tested at ``MAIN`` times ``delta`` by the number of strata, the
-other chains share the rest of it (Bonferroni over strata and chains), and the proved
-point that catches most bad documents is used. With probability 1 - delta no stratum
+other chains share the rest of it (Bonferroni over strata and chains). All proved points
+hold at once, so any of them may be used: it is the one with most bad documents caught
+less ``PRICE`` times the good ones lost, and none if no point is worth it. With probability 1 - delta no stratum
 then loses more than ``alpha`` of its good documents. Without enough labels nothing
 can be proved, and the rules reject nothing there; ``fewest_labels`` says how many good
 documents a stratum needs.
@@ -35,8 +36,10 @@ from lumenspan.llm.common import GAP, SPACES, materialize
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
-ALPHA = 0.01
+ALPHA = 0.05
 DELTA = 0.05
+#: So many bad documents caught weigh as much as one good document lost, among proved points.
+PRICE = 10
 #: The first chain's part of a stratum's test level.
 MAIN = 0.8
 #: Measure and cutoffs from lenient to strict; a document is rejected above the cutoff.
@@ -135,7 +138,7 @@ def certified(cells: list[tuple[tuple[int, ...], int, int]], alpha: float, level
     """A stratum's cutoffs. A cell is (how many cutoffs of each rule the measure exceeds, good documents, bad ones)."""
     n = sum(good for _, good, _ in cells)
     grids = list(RULES.values())
-    most, found = -1, [0] * len(grids)
+    most, found = 0, [0] * len(grids)
     for nth, order in enumerate(chains(cells)):
         part = level * (MAIN if nth == 0 else (1 - MAIN) / (len(grids) - 1))
         used, good, bad, left = [0] * len(grids), 0, 0, cells
@@ -143,13 +146,13 @@ def certified(cells: list[tuple[tuple[int, ...], int, int]], alpha: float, level
             # The cutoff numbered step is exceeded if at most the step - 1 more lenient ones are not.
             hit = [c for c in left if c[0][rule] + step > len(grids[rule])]
             good += sum(c[1] for c in hit)
-            if binomial_tail(good, n, alpha) > part:
+            if good > alpha * n or binomial_tail(good, n, alpha) > part:  # a tail from the mean on is at least 1/2
                 break
             bad += sum(c[2] for c in hit)
             left = [c for c in left if c[0][rule] + step <= len(grids[rule])]
             used[rule] = step
-        if any(used) and bad > most:
-            most, found = bad, used
+            if bad - PRICE * good > most:
+                most, found = bad - PRICE * good, list(used)
     return {name: cuts[step - 1] for (name, cuts), step in zip(RULES.items(), found, strict=True) if step}
 
 
