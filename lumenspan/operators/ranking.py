@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenspan.operators.temporal import fold_by, islands, overlap_ratio
+from lumenspan.operators.temporal import fold_by, islands, opened, overlap_ratio
 
 IDEAL, LEAST_SCORE = 40.0, 0.3
 
@@ -26,16 +26,14 @@ def merged_in_order(candidates: DataFrame, gap: float = 10.0) -> DataFrame:
     """Neighbours merged where the gap to the end of the last merged interval is small.
 
     The end becomes that of the later interval even if it lies before the earlier one's,
-    so a running maximum does not express it; hence a fold.
+    so a merged interval ends where the row before does, and a step back decides.
     """
-
-    def step(state, row):
-        if state is not None and row["start_time"] - state["end_time"] <= gap:
-            return {**state, "end_time": row["end_time"], "score": max(state["score"], row["score"]), "n": state["n"] + 1}, []
-        return {**row, "n": 1}, [] if state is None else [state]
-
-    kept = candidates.select("stream_id", "id", "start_time", "end_time", "score")
-    return fold_by(kept, ["stream_id"], ["start_time", "id"], step, "stream_id long, id long, start_time double, end_time double, score double, n long", lambda s: [s])
+    order = Window.partitionBy("stream_id").orderBy("start_time", "id")
+    before = F.lag("end_time").over(order)
+    opens = F.when(before.isNull() | (F.col("start_time") - before > gap), 1).otherwise(0)
+    numbered = candidates.withColumn("opens_", opens).withColumn("island_", F.sum("opens_").over(order))
+    place = F.struct("start_time", "id")
+    return numbered.groupBy("stream_id", "island_").agg(F.min_by("id", place).alias("id"), F.min("start_time").alias("start_time"), F.max_by("end_time", place).alias("end_time"), F.max("score").alias("score"), F.count("*").alias("n")).drop("island_")
 
 
 def merged_by_category(candidates: DataFrame, window: float = 5.0, least: float = 0.0) -> DataFrame:
@@ -101,14 +99,8 @@ def above_threshold(rows: DataFrame, most: int, fewest: int, score: float = LEAS
 
 def spread_in_time(candidates: DataFrame, gap: float = 30.0) -> DataFrame:
     """In order of time, candidates that start at least ``gap`` after the start of the last one kept."""
-
-    def step(state, row):
-        if state is None or row["start_time"] - state["start_time"] >= gap:
-            return row, [row]
-        return state, []
-
     kept = candidates.select("stream_id", "id", "start_time", "end_time", "score", "confidence")
-    return fold_by(kept, ["stream_id"], ["start_time", "id"], step, "stream_id long, id long, start_time double, end_time double, score double, confidence double")
+    return opened(kept, ["stream_id"], "start_time", "id", gap).where("opens").drop("opened", "opens")
 
 
 def diverse(candidates: DataFrame, most: int = 10, weight: float = 0.2) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -62,9 +63,11 @@ def neighbours(grid: DataFrame, observed: DataFrame, keys: Sequence[str], at: st
     points = grid.select(*keys, at, *extra, F.lit(1).alias("grid_"), F.lit(None).cast(observed.select(seen.alias("s")).schema["s"].dataType).alias("seen_"))
     blank = [F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in extra]
     both = points.unionByName(observed.select(*keys, at, *blank, F.lit(0).alias("grid_"), seen.alias("seen_")))
-    order = Window.partitionBy(*keys).orderBy(at, "grid_")
+    # Both run over growing frames, which Spark extends row by row: the second one in reverse order.
+    order = Window.partitionBy(*keys).orderBy(at, "grid_", "seen_")
+    reverse = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("grid_"), F.desc("seen_"))
     prior = F.last("seen_", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.first("seen_", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    later = F.last("seen_", ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
     return both.withColumn("prior", prior).withColumn("later", later).where("grid_ = 1").drop("grid_", "seen_")
 
 
@@ -110,3 +113,41 @@ def fold_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step
         schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(schema)
     return dealt.mapInArrow(run, schema)
+
+
+def opened(df: DataFrame, keys: Sequence[str], at: str, tie: str, width: float) -> DataFrame:
+    """``df`` with ``opened`` and ``opens``: windows that open with a row and close when one comes ``width`` or more after it.
+
+    Where a window opens depends on the one before, so the rows of a key are read in
+    order of time, in batches; from one opening to the next the times are searched, and
+    only the last opening is carried between batches.
+    """
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, at, tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, start = None, 0.0
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            times = batch.column(batch.schema.get_field_index(at)).to_numpy()
+            n = len(times)
+            changed = np.zeros(n, dtype=bool)
+            for c in columns:
+                changed[1:] |= c[1:] != c[:-1]
+            found, opens = np.empty(n), np.zeros(n, dtype=bool)
+            for lo, hi in zip([0, *np.flatnonzero(changed)], [*np.flatnonzero(changed), n], strict=True):
+                if lo == hi:
+                    continue
+                key = tuple(c[lo] for c in columns)
+                i = lo
+                if key != current:
+                    current, start, opens[lo] = key, times[lo], True
+                while i < hi:
+                    end = i + int(np.searchsorted(times[i:hi] - start, width))
+                    found[i:end] = start
+                    if end < hi:
+                        start, opens[end] = times[end], True
+                    i = end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(opens)], names=[*batch.schema.names, "opened", "opens"])
+
+    schema = StructType([*df.schema.fields, StructField("opened", DoubleType()), StructField("opens", BooleanType())])
+    return dealt.mapInArrow(run, schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from lumenspan.sources.tables import PHRASES
+
 _T = "(date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 1e6::DOUBLE)"
 
 TABLES = {
@@ -31,8 +33,8 @@ TABLES = {
     "batch_items": "SELECT l_orderkey AS batch_id, l_partkey AS item_id, l_linenumber AS line, CASE l_returnflag WHEN 'N' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'pending' END AS status FROM lineitem",
     "api_keys": """SELECT c_custkey AS id, c_custkey % 150 AS user_id, md5(c_name) AS key_hash, c_custkey % 9 <> 0 AS is_active, CASE WHEN c_custkey % 4 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((c_custkey % 60)::INTEGER) END AS expires_at,
       list_filter(['streams:read', CASE WHEN c_custkey % 2 = 0 THEN 'streams:write' END, CASE WHEN c_custkey % 3 = 0 THEN 'webhooks:read' END, CASE WHEN c_custkey % 10 = 0 THEN 'admin' END], lambda x: x IS NOT NULL) AS scopes FROM customer""",
-    "chat_messages": f"""SELECT event_id, user_id % 10 AS stream_id, user_id, CASE WHEN user_id % 50 = 0 THEN 'bot' ELSE 'user' END || user_id AS username, ts, {_T} AS t, text AS message
-      FROM ev JOIN documents ON doc_id = event_id % (SELECT COUNT(*) FROM documents)""",
+    "chat_messages": f"""SELECT event_id, user_id % 10 AS stream_id, user_id, CASE WHEN user_id % 50 = 0 THEN 'bot' ELSE 'user' END || user_id AS username, ts, {_T} AS t,
+      [{', '.join(f"'{p}'" for p in PHRASES)}][(event_id + k) % {len(PHRASES)} + 1] || CASE WHEN event_id % 2 = 1 THEN ' ' || event_type ELSE '' END AS message FROM ev""",
     "detections": f"""SELECT event_id AS seq, user_id % 20 AS stream_id, CASE event_type WHEN 'view' THEN 'video' WHEN 'click' THEN 'audio' ELSE 'chat' END AS modality, {_T} / 600 AS t, LEAST(value / 100, 1.0::DOUBLE) AS score, 0.5::DOUBLE + k / 200 AS confidence
       FROM ev WHERE event_type IN ('view', 'click', 'purchase')""",
     "frames": f"SELECT event_id AS frame_id, user_id % 20 AS stream_id, ts, {_T} / 600 AS t, event_id % 30 = 0 AS is_keyframe, LEAST(value / 100, 1.0::DOUBLE) AS quality, (k * 1000)::BIGINT AS size_bytes FROM ev",

@@ -1,13 +1,11 @@
-"""Queries of scalar and text functions, chat detection and billing with their SQL."""
+"""Queries of scalar functions, billing and reports with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lumenspan.functions import scalar as C
-from lumenspan.functions import text as X
 from lumenspan.operators import billing as B
-from lumenspan.operators import detection as D
 from lumenspan.operators.relational import in_period
 from lumenspan.plans.prelude import with_tables
 from lumenspan.sources import tables as T
@@ -91,92 +89,6 @@ def _(s, d):
     return T.webhook_events(s, d).select("event_id", C.retry_delay(F.col("retry_count")).alias("delay"))
 
 
-# ---- text --------------------------------------------------------------------------------
-
-_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-TOK = "list_filter(regexp_split_to_array(lower(message), '\\s+'), lambda w: w <> '')"
-SCORED = f"""scored AS (SELECT *, COALESCE((len(list_intersect(list_distinct({TOK}), {_list(X.POSITIVE)})) - len(list_intersect(list_distinct({TOK}), {_list(X.NEGATIVE)}))) / NULLIF(len(list_intersect(list_distinct({TOK}), {_list(X.POSITIVE)})) + len(list_intersect(list_distinct({TOK}), {_list(X.NEGATIVE)})), 0), 0) AS sentiment FROM chat_messages)"""
-
-
-@query("h08_word_sentiment", f"WITH {SCORED} SELECT event_id, ROUND(sentiment, 6) AS sentiment FROM scored")
-def _(s, d):
-    return T.chat_messages(s, d).select("event_id", F.round(X.word_sentiment(F.col("message")), 6).alias("sentiment"))
-
-
-@query("h09_excited_words", f"SELECT event_id, array_to_string(list_filter({_list(X.EXCITED)}, lambda k: contains(lower(message), k)), ',') AS words FROM chat_messages")
-def _(s, d):
-    return T.chat_messages(s, d).select("event_id", F.array_join(X.excited_words(F.col("message")), ",").alias("words"))
-
-
-@query("h10_emoji", "SELECT event_id, CAST(length(regexp_replace(message, '[\\x00-\\x7F]', '', 'g')) + len(regexp_extract_all(message, '[:;]-?[()DP]')) AS INTEGER) AS n FROM chat_messages")
-def _(s, d):
-    return T.chat_messages(s, d).select("event_id", X.emoji_count(F.col("message")).alias("n"))
-
-
-@query("h11_spam_score", None)  # a back-reference finds repeated letters
-def _(s, d):
-    return T.chat_messages(s, d).select("event_id", F.round(X.spam_score(F.col("message")), 6).alias("spam"))
-
-
-# Letters beyond ASCII are word characters to Spark's patterns but not to DuckDB's.
-_TOX = " + ".join(f"len(regexp_extract_all(regexp_replace(lower(message), '[^\\x00-\\x7F]', 'x', 'g'), '{p}'))" for p in X.TOXIC)
-_CAPS = "COALESCE(length(regexp_replace(message, '[^A-Z]', '', 'g')) / NULLIF(length(regexp_replace(message, '[^A-Za-z]', '', 'g')), 0), 0)"
-
-
-@query("h17_toxicity", f"SELECT event_id, ROUND(CAST(LEAST(1, 0.2 * ({_TOX}) + CASE WHEN {_CAPS} > 0.7 THEN 0.1 ELSE 0 END + CASE WHEN length(regexp_replace(message, '[^!?]', '', 'g')) / GREATEST(length(message), 1) > 0.2 THEN 0.1 ELSE 0 END) AS DOUBLE), 6) AS toxicity FROM chat_messages")
-def _(s, d):
-    return T.chat_messages(s, d).select("event_id", F.round(X.toxicity(F.col("message")), 6).alias("toxicity"))
-
-
-@query("h18_cleaned", "SELECT event_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, 'https?://\\S+', '', 'g'), '[@#][A-Za-z0-9_]+', '', 'g'), '[^A-Za-z0-9 .,!?'']', ' ', 'g'), ' +', ' ', 'g')) AS text FROM chat_messages")
-def _(s, d):
-    return T.chat_messages(s, d).select("event_id", X.cleaned(F.col("message")).alias("text"))
-
-
-@query("h16_keywords", f"""WITH words AS (SELECT stream_id, UNNEST(list_filter({TOK}, lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains({_list(X.STOP)}, w))) AS word FROM chat_messages)
-  SELECT stream_id, word, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY COUNT(*) DESC, word) AS INTEGER) AS nth FROM words GROUP BY stream_id, word QUALIFY nth <= 10""")
-def _(s, d):
-    return D.top_keywords(T.chat_messages(s, d))
-
-
-# ---- chat detection ----------------------------------------------------------------------
-
-
-@query("d24_engagement", f"""WITH {SCORED}, w AS (SELECT stream_id, CAST(floor(t / 3600) AS BIGINT) AS "window", COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, AVG(length(message)) AS len, AVG((sentiment > 0)::INT) AS good, AVG((sentiment < 0)::INT) AS bad FROM scored GROUP BY ALL)
-  SELECT stream_id, "window", n, users, ROUND(len, 8) AS avg_length, ROUND(good, 8) AS positive, ROUND(0.3 * LEAST(1, n / 60 / 10) + 0.3 * LEAST(1, users / 50) + 0.2 * LEAST(1, len / 20) + 0.2 * GREATEST(0, good - 0.5 * bad), 8) AS engagement FROM w""")
-def _(s, d):
-    return rounded(D.engagement(T.chat_messages(s, d)), "avg_length", "positive", "engagement", digits=8)
-
-
-@query("j15_spam", f"""SELECT event_id, (COUNT(*) OVER w > 3 AND len(list_distinct(list(lower(message)) OVER w)) * 2 < COUNT(*) OVER w) OR {_CAPS} > 0.8 OR regexp_matches(message, 'https?://') AS is_spam FROM chat_messages WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING)""")
-def _(s, d):
-    return D.spam_flags(T.chat_messages(s, d)).select("event_id", "is_spam")
-
-
-_MSG = "msg AS (SELECT stream_id, t, event_id, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY t, event_id) AS nth FROM chat_messages)"
-RESET = f"""{_MSG}, walk AS (SELECT stream_id, nth, t, t AS opened FROM msg WHERE nth = 1 UNION ALL SELECT m.stream_id, m.nth, m.t, CASE WHEN m.t - w.opened >= 1800 THEN m.t ELSE w.opened END FROM walk w JOIN msg m ON m.stream_id = w.stream_id AND m.nth = w.nth + 1),
-  wins AS (SELECT stream_id, opened AS start_time, MAX(t) AS end_time, COUNT(*) AS n FROM walk GROUP BY stream_id, opened)"""
-
-
-@query("s15_reset_windows", f"WITH RECURSIVE {RESET} SELECT stream_id, ROUND(start_time, 3) AS start_time, ROUND(end_time, 3) AS end_time, n FROM wins")
-def _(s, d):
-    return rounded(D.reset_windows(T.chat_messages(s, d), 1800.0), "start_time", "end_time", digits=3)
-
-
-@query("w13_frequency_spikes", f"""WITH RECURSIVE {RESET}, ordered AS (SELECT *, CASE WHEN end_time > start_time THEN n / (end_time - start_time) ELSE 0 END AS rate, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY start_time) AS nth FROM wins), base AS (
-  SELECT stream_id, nth, start_time, rate, 1::DOUBLE AS old, 0.1::DOUBLE * rate + 0.9::DOUBLE * 1 AS new FROM ordered WHERE nth = 1 UNION ALL SELECT o.stream_id, o.nth, o.start_time, o.rate, b.new, 0.1::DOUBLE * o.rate + 0.9::DOUBLE * b.new FROM base b JOIN ordered o ON o.stream_id = b.stream_id AND o.nth = b.nth + 1)
-  SELECT stream_id, ROUND(start_time, 3) AS start_time, ROUND(rate, 8) AS rate, ROUND(rate / old, 4) AS ratio, ROUND(CASE WHEN rate / old >= 2 THEN 1 / (1 + exp(-(rate / old - 1) / 2)) ELSE 0 END, 6) AS score FROM base""")
-def _(s, d):
-    found = D.frequency_spikes(D.reset_windows(T.chat_messages(s, d), 1800.0))
-    return found.select("stream_id", F.round("start_time", 3).alias("start_time"), F.round("rate", 8).alias("rate"), F.round("ratio", 4).alias("ratio"), F.round("score", 6).alias("score"))
-
-
-@query("w14_user_balance", """WITH c AS (SELECT stream_id, CAST(floor(t / 3600) AS BIGINT) AS "window", user_id, COUNT(*) AS n FROM chat_messages GROUP BY ALL), p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY stream_id, "window" ORDER BY n, user_id) AS i FROM c)
-  SELECT stream_id, "window", COUNT(*) AS users, ROUND(CASE WHEN COUNT(*) > 1 THEN 1 - (2 * SUM(i * n) / (COUNT(*) * SUM(n)) - (COUNT(*) + 1) / COUNT(*)) ELSE 0 END, 8) AS balance FROM p GROUP BY stream_id, "window" """)
-def _(s, d):
-    return rounded(D.user_balance(T.chat_messages(s, d)), "balance", digits=8)
-
-
 # ---- billing -----------------------------------------------------------------------------
 
 _PLAN = "plans(plan_type, max_members, max_minutes, plan_rate) AS (VALUES " + ", ".join(f"('{p}', {B.LIMITS[p][0]}, {B.LIMITS[p][1]}, {B.RATES[p]}::DOUBLE)" for p in B.LIMITS) + ")"

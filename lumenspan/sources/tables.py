@@ -190,19 +190,26 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Phrases of the chat, one for each event by its number; every second one is followed by the event's type.
+PHRASES = (
+    "gg that clutch was insane :)", "LETS GO THIS IS AMAZING POGGERS", "worst stream ever, so boring and bad :(", "omg no way!!! unreal play xD",
+    "follow my channel at https://spam.example.com for free giveaway", "nooooooooo how did they lose", "@streamer love the new #setup, great and nice quality KEKW", "hi",
+    "you stupid noob, go away troll", "lol lol lol lol", "what a beautiful perfect goal, champion LUL", "i hate this lag, terrible and awful",
+    "\U0001f600\U0001f600 wow \U0001f525", "is anyone scared or worried about the boss? so nervous", "!!!???", "a quiet message about the map and the next round",
+)
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of ten channels; their texts are whole documents."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
-    n_docs = docs.count()
-    events = _events(spark, sf_dir).withColumn("doc_id", F.col("event_id") % n_docs)
-    return events.join(docs, "doc_id").select(
+    """Messages of ten channels, one for each event."""
+    phrase = pick((F.col("event_id") + F.col("k")) % len(PHRASES), *PHRASES)
+    return _events(spark, sf_dir).select(
         "event_id",
         (F.col("user_id") % 10).alias("stream_id"),
         "user_id",
         F.concat(F.when(F.col("user_id") % 50 == 0, "bot").otherwise("user"), F.col("user_id")).alias("username"),
         "ts",
         seconds("ts").alias("t"),
-        "message",
+        F.when(F.col("event_id") % 2 == 1, F.concat(phrase, F.lit(" "), F.col("event_type"))).otherwise(phrase).alias("message"),
     )
 
 
