@@ -99,16 +99,39 @@ def url_host(url: Column) -> Column:
 
 
 def url_platform(url: Column) -> Column:
-    host = url_host(url)
-    return F.when(host.rlike(r"(^|\.)twitch\.tv$"), "twitch").when(host.rlike(r"(^|\.)(youtube\.com|youtu\.be)$"), "youtube").when(url.rlike("^rtmps?://"), "rtmp").otherwise("custom")
+    """Host names first, anywhere in the text, then the scheme; custom otherwise."""
+    low = F.lower(url)
+    named = F.when(F.contains(low, F.lit("twitch.tv")), "twitch").when(F.contains(low, F.lit("youtube.com")) | F.contains(low, F.lit("youtu.be")), "youtube")
+    return named.when(low.startswith("rtmps://"), "rtmps").when(low.startswith("rtmp://"), "rtmp").otherwise("custom")
 
 
-def object_key(*parts: Column) -> Column:
-    return F.concat_ws("/", *parts)
+def twitch_name(url: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(url, r"^https?://(?:www\.|m\.)?twitch\.tv/([A-Za-z0-9_]{4,25})/?$", 1)), F.lit(""))
+
+
+def youtube_id(url: Column) -> Column:
+    """The id of a video; null for channels and handles."""
+    return F.nullif(F.regexp_extract(url, r"^https?://(?:(?:www\.|m\.)?youtube\.com/(?:watch\?v=|live/)|youtu\.be/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
+
+
+def canonical_url(url: Column) -> Column:
+    name = twitch_name(url)
+    return F.when(name.isNotNull(), F.concat(F.lit("https://www.twitch.tv/"), name)).otherwise(url)
+
+
+def object_key(organization: Column, kind: Column, day: Column, resource: Column, name: Column) -> Column:
+    """organization/kind/yyyy/mm/dd/resource/name, the name without folders and spaces."""
+    plain = F.replace(F.regexp_extract(name, "([^/]*)$", 1), F.lit(" "), F.lit("_"))
+    return F.concat_ws("/", organization, kind, F.date_format(day, "yyyy/MM/dd"), resource, plain)
 
 
 def bucket_and_key(url: Column) -> Column:
-    return F.struct(F.regexp_extract(url, "^s3://([^/]+)/(.*)$", 1).alias("bucket"), F.regexp_extract(url, "^s3://([^/]+)/(.*)$", 2).alias("key"))
+    """Of s3:// addresses, of hosts that begin with the bucket, and of paths that do."""
+    host, path = F.regexp_extract(url, "^https?://([^/]+)/", 1), F.regexp_extract(url, "^https?://[^/]+/(.*)$", 1)
+    in_host = F.contains(host, F.lit(".s3.")) | F.contains(host, F.lit(".s3-"))
+    bucket = F.when(url.startswith("s3://"), F.regexp_extract(url, "^s3://([^/]+)/", 1)).when(in_host, F.split_part(host, F.lit("."), F.lit(1))).otherwise(F.split_part(path, F.lit("/"), F.lit(1)))
+    key = F.when(url.startswith("s3://"), F.regexp_extract(url, "^s3://[^/]+/(.*)$", 1)).when(in_host, path).otherwise(F.regexp_extract(path, "^[^/]*/(.*)$", 1))
+    return F.struct(bucket.alias("bucket"), key.alias("key"))
 
 
 def file_name(name: Column) -> Column:
@@ -116,11 +139,15 @@ def file_name(name: Column) -> Column:
 
 
 def quality_name(height: Column) -> Column:
-    return levels(height, [(2160, "4k"), (1440, "1440p"), (1080, "1080p"), (720, "720p"), (480, "480p"), (360, "360p")], "low")
+    named = F.when(F.lit(False), None)
+    for bound, name in ((2160, "4K"), (1440, "1440p"), (1080, "1080p"), (720, "720p"), (480, "480p"), (360, "360p"), (240, "240p")):
+        named = named.when(height >= bound, name)
+    return named.otherwise(F.concat(height, F.lit("p")))
 
 
 def bandwidth_needed(bandwidth: Column, buffer_seconds: float = 10.0) -> Column:
-    return F.floor(bandwidth * 1.2 * max(1.0, buffer_seconds / 10)).cast("long")
+    """A fifth more, and more again for buffers beyond ten seconds."""
+    return F.floor((bandwidth + F.floor(bandwidth * 0.2)) * max(1.0, buffer_seconds / 10)).cast("long")
 
 
 def retry_delay(attempt: Column, base: float = 60.0, factor: float = 2.0, most: float = 3600.0) -> Column:
@@ -130,3 +157,80 @@ def retry_delay(attempt: Column, base: float = 60.0, factor: float = 2.0, most:
 def word_jaccard(a: Column, b: Column) -> Column:
     x, y = (F.array_distinct(F.filter(F.split(F.lower(c), " +"), lambda w: w != "")) for c in (a, b))
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
+
+
+# Fixed weights of the eight dimensions and thresholds of the highlight types.
+DIMENSIONS = ("skill_execution", "game_impact", "rarity", "visual_spectacle", "emotional_intensity", "narrative_value", "timing_importance", "momentum_shift")
+DIMENSION_WEIGHTS = {
+    "default": (0.20, 0.20, 0.15, 0.15, 0.10, 0.10, 0.05, 0.05),
+    "skill": (0.35, 0.20, 0.15, 0.15, 0.05, 0.05, 0.03, 0.02),
+    "impact": (0.15, 0.35, 0.15, 0.10, 0.10, 0.05, 0.05, 0.05),
+    "entertainment": (0.15, 0.15, 0.20, 0.20, 0.15, 0.10, 0.03, 0.02),
+}
+THRESHOLDS = {
+    "default": {"viable": 0.5, "good": 0.7, "exceptional": 0.85, "legendary": 0.95, "skill_play": 0.65, "clutch_moment": 0.75, "comeback": 0.70, "rare_event": 0.80, "perfect_execution": 0.90, "manual": 0.90},
+    "strict": {"viable": 0.65, "good": 0.75, "exceptional": 0.88, "legendary": 0.95, "skill_play": 0.70, "clutch_moment": 0.80, "comeback": 0.75, "rare_event": 0.85, "perfect_execution": 0.92, "manual": 0.90},
+    "lenient": {"viable": 0.40, "good": 0.60, "exceptional": 0.80, "legendary": 0.92, "skill_play": 0.55, "clutch_moment": 0.65, "comeback": 0.60, "rare_event": 0.75, "perfect_execution": 0.85, "manual": 0.90},
+}
+GENERAL = ("viable", "good", "exceptional", "legendary")
+
+
+def dimension_score(dimensions: Mapping[str, Column], preset: str = "default") -> Column:
+    return sum((dimensions[d] * w for d, w in zip(DIMENSIONS, DIMENSION_WEIGHTS[preset], strict=True) if d in dimensions), F.lit(0.0))
+
+
+def quality_level(score: Column, preset: str = "default") -> Column:
+    t = THRESHOLDS[preset]
+    return levels(score, [(t[n], n) for n in reversed(GENERAL)], "below_threshold")
+
+
+def meets_threshold(score: Column, kind: Column, preset: str = "default") -> Column:
+    """Whether the score reaches the threshold of its type, or the general one."""
+    t = THRESHOLDS[preset]
+    table = F.create_map(*[F.lit(x) for n, v in t.items() if n not in GENERAL for x in (n, v)])
+    return score >= F.coalesce(F.element_at(table, kind), F.lit(t["viable"]))
+
+
+def keyword_priority(word: Column, high: Sequence[str], medium: Sequence[str], low: Sequence[str]) -> Column:
+    w = F.lower(word)
+    return F.when(w.isin([x.lower() for x in high]), 1.0).when(w.isin([x.lower() for x in medium]), 0.6).when(w.isin([x.lower() for x in low]), 0.3).otherwise(0.0)
+
+
+# Fixed permissions.
+PERMISSIONS = ("read", "write", "delete", "streams", "batches", "webhooks", "analytics", "admin")
+
+
+def permissions(scopes: Column) -> Column:
+    """The permissions that scopes of the form resource:action grant, in a fixed order; admin grants all."""
+    parts = F.flatten(F.transform(F.filter(scopes, lambda x: F.contains(x, F.lit(":"))), lambda x: F.split(x, ":")))
+    every = F.array(*[F.lit(p) for p in PERMISSIONS])
+    return F.when(F.array_contains(scopes, "admin"), every).otherwise(F.filter(every, lambda p: F.array_contains(parts, p)))
+
+
+# Fixed transitions of a stream's status.
+TRANSITIONS = {"pending": ("processing", "failed", "cancelled"), "processing": ("completed", "failed", "cancelled")}
+
+
+def may_follow(before: Column, after: Column) -> Column:
+    allowed = F.lit(False)
+    for status, following in TRANSITIONS.items():
+        allowed = allowed | ((before == status) & after.isin(*following))
+    return allowed
+
+
+def confidence_of(scores: Column, method: str = "consistency", threshold: float = 0.5) -> Column:
+    """Confidence from an array of scores by entropy, variance, consistency or majority; 0 for none."""
+    n = F.size(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+    mean = total / n
+    over = lambda f: F.aggregate(F.transform(scores, f), F.lit(0.0), lambda a, x: a + x)
+    if method == "majority":
+        value = F.size(F.filter(scores, lambda x: x > threshold)) / n
+    elif method == "variance":
+        value = F.when(n == 1, 1.0).otherwise(1 - F.least(over(lambda x: (x - mean) * (x - mean)) / n, F.lit(1.0)))
+    elif method == "entropy":
+        part = lambda x: F.when(total > 0, x / total).otherwise(1 / n)
+        value = F.when(n == 1, 1.0).otherwise(1 + over(lambda x: part(x) * F.log(part(x) + 1e-10)) / F.log(n))
+    else:
+        value = F.when(n == 1, 1.0).otherwise(1 - F.least(over(lambda x: F.abs(x - mean)) / n, F.lit(1.0)))
+    return F.when(n == 0, 0.0).otherwise(value)

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Fixed limits and rates of the plans.
-LIMITS = {"starter": (5, 1000, 60), "professional": (20, 10_000, 300), "enterprise": (100, 100_000, 1000), "custom": (1000, 1_000_000, 10_000)}
-RATES = {"starter": 0.05, "professional": 0.04, "enterprise": 0.03, "custom": 0.02}
+LIMIT_NAMES = ("calls_per_minute", "max_minutes", "max_streams", "max_webhooks", "max_keys", "max_members")
+LIMITS = {
+    "starter": (60, 1000, 1, 2, 2, 3),
+    "professional": (300, 10_000, 5, 10, 10, 10),
+    "enterprise": (1000, 100_000, 20, 50, 50, 100),
+    "custom": (2000, 1_000_000, 100, 100, 100, 1000),
+}
+RATE_NAMES = ("stream_processing", "batch_processing", "api_call", "webhook_delivery", "storage", "bandwidth")
+RATES = {
+    "starter": (0.10, 0.08, 0.0001, 0.001, 0.10, 0.15),
+    "professional": (0.08, 0.06, 0.00008, 0.0008, 0.08, 0.12),
+    "enterprise": (0.05, 0.04, 0.00005, 0.0005, 0.05, 0.08),
+    "custom": (0.03, 0.025, 0.00003, 0.0003, 0.03, 0.05),
+}
 
 
 def plans(spark: SparkSession) -> DataFrame:
-    """One row a plan: members, monthly minutes, calls a minute, rate."""
-    rows = [(p, *LIMITS[p], RATES[p]) for p in LIMITS]
-    return spark.createDataFrame(rows, "plan_type string, max_members int, max_minutes int, calls_per_minute int, plan_rate double")
+    """One row a plan with its limits."""
+    rows = [(p, *LIMITS[p]) for p in LIMITS]
+    return spark.createDataFrame(rows, "plan_type string, " + ", ".join(f"{n} int" for n in LIMIT_NAMES))
+
+
+def rates(spark: SparkSession) -> DataFrame:
+    """One row for each plan and type of usage."""
+    rows = [(p, kind, rate) for p, by_kind in RATES.items() for kind, rate in zip(RATE_NAMES, by_kind, strict=True)]
+    return spark.createDataFrame(rows, "plan_type string, usage_type string, plan_rate double")
 
 
 def organization_of(organizations: DataFrame, memberships: DataFrame) -> DataFrame:
@@ -24,11 +42,22 @@ def organization_of(organizations: DataFrame, memberships: DataFrame) -> DataFra
     return joined.join(owned, "user_id", "full").select("user_id", F.coalesce("owned", "joined").alias("organization_id"))
 
 
-def priced(usage: DataFrame, organizations: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Usage with the cost at the rate of its user's plan."""
-    rates = organizations.select(F.col("id").alias("home_id"), "plan_type").join(plans(usage.sparkSession), "plan_type").select("home_id", "plan_type", "plan_rate")
-    home = organization_of(organizations, memberships).withColumnRenamed("organization_id", "home_id").join(rates, "home_id")
-    return usage.join(home, "user_id").withColumn("plan_cost", F.when(F.col("billable"), F.col("quantity") * F.col("plan_rate")).otherwise(0.0))
+def plan_of(organizations: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Rows (user_id, home_id, plan_type)."""
+    home = organization_of(organizations, memberships).withColumnRenamed("organization_id", "home_id")
+    return home.join(organizations.select(F.col("id").alias("home_id"), "plan_type"), "home_id")
+
+
+def priced(usage: DataFrame, plan: DataFrame) -> DataFrame:
+    """Usage with the cost at the rate of its user's plan for its type; not billable usage costs nothing."""
+    known = usage.join(plan, "user_id").join(rates(usage.sparkSession), ["plan_type", "usage_type"])
+    return known.withColumn("plan_cost", F.when(F.col("billable"), F.col("quantity") * F.col("plan_rate")).otherwise(0.0))
+
+
+def batch_usage(batches: DataFrame, minutes: Column) -> DataFrame:
+    """What a batch uses: the minutes of its successful items, taken as an equal share each."""
+    billable = F.when(F.col("total_items") > 0, F.col("successful_items") * (minutes / F.col("total_items"))).otherwise(0.0)
+    return batches.select("id", "user_id", F.lit("batch_processing").alias("usage_type"), billable.alias("quantity"), F.lit(True).alias("billable"))
 
 
 def quota_use(organizations: DataFrame, memberships: DataFrame, usage: DataFrame) -> DataFrame:
@@ -41,6 +70,27 @@ def quota_use(organizations: DataFrame, memberships: DataFrame, usage: DataFrame
     return filled.select("id", "plan_type", "members", "minutes", F.round(100 * F.col("members") / F.col("max_members"), 6).alias("member_percent"), over.alias("is_over"))
 
 
+def active_streams(streams: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per user with a plan the streams under way, and whether one more may start."""
+    counts = streams.where("status IN ('pending', 'processing')").groupBy("user_id").agg(F.count("*").alias("active"))
+    joined = plan.join(plans(plan.sparkSession), "plan_type").join(counts, "user_id", "left")
+    active = F.coalesce("active", F.lit(0))
+    return joined.select("user_id", "plan_type", active.alias("active"), "max_streams", (active < F.col("max_streams")).alias("may_start"))
+
+
+def member_activity(memberships: DataFrame, streams: DataFrame) -> DataFrame:
+    """Per organization and member the number of streams and the last one's time."""
+    own = streams.groupBy("user_id").agg(F.count("*").alias("n_streams"), F.max("created_at").alias("last_active"))
+    return memberships.join(own, "user_id", "left").select("organization_id", "user_id", F.coalesce("n_streams", F.lit(0)).alias("n_streams"), "last_active")
+
+
+def stream_cost(usage: DataFrame, highlights: DataFrame) -> DataFrame:
+    """Per stream its use and cost, its highlights and the cost of each."""
+    used = usage.where("resource_type = 'stream'").groupBy(F.col("resource_id").alias("stream_id")).agg(F.sum("quantity").alias("quantity"), F.sum("total_cost").alias("cost"))
+    found = highlights.groupBy("stream_id").agg(F.count("*").alias("n_highlights"))
+    return used.join(found, "stream_id", "left").withColumn("n_highlights", F.coalesce("n_highlights", F.lit(0))).withColumn("per_highlight", F.try_divide("cost", "n_highlights"))
+
+
 def trends(usage: DataFrame, granularity: str = "day") -> DataFrame:
     """Quantity of each main type and total cost by day, week or month."""
     kind = F.col("usage_type")
@@ -59,8 +109,12 @@ def top_resources(usage: DataFrame, limit: int = 10) -> DataFrame:
     return usage.groupBy(key.alias("resource")).agg(F.round(F.sum("total_cost"), 4).alias("cost"), F.count("*").alias("n")).orderBy(F.desc("cost"), "resource").limit(limit)
 
 
-def monthly_estimate(usage: DataFrame, days: int) -> DataFrame:
-    return usage.groupBy("user_id").agg(F.round(F.sum("total_cost") / days * 30, 4).alias("estimate"))
+def monthly_estimate(usage: DataFrame, since: Column, month: Column, days: int) -> DataFrame:
+    """Per user thirty days at the mean of the last ``days``, the month so far, and how much the first is above it."""
+    recent = F.sum(F.when(F.col("period_start") >= since, F.col("total_cost")).otherwise(0.0)) / days * 30
+    actual = F.sum(F.when(F.col("period_start") >= month, F.col("total_cost")).otherwise(0.0))
+    found = usage.groupBy("user_id").agg(recent.alias("estimate"), actual.alias("actual"))
+    return found.withColumn("overrun", F.greatest(F.lit(0.0), F.col("estimate") - F.col("actual")))
 
 
 def calls_in_last_minute(usage: DataFrame, seconds: int = 60) -> DataFrame:
@@ -85,3 +139,24 @@ def performance(tasks: DataFrame, key: str, value: str) -> DataFrame:
 def cumulative_buckets(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
     """Rows at or under each bound."""
     return rows.agg(*[F.count_if(F.col(value) <= b).alias(f"le_{i}") for i, b in enumerate(bounds)], F.count(value).alias("le_inf"))
+
+
+def calls_within(usage: DataFrame, per_minute: int, per_hour: int) -> DataFrame:
+    """Calls that keep to the limits of the last minute and the last hour, the call itself included."""
+    at = F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("period_start"))
+    calls = usage.where("usage_type = 'api_call'").withColumn("at", at)
+    span = lambda seconds: F.count("*").over(Window.partitionBy("user_id").orderBy("at").rangeBetween(1 - seconds, 0))
+    counted = calls.withColumn("in_minute", span(60)).withColumn("in_hour", span(3600))
+    return counted.withColumn("allowed", (F.col("in_minute") <= per_minute) & (F.col("in_hour") <= per_hour))
+
+
+def error_rates(tasks: DataFrame, key: str, failed: Column) -> DataFrame:
+    """Count, failures and their percentage by key, with a row for all."""
+    n, bad = F.count("*"), F.count_if(failed)
+    return tasks.rollup(key).agg(n.alias("n"), bad.alias("n_failed"), F.round(100 * bad / n, 6).alias("percent"))
+
+
+def throughput(tasks: DataFrame, now: Column, done: Column) -> DataFrame:
+    """Tasks done in the last hour and what that makes a day."""
+    n = F.count_if(done & (F.col("ts") > F.timestamp_add("HOUR", F.lit(-1), now)) & (F.col("ts") <= now))
+    return tasks.agg(n.alias("last_hour"), (24 * n).alias("per_day"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Fixed names.
 STREAM_STATUSES = ("pending", "processing", "completed", "failed", "cancelled")
 BATCH_STATUSES = ("pending", "processing", "completed", "partially_failed", "failed", "cancelled")
 WEBHOOK_STATUSES = ("active", "inactive", "failed")
@@ -158,14 +159,14 @@ def members_of(organizations: DataFrame, memberships: DataFrame, condition: Colu
     return joined.union(chosen.select(F.col("owner_id").alias("user_id"))).where("user_id IS NOT NULL").distinct()
 
 
-def with_highlights(streams: DataFrame, highlights: DataFrame, most: int = 100) -> DataFrame:
-    """Streams with their best highlights as an ordered array of at most ``most`` ids, and the count of all."""
+def with_highlights(streams: DataFrame, highlights: DataFrame) -> DataFrame:
+    """One row for each stream and highlight, best first (``nth``); a stream without any has one row of nulls.
+
+    Kept flat, so that no list of highlights grows in one row.
+    """
     order = Window.partitionBy("stream_id").orderBy(F.desc("confidence_score"), "id")
-    best = highlights.select("stream_id", F.struct(F.row_number().over(order).alias("nth"), "id").alias("x")).where(F.col("x.nth") <= most)
-    nested = best.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias("highlight_ids"))
-    counts = highlights.groupBy("stream_id").agg(F.count("*").alias("n_highlights"))
-    both = counts.join(nested, "stream_id").withColumnRenamed("stream_id", "id")
-    return streams.join(both, "id", "left").withColumn("n_highlights", F.coalesce("n_highlights", F.lit(0)))
+    placed = highlights.select(F.col("stream_id").alias("of_stream_"), F.col("id").alias("highlight_id"), "confidence_score", F.row_number().over(order).alias("nth"))
+    return streams.join(placed, streams["id"] == placed["of_stream_"], "left").drop("of_stream_")
 
 
 # ---- aggregations ----------------------------------------------------------------------

@@ -37,6 +37,9 @@ TABLES = {
       [{', '.join(f"'{p}'" for p in PHRASES)}][(event_id + k) % {len(PHRASES)} + 1] || CASE WHEN event_id % 2 = 1 THEN ' ' || event_type ELSE '' END AS message FROM ev""",
     "detections": f"""SELECT event_id AS seq, user_id % 20 AS stream_id, CASE event_type WHEN 'view' THEN 'video' WHEN 'click' THEN 'audio' ELSE 'chat' END AS modality, {_T} / 600 AS t, LEAST(value / 100, 1.0::DOUBLE) AS score, 0.5::DOUBLE + k / 200 AS confidence
       FROM ev WHERE event_type IN ('view', 'click', 'purchase')""",
+    "stream_urls": """SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderkey % 4 WHEN 0 THEN 'https://www.twitch.tv/User_' || o_custkey WHEN 1 THEN 'https://www.youtube.com/watch?v=' || lpad(o_orderkey::VARCHAR, 11, 'x')
+      WHEN 2 THEN 'rtmp://live.example.com/app/' || o_orderkey ELSE 'https://cdn.example.com/live/' || o_orderkey || '.m3u8' END AS url FROM orders""",
+    "qualities": "SELECT p_partkey AS id, p_partkey % 25 AS manifest_id, [180, 240, 360, 480, 720, 1080, 1440, 2160][p_size % 8 + 1] AS height, CAST(floor(p_retailprice * 1000) AS BIGINT) AS bandwidth FROM part",
     "frames": f"SELECT event_id AS frame_id, user_id % 20 AS stream_id, ts, {_T} / 600 AS t, event_id % 30 = 0 AS is_keyframe, LEAST(value / 100, 1.0::DOUBLE) AS quality, (k * 1000)::BIGINT AS size_bytes FROM ev",
 }
 

@@ -91,8 +91,14 @@ def _(s, d):
 
 # ---- billing -----------------------------------------------------------------------------
 
-_PLAN = "plans(plan_type, max_members, max_minutes, plan_rate) AS (VALUES " + ", ".join(f"('{p}', {B.LIMITS[p][0]}, {B.LIMITS[p][1]}, {B.RATES[p]}::DOUBLE)" for p in B.LIMITS) + ")"
+_PLAN = "plans(plan_type, " + ", ".join(B.LIMIT_NAMES) + ") AS (VALUES " + ", ".join(f"('{p}', {', '.join(map(str, v))})" for p, v in B.LIMITS.items()) + ")"
+_RATES = "rates(plan_type, usage_type, plan_rate) AS (VALUES " + ", ".join(f"('{p}', '{k}', {r:f}::DOUBLE)" for p, v in B.RATES.items() for k, r in zip(B.RATE_NAMES, v, strict=True)) + ")"
 _HOME = "home AS (SELECT COALESCE(o.user_id, m.user_id) AS user_id, COALESCE(owned, joined) AS home_id FROM (SELECT owner_id AS user_id, MIN(id) AS owned FROM organizations WHERE owner_id IS NOT NULL GROUP BY 1) o FULL JOIN (SELECT user_id, MIN(organization_id) AS joined FROM memberships GROUP BY 1) m ON o.user_id = m.user_id)"
+_OWN = f"{_HOME}, own AS (SELECT h.user_id, h.home_id, o.plan_type FROM home h JOIN organizations o ON o.id = h.home_id)"
+
+
+def _plan(s, d):
+    return B.plan_of(T.organizations(s, d), T.memberships(s, d))
 
 
 @query("j17_home_organization", f"WITH {_HOME} SELECT user_id, home_id AS organization_id FROM home")
@@ -100,9 +106,29 @@ def _(s, d):
     return B.organization_of(T.organizations(s, d), T.memberships(s, d))
 
 
-@query("j18_priced_usage", f"WITH {_PLAN}, {_HOME} SELECT u.id, p.plan_type, ROUND(CASE WHEN billable THEN quantity * plan_rate ELSE 0 END, 6) AS plan_cost FROM usage_records u JOIN home h ON h.user_id = u.user_id JOIN organizations o ON o.id = h.home_id JOIN plans p ON p.plan_type = o.plan_type")
+@query("j18_priced_usage", f"WITH {_RATES}, {_OWN} SELECT u.id, o.plan_type, ROUND(CASE WHEN billable THEN quantity * plan_rate ELSE 0 END, 8) AS plan_cost FROM usage_records u JOIN own o USING (user_id) JOIN rates r ON r.plan_type = o.plan_type AND r.usage_type = u.usage_type")
+def _(s, d):
+    return rounded(B.priced(T.usage_records(s, d), _plan(s, d)).select("id", "plan_type", "plan_cost"), "plan_cost", digits=8)
+
+
+@query("j19_priced_batches", f"""WITH {_RATES}, {_OWN} SELECT b.id, o.plan_type, ROUND(CASE WHEN total_items > 0 THEN successful_items * (total_items * 1.5 / total_items) ELSE 0 END, 6) AS minutes, ROUND(CASE WHEN total_items > 0 THEN successful_items * (total_items * 1.5 / total_items) ELSE 0 END * plan_rate, 8) AS plan_cost
+  FROM batches b JOIN own o USING (user_id) JOIN rates r ON r.plan_type = o.plan_type AND r.usage_type = 'batch_processing'""")
+def _(s, d):
+    found = B.priced(B.batch_usage(T.batches(s, d), F.col("total_items") * 1.5), _plan(s, d))
+    return found.select("id", "plan_type", F.round("quantity", 6).alias("minutes"), F.round("plan_cost", 8).alias("plan_cost"))
+
+
+@query("j20_priced_calls", f"WITH {_RATES}, {_OWN} SELECT e.event_id AS id, e.k < 90 AS billable, ROUND(CASE WHEN e.k < 90 THEN plan_rate ELSE 0 END, 8) AS plan_cost FROM ev e JOIN own o USING (user_id) JOIN rates r ON r.plan_type = o.plan_type AND r.usage_type = 'api_call' WHERE e.event_type = 'click'")
+def _(s, d):
+    status = F.when(F.col("k") < 90, 200).otherwise(500)
+    calls = T.numbered_events(s, d).where("event_type = 'click'").select(F.col("event_id").alias("id"), "user_id", F.lit("api_call").alias("usage_type"), F.lit(1.0).alias("quantity"), status.between(200, 299).alias("billable"))
+    return rounded(B.priced(calls, _plan(s, d)).select("id", "billable", "plan_cost"), "plan_cost", digits=8)
+
+
+@query("j21_priced_deliveries", f"WITH {_RATES}, {_OWN} SELECT e.event_id AS id, e.status = 'processed' AS billable, ROUND(CASE WHEN e.status = 'processed' THEN plan_rate ELSE 0 END, 8) AS plan_cost FROM webhook_events e JOIN own o ON o.user_id = e.stream_id JOIN rates r ON r.plan_type = o.plan_type AND r.usage_type = 'webhook_delivery'")
 def _(s, d):
-    return rounded(B.priced(T.usage_records(s, d), T.organizations(s, d), T.memberships(s, d)).select("id", "plan_type", "plan_cost"), "plan_cost")
+    sent = T.webhook_events(s, d).select(F.col("event_id").alias("id"), F.col("stream_id").alias("user_id"), F.lit("webhook_delivery").alias("usage_type"), F.lit(1.0).alias("quantity"), (F.col("status") == "processed").alias("billable"))
+    return rounded(B.priced(sent, _plan(s, d)).select("id", "billable", "plan_cost"), "plan_cost", digits=8)
 
 
 @query("j16_quotas", f"""WITH {_PLAN} SELECT o.id, o.plan_type, COALESCE(members, 0) AS members, ROUND(COALESCE(minutes, 0), 4) AS minutes, ROUND(100 * COALESCE(members, 0) / max_members, 6) AS member_percent, COALESCE(members, 0) > max_members OR COALESCE(minutes, 0) > max_minutes AS is_over
@@ -111,6 +137,34 @@ def _(s, d):
     return rounded(B.quota_use(T.organizations(s, d), T.memberships(s, d), T.usage_records(s, d)), "minutes", digits=4)
 
 
+@query("h67_plan_limits", f"WITH {_PLAN} SELECT o.id, {', '.join(f'p.{n}' for n in B.LIMIT_NAMES)} FROM organizations o JOIN plans p USING (plan_type)")
+def _(s, d):
+    return T.organizations(s, d).join(B.plans(s), "plan_type").select("id", *B.LIMIT_NAMES)
+
+
+@query("s36_concurrent_streams", f"WITH {_PLAN}, {_OWN} SELECT o.user_id, o.plan_type, COALESCE(n, 0) AS active, max_streams, COALESCE(n, 0) < max_streams AS may_start FROM own o JOIN plans p USING (plan_type) LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM streams WHERE status IN ('pending', 'processing') GROUP BY 1) a ON a.user_id = o.user_id")
+def _(s, d):
+    return B.active_streams(T.streams(s, d), _plan(s, d))
+
+
+@query("d18_organization_analytics", f"""WITH {_PLAN} SELECT o.id, o.plan_type, COALESCE(m.n, 0) AS members, ROUND(100 * COALESCE(m.n, 0) / max_members, 6) AS member_percent, COALESCE(k.n, 0) AS n_records
+  FROM organizations o JOIN plans USING (plan_type) LEFT JOIN (SELECT organization_id, COUNT(DISTINCT user_id) AS n FROM memberships GROUP BY 1) m ON m.organization_id = o.id LEFT JOIN (SELECT organization_id, COUNT(*) AS n FROM usage_records GROUP BY 1) k ON k.organization_id = o.id""")
+def _(s, d):
+    quotas = B.quota_use(T.organizations(s, d), T.memberships(s, d), T.usage_records(s, d))
+    records = T.usage_records(s, d).groupBy(F.col("organization_id").alias("id")).agg(F.count("*").alias("n_records"))
+    return quotas.join(records, "id", "left").select("id", "plan_type", "members", "member_percent", F.coalesce("n_records", F.lit(0)).alias("n_records"))
+
+
+@query("d41_member_activity", "SELECT organization_id, m.user_id, COALESCE(n, 0) AS n_streams, last_active FROM memberships m LEFT JOIN (SELECT user_id, COUNT(*) AS n, MAX(created_at) AS last_active FROM streams GROUP BY 1) s USING (user_id)")
+def _(s, d):
+    return B.member_activity(T.memberships(s, d), T.streams(s, d))
+
+
+@query("d40_stream_cost", "SELECT stream_id, ROUND(q, 4) AS quantity, ROUND(c, 4) AS cost, COALESCE(n, 0) AS n_highlights, ROUND(c / NULLIF(COALESCE(n, 0), 0), 6) AS per_highlight FROM (SELECT resource_id AS stream_id, SUM(quantity) AS q, SUM(total_cost) AS c FROM usage_records WHERE resource_type = 'stream' GROUP BY 1) u LEFT JOIN (SELECT stream_id, COUNT(*) AS n FROM highlights GROUP BY 1) h USING (stream_id)")
+def _(s, d):
+    return rounded(rounded(B.stream_cost(T.usage_records(s, d), T.highlights(s, d)), "quantity", "cost", digits=4), "per_highlight")
+
+
 for _g in ("day", "week", "month"):
 
     @query(f"d28_trends_{_g}", f"SELECT CAST(date_trunc('{_g}', period_start) AS TIMESTAMP) AS period, " + ", ".join(f"ROUND(SUM(CASE WHEN usage_type = '{k}' THEN quantity ELSE 0 END), 4) AS {k}" for k in ("stream_processing", "api_call", "webhook_delivery")) + ", ROUND(SUM(total_cost), 4) AS cost FROM usage_records GROUP BY 1")
@@ -128,9 +182,27 @@ def _(s, d):
     return B.top_resources(T.usage_records(s, d).where(in_period(NTZ("2024-01-05"))))
 
 
-@query("d30_estimate", "SELECT user_id, ROUND(SUM(total_cost) / 7 * 30, 4) AS estimate FROM usage_records WHERE period_start >= TIMESTAMP '2024-01-20' GROUP BY 1")
+@query("d30_estimate", """SELECT user_id, ROUND(e, 4) AS estimate, ROUND(a, 4) AS actual, ROUND(GREATEST(0, e - a), 4) AS overrun
+  FROM (SELECT user_id, COALESCE(SUM(total_cost) FILTER (period_start >= TIMESTAMP '2024-01-20'), 0) / 7 * 30 AS e, COALESCE(SUM(total_cost) FILTER (period_start >= TIMESTAMP '2024-01-15'), 0) AS a FROM usage_records GROUP BY 1)""")
+def _(s, d):
+    return rounded(B.monthly_estimate(T.usage_records(s, d), NTZ("2024-01-20"), NTZ("2024-01-15"), 7), "estimate", "actual", "overrun", digits=4)
+
+
+@query("d34_throughput", "SELECT n AS last_hour, 24 * n AS per_day FROM (SELECT COUNT(*) AS n FROM events WHERE event_type <> 'error' AND ts > TIMESTAMP '2024-01-15 11:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00')")
+def _(s, d):
+    return B.throughput(T.read(s, d, "events"), NTZ("2024-01-15 12:00:00"), F.col("event_type") != "error")
+
+
+@query("d35_error_rates", "SELECT platform, COUNT(*) AS n, COUNT(*) FILTER (status = 'failed') AS n_failed, ROUND(100 * COUNT(*) FILTER (status = 'failed') / COUNT(*), 6) AS percent FROM webhook_events WHERE received_at > TIMESTAMP '2024-01-14' AND received_at <= TIMESTAMP '2024-01-15' GROUP BY ROLLUP (platform)")
+def _(s, d):
+    day = T.webhook_events(s, d).where((F.col("received_at") > NTZ("2024-01-14")) & (F.col("received_at") <= NTZ("2024-01-15")))
+    return B.error_rates(day, "platform", F.col("status") == "failed")
+
+
+@query("s35_rate_limits", """SELECT id, in_minute, in_hour, in_minute <= 2 AND in_hour <= 4 AS allowed FROM (SELECT id, COUNT(*) OVER (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_minute, COUNT(*) OVER (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_hour
+  FROM (SELECT *, date_diff('microsecond', TIMESTAMP '2024-01-01', period_start) // 1000000 AS at_s FROM usage_records WHERE usage_type = 'api_call'))""")
 def _(s, d):
-    return B.monthly_estimate(T.usage_records(s, d).where(in_period(NTZ("2024-01-20"))), 7)
+    return B.calls_within(T.usage_records(s, d), 2, 4).select("id", "in_minute", "in_hour", "allowed")
 
 
 @query("d32_performance", "SELECT event_type, COUNT(*) AS n, MIN(value) AS least, MAX(value) AS most, ROUND(AVG(value), 8) AS mean, ROUND(quantile_cont(value, 0.5), 6) AS p50, ROUND(quantile_cont(value, 0.95), 6) AS p95, ROUND(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY ROLLUP (event_type)")

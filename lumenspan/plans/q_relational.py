@@ -424,10 +424,23 @@ def _(s, d):
     return T.users(s, d).join(chosen, "id", "left_semi").select("id", "email")
 
 
-@query("j05_with_highlights", """SELECT s.id, COALESCE(n, 0) AS n_highlights, array_to_string(ids, ',') AS highlight_ids FROM streams s LEFT JOIN (
-  SELECT stream_id, MAX(n) AS n, list(id ORDER BY nth) AS ids FROM (SELECT stream_id, id, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY confidence_score DESC, id) AS nth, COUNT(*) OVER (PARTITION BY stream_id) AS n FROM highlights) WHERE nth <= 5 GROUP BY stream_id) h ON h.stream_id = s.id""")
+@query("j05_with_highlights", "SELECT s.id, h.id AS highlight_id, CASE WHEN h.id IS NOT NULL THEN CAST(ROW_NUMBER() OVER (PARTITION BY h.stream_id ORDER BY h.confidence_score DESC, h.id) AS INTEGER) END AS nth FROM streams s LEFT JOIN highlights h ON h.stream_id = s.id")
 def _(s, d):
-    return R.with_highlights(T.streams(s, d), T.highlights(s, d), 5).select("id", "n_highlights", F.array_join("highlight_ids", ",").alias("highlight_ids"))
+    return R.with_highlights(T.streams(s, d), T.highlights(s, d)).select("id", "highlight_id", "nth")
+
+
+@query("j05c_with_items", "SELECT b.id, b.status, i.line, i.item_id, i.status AS item_status FROM batches b LEFT JOIN batch_items i ON i.batch_id = b.id WHERE b.status IN ('processing', 'partially_failed')")
+def _(s, d):
+    items = T.batch_items(s, d).select(F.col("batch_id").alias("id"), "line", "item_id", F.col("status").alias("item_status"))
+    return T.batches(s, d).where("status IN ('processing', 'partially_failed')").select("id", "status").join(items, "id", "left")
+
+
+@query("j05d_organizations_with_owner", "SELECT o.id, o.name, u.email, COALESCE(n, 0) AS n_records, ROUND(COALESCE(cost, 0), 4) AS cost FROM organizations o LEFT JOIN users u ON u.id = o.owner_id LEFT JOIN (SELECT organization_id, COUNT(*) AS n, SUM(total_cost) AS cost FROM usage_records GROUP BY 1) r ON r.organization_id = o.id")
+def _(s, d):
+    used = T.usage_records(s, d).groupBy(F.col("organization_id").alias("id")).agg(F.count("*").alias("n"), F.sum("total_cost").alias("cost"))
+    owners = T.users(s, d).select(F.col("id").alias("owner_id"), "email")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return T.organizations(s, d).join(owners, "owner_id", "left").join(used, "id", "left").select("id", "name", "email", zero("n").alias("n_records"), F.round(zero("cost"), 4).alias("cost"))
 
 
 @query("j05b_users_with_keys", "SELECT u.id, COUNT(k.id) AS n_keys FROM users u LEFT JOIN api_keys k ON k.user_id = u.id GROUP BY u.id")

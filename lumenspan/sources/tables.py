@@ -33,6 +33,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the number ``k`` of their properties."""
+    return _events(spark, sf_dir)
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -237,3 +242,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.col("value") / 100, F.lit(1.0)).alias("quality"),
         (F.col("k") * 1000).cast("long").alias("size_bytes"),
     )
+
+
+def stream_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the streams."""
+    key, user = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.when(key % 4 == 0, F.concat(F.lit("https://www.twitch.tv/User_"), user)).when(key % 4 == 1, F.concat(F.lit("https://www.youtube.com/watch?v="), F.lpad(key.cast("string"), 11, "x")))
+    url = text.when(key % 4 == 2, F.concat(F.lit("rtmp://live.example.com/app/"), key)).otherwise(F.concat(F.lit("https://cdn.example.com/live/"), key, F.lit(".m3u8")))
+    return read(spark, sf_dir, "orders").select(key.alias("id"), user.alias("user_id"), url.alias("url"))
+
+
+def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of the manifests of streams."""
+    height = F.get(F.array(*[F.lit(h) for h in (180, 240, 360, 480, 720, 1080, 1440, 2160)]), F.col("p_size") % 8)
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 25).alias("manifest_id"), height.alias("height"), F.floor(F.col("p_retailprice") * 1000).cast("long").alias("bandwidth"))
