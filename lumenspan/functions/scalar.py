@@ -234,3 +234,29 @@ def confidence_of(scores: Column, method: str = "consistency", threshold: float
     else:
         value = F.when(n == 1, 1.0).otherwise(1 - F.least(over(lambda x: F.abs(x - mean)) / n, F.lit(1.0)))
     return F.when(n == 0, 0.0).otherwise(value)
+
+
+def agent_score(dimensions: Mapping[str, Column], priority: Column, modifier: Column, preset: str = "default") -> Column:
+    """Weighted dimensions, a tenth of the best keyword's priority and the context's modifier, within 0 and 1."""
+    boosted = F.least(F.lit(1.0), F.least(F.lit(1.0), dimension_score(dimensions, preset)) + 0.1 * priority)
+    return clamp(F.least(F.lit(1.0), boosted + modifier))
+
+
+def instant(text: Column) -> Column:
+    """Whole seconds since 1970 of an ISO date and time; a final Z stands for UTC."""
+    return F.unix_seconds(F.to_timestamp(F.regexp_replace(text, "Z$", "+00:00")))
+
+
+def duration_since(later: Column, earlier: Column) -> Column:
+    """The difference in seconds; null if it is negative."""
+    return F.when(later >= earlier, later - earlier)
+
+
+def is_stream(url: Column) -> Column:
+    """Whether the address has a scheme that streams use."""
+    return url.rlike(r"^(?:https?|rtmps?)://[^/\s]+")
+
+
+def enabled(flags: Mapping[str, Column]) -> Column:
+    """The names whose flag is set."""
+    return F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]))
