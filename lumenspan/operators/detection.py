@@ -253,3 +253,24 @@ def chat_content(messages: DataFrame, seconds: int = 3600) -> DataFrame:
     n = F.col("n")
     score = 0.2 * F.col("sentiment") + 0.3 * F.col("highlight_share") + F.when(n > 50, 0.3).otherwise(0.0) + F.least(n / 100, F.lit(0.2))
     return per.withColumn("score", F.least(score, F.lit(1.0))).withColumn("confidence", F.least(0.7 + n / 100, F.lit(0.95)))
+
+
+# Fixed weights of the detectors over audio and video.
+AUDIO_WEIGHTS = {"volume": 0.35, "keyword": 0.25, "spectral": 0.25, "speech": 0.15}
+VIDEO_WEIGHTS = {"motion": 0.4, "scene_change": 0.3, "complexity": 0.3}
+
+
+def video_content(scene_change: Column, motion: Column, complexity: Column, objects: Column) -> Column:
+    return F.least(F.lit(1.0), F.when(scene_change, 0.3).otherwise(0.0) + 0.3 * motion + 0.2 * complexity + F.when(objects, 0.2).otherwise(0.0))
+
+
+def audio_content(peak: Column, energy: Column, speech: Column, cheers: Column) -> Column:
+    return F.least(F.lit(1.0), 0.2 * peak + 0.3 * energy + F.when(speech, 0.2).otherwise(0.0) + F.when(cheers, 0.3).otherwise(0.0))
+
+
+def chat_content_score(sentiment: Column, highlight_share: Column, messages: Column) -> Column:
+    return F.least(F.lit(1.0), 0.2 * sentiment + 0.3 * highlight_share + F.when(messages > 50, 0.3).otherwise(0.0) + F.least(messages / 100, F.lit(0.2)))
+
+
+def enhanced_score(mood: Column, velocity: Column, impact: Column, confidence: Column, velocity_weight: float = 0.3, impact_weight: float = 0.2) -> Column:
+    return (mood * (1 - velocity_weight - impact_weight) + velocity * velocity_weight + impact * impact_weight) * confidence

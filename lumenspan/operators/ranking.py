@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenspan.operators.temporal import fold_by, islands, opened, overlap_ratio
+from lumenspan.sources.shared import written
 
 IDEAL, LEAST_SCORE = 40.0, 0.3
+#: Seconds between the middles of two candidates from which they count as wholly apart.
+GAP = 30.0
 
 
 def length() -> Column:
@@ -103,39 +105,123 @@ def spread_in_time(candidates: DataFrame, gap: float = 30.0) -> DataFrame:
     return opened(kept, ["stream_id"], "start_time", "id", gap).where("opens").drop("opened", "opens")
 
 
-def diverse(candidates: DataFrame, most: int = 10, weight: float = 0.2) -> DataFrame:
-    """Greedy choice by score and mean distance in time to what is chosen, best first (``place`` from 1).
+def chosen_in_turn(rows: DataFrame, most: int = 10, weight: float = 0.2, least: float | None = None) -> DataFrame:
+    """Rows (stream_id, id, place, value) chosen one after another, each by its score and its mean distance to those before.
+
+    Every round takes the best row of each stream by an aggregate and adds its distance
+    to the others; rounds are written tables, so no stream is held in one task. With
+    ``least`` a stream ends where the best value of a round doesn't exceed it. A weight of
+    1 leaves the score out; the first one is then the best by ``nth``. Without features
+    half of a distance is 0.5, the other half the gap of the middles up to thirty seconds.
 
-    The choice depends on everything chosen before, so each stream is one group; only
-    the columns that the choice reads go to it.
+    rows: (stream_id, id, score, middle, nth), nth being the place by rank.
     """
+    apart = lambda a, b: (F.least(F.lit(1.0), F.abs(a - b) / GAP) + 0.5) / 2
+    state, picked = rows.withColumn("apart_", F.lit(0.0)), None
+    for place in range(1, most + 1):
+        distance = F.lit(1.0) if place == 1 else F.col("apart_") / (place - 1)
+        value = F.round((1 - weight) * F.col("score") + weight * distance, 9)
+        best = state.groupBy("stream_id").agg(F.max_by(F.struct("id", "middle", value.alias("value")), F.struct(value, -F.col("nth"))).alias("x"))
+        if least is not None and place > 1:
+            best = best.where(F.col("x.value") > least)
+        best = written(best.select("stream_id", F.col("x.id").alias("best_id_"), F.col("x.middle").alias("best_middle_"), F.col("x.value").alias("value_")), "chosen")
+        some = best.select("stream_id", F.col("best_id_").alias("id"), F.lit(place).alias("place"), F.col("value_").alias("value"))
+        picked = some if picked is None else picked.unionByName(some)
+        if place < most:
+            left = state.join(best, "stream_id").where("id <> best_id_")
+            state = written(left.withColumn("apart_", F.col("apart_") + apart(F.col("middle"), F.col("best_middle_"))).select(*state.columns), "candidates")
+    return picked
+
+
+def _slim(ranked_rows: DataFrame) -> DataFrame:
+    return ranked_rows.select("stream_id", "id", (F.col("score") * F.col("confidence")).alias("score"), ((F.col("start_time") + F.col("end_time")) / 2).alias("middle"), "nth")
 
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        middle, score = rows["middle"].to_numpy(), rows["score"].to_numpy()
-        apart, free, picked = pd.Series(0.0, index=rows.index).to_numpy(), rows.index.to_numpy() >= 0, []
-        while len(picked) < min(most, len(rows)):
-            value = (1 - weight) * score + weight * (apart / len(picked) if picked else 1.0)
-            best = int(pd.Series(value).where(free, -1.0).idxmax())
-            picked.append(best)
-            free[best] = False
-            apart += (abs(middle - middle[best]) / 30).clip(max=1.0)
-        return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "id": rows["id"].to_numpy()[picked], "place": range(1, len(picked) + 1)})
+def diverse(candidates: DataFrame, most: int = 10, weight: float = 0.2) -> DataFrame:
+    """Greedy choice by score and distance to what is chosen, best first (``place`` from 1)."""
+    return chosen_in_turn(_slim(ranked(candidates)), most, weight).select("stream_id", "id", "place")
 
-    middle = (F.col("start_time") + F.col("end_time")) / 2
-    slim = candidates.select("stream_id", "id", (F.col("score") * F.col("confidence")).alias("score"), middle.alias("middle"))
-    return slim.groupBy("stream_id").applyInPandas(choose, "stream_id long, id long, place long")
+
+def diverse_set(ranked_rows: DataFrame, most: int = 10, fewest: int = 1, least: float = 0.1) -> DataFrame:
+    """The best row, then always the one furthest from those chosen, while it is far enough; filled up by rank to ``fewest``."""
+    chosen = chosen_in_turn(_slim(ranked_rows), most, 1.0, least).select("stream_id", "id", "place")
+    return filled(ranked_rows, chosen, fewest, F.col("nth"))
+
+
+def filled(ranked_rows: DataFrame, chosen: DataFrame, upto: int, *order: Column) -> DataFrame:
+    """``chosen`` and, where a stream has fewer than ``upto``, the first others by ``order``; ``place`` goes on."""
+    have = chosen.groupBy("stream_id").agg(F.max("place").alias("have_"))
+    others = ranked_rows.join(chosen.select("stream_id", "id"), ["stream_id", "id"], "left_anti").join(have, "stream_id")
+    added = others.withColumn("place", F.col("have_") + F.row_number().over(Window.partitionBy("stream_id").orderBy(*order)))
+    return chosen.unionByName(added.where(F.col("place") <= upto).select("stream_id", "id", "place"))
+
+
+def quality_balanced(ranked_rows: DataFrame, most: int = 10) -> DataFrame:
+    """The diverse set, filled up by score times confidence."""
+    chosen = diverse_set(ranked_rows, most)
+    return filled(ranked_rows, chosen, most, F.round(F.col("score") * F.col("confidence"), 9).desc(), F.col("id"))
 
 
-def selection_metrics(selected: DataFrame, span: float = 4320.0) -> DataFrame:
-    """Per stream: mean and spread of the scores, covered share, mean gap and overlap of the pairs."""
+def rank_candidates(candidates: DataFrame, method: str = "score") -> DataFrame:
+    """Candidates with ``nth`` by the named method; the plain ones rank by score or by several criteria."""
+    if method == "diversity":
+        chosen = diverse(candidates).withColumnRenamed("place", "nth")
+        return candidates.join(chosen, ["stream_id", "id"])
+    return ranked(candidates, "criteria" if method in ("criteria", "preference") else "score")
+
+
+def select_highlights(ranked_rows: DataFrame, strategy: str = "top", most: int = 10, fewest: int = 1) -> DataFrame:
+    """Rows (stream_id, id) by the named strategy."""
+    if strategy == "threshold":
+        found = above_threshold(ranked_rows, most, fewest)
+    elif strategy == "diverse":
+        found = diverse_set(ranked_rows, most, fewest)
+    elif strategy == "spread":
+        found = spread_in_time(ranked_rows)
+    elif strategy == "balanced":
+        found = quality_balanced(ranked_rows, most)
+    else:
+        found = first_n(ranked_rows, most)
+    return found.select("stream_id", "id")
+
+
+def criteria_scores(candidates: DataFrame, features: list[str]) -> DataFrame:
+    """``rank_score`` of score, confidence, length and mean distance in features to the others of the stream.
+
+    The mean cosine with the others follows from the sum of the unit vectors, so no row
+    meets another.
+    """
+    norm = F.sqrt(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)))
+    unit = {f: F.coalesce(F.try_divide(F.col(f), norm), F.lit(0.0)) for f in features}
+    rows = candidates.withColumns({f"u_{f}": u for f, u in unit.items()})
+    sums = rows.groupBy("stream_id").agg(F.count("*").alias("n_"), *[F.sum(f"u_{f}").alias(f"s_{f}") for f in features])
+    joined = rows.join(sums, "stream_id")
+    others = sum((F.col(f"u_{f}") * (F.col(f"s_{f}") - F.col(f"u_{f}")) for f in features), F.lit(0.0))
+    distance = F.when(F.col("n_") > 1, 1 - others / (F.col("n_") - 1)).otherwise(0.5)
+    fit = F.greatest(F.lit(0.0), 1 - F.abs(length() - 45.0) / 45.0)
+    score = 0.4 * F.col("score") + 0.3 * F.col("confidence") + 0.2 * fit + 0.1 * distance
+    return joined.withColumn("rank_score", score).drop("n_", *[f"{p}_{f}" for p in "us" for f in features])
+
+
+def selection_metrics(selected: DataFrame, originals: DataFrame) -> DataFrame:
+    """Per stream: mean and spread of the scores, span of the middles against all candidates', gaps and overlaps of the pairs, confidences in three bins.
+
+    ``selected`` is a top-k selection, so its pairs are few.
+    """
+    middle = (F.col("start_time") + F.col("end_time")) / 2
     left, right = selected.alias("a"), selected.alias("b")
     a0, a1, b0, b1 = (F.col(x) for x in ("a.start_time", "a.end_time", "b.start_time", "b.end_time"))
     pairs = left.join(right, (F.col("a.stream_id") == F.col("b.stream_id")) & (F.col("a.id") < F.col("b.id")))
-    gap = F.least(F.lit(1.0), F.abs((a0 + a1) / 2 - (b0 + b1) / 2) / 60)
+    gap = F.least(F.lit(1.0), F.abs((a0 + a1) / 2 - (b0 + b1) / 2) / GAP)
     between = pairs.groupBy(F.col("a.stream_id").alias("stream_id")).agg(F.avg(gap).alias("diversity"), F.avg(overlap_ratio(a0, a1, b0, b1)).alias("overlap"))
-    own = selected.groupBy("stream_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.var_pop("score").alias("var_score"), F.least(F.lit(1.0), F.sum(length()) / span).alias("coverage"))
-    joined = own.join(between, "stream_id", "left").fillna(0.0, ["diversity", "overlap"])
+    span = F.max(middle) - F.min(middle)
+    whole = originals.groupBy("stream_id").agg(F.count("*").alias("candidates"), F.when(F.count("*") > 1, span).otherwise(1.0).alias("span_"))
+    sure = F.col("confidence")
+    own = selected.groupBy("stream_id").agg(
+        F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.var_pop("score").alias("var_score"), F.when(F.count("*") > 1, span).otherwise(0.0).alias("own_span_"),
+        F.count_if(sure < 0.5).alias("low"), F.count_if((sure >= 0.5) & (sure < 0.8)).alias("medium"), F.count_if(sure >= 0.8).alias("high"),
+    )
+    joined = own.join(whole, "stream_id").join(between, "stream_id", "left").fillna(1.0, ["diversity"]).fillna(0.0, ["overlap"])
+    covered = joined.withColumn("coverage", F.least(F.lit(1.0), F.col("own_span_") / F.greatest(F.lit(1.0), F.col("span_")))).drop("own_span_", "span_")
     quality = (F.col("mean_score") + 1 - F.least(F.lit(1.0), F.col("var_score")) + F.col("coverage") + F.col("diversity") + 1 - F.col("overlap")) / 5
-    return joined.withColumn("quality", quality)
+    return covered.withColumn("quality", quality)

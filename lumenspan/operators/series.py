@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,11 +44,44 @@ def exponential(series: DataFrame, alpha: float) -> DataFrame:
     return fold_by(kept, ["series"], ["t", "id"], step, f"series {kept.schema['series'].dataType.simpleString()}, id long, t double, v double, smooth double")
 
 
-def time_correlation(series: DataFrame, width: float = 30.0) -> DataFrame:
+def time_correlation(series: DataFrame, width: float = 30.0, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """Per series the mean absolute correlation of value and time over the windows that start at each row."""
-    frame = f"(PARTITION BY series ORDER BY t RANGE BETWEEN CURRENT ROW AND CAST({width} AS DOUBLE) FOLLOWING)"
-    local = series.select("series", F.expr(f"count(*) OVER {frame}").alias("n"), F.abs(F.expr(f"try_divide(covar_pop(t, v) OVER {frame}, (stddev_pop(t) OVER {frame}) * (stddev_pop(v) OVER {frame}))")).alias("c"))
-    return local.where("n >= 3").groupBy("series").agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("correlation"))
+    frame = f"(PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN CURRENT ROW AND CAST({width} AS DOUBLE) FOLLOWING)"
+    local = series.select(*keys, F.expr(f"count(*) OVER {frame}").alias("n"), F.abs(F.expr(f"try_divide(covar_pop(t, v) OVER {frame}, (stddev_pop(t) OVER {frame}) * (stddev_pop(v) OVER {frame}))")).alias("c"))
+    return local.where("n >= 3").groupBy(*keys).agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("correlation"))
+
+
+def _smoothing_matrix(n: int) -> np.ndarray:
+    """Row i gives the value at place i of the parabola fitted to n values."""
+    x = np.vander(np.arange(n) - n // 2, 3)
+    return x @ np.linalg.inv(x.T @ x) @ x.T
+
+
+def savitzky_golay(series: DataFrame, strength: float = 0.3, most: int = 11) -> DataFrame:
+    """``smooth``: parabolas fitted to eleven neighbouring values, at both ends to the outermost eleven, blended with the value.
+
+    Shorter series of an odd length from five on are fitted as a whole; others stay as they are.
+    """
+    order = Window.partitionBy("series").orderBy("t", "id")
+    whole = Window.partitionBy("series")
+    half, matrix = most // 2, _smoothing_matrix(most)
+    dot = lambda weights, values: F.aggregate(F.zip_with(weights, values, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rows = lambda m: F.array(*[F.array(*[F.lit(float(w)) for w in r]) for r in m])
+    marked = series.withColumn("i_", F.row_number().over(order) - 1).withColumn("n_", F.count("*").over(whole))
+    # The values of the ends only: at most eleven a side.
+    ends = marked.where((F.col("i_") < most) | (F.col("i_") >= F.col("n_") - most))
+    place = F.struct("i_", "v")
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("i_") < most, place))), lambda x: x["v"])
+    last = F.transform(F.array_sort(F.collect_list(F.when(F.col("i_") >= F.col("n_") - most, place))), lambda x: x["v"])
+    sides = ends.groupBy("series").agg(first.alias("first_"), last.alias("last_"))
+    middle = sum((float(matrix[half][k]) * (F.lag("v", half - k) if k < half else F.lead("v", k - half)).over(order) for k in range(most)), F.lit(0.0))
+    joined = marked.withColumn("middle_", middle).join(sides, "series")
+    i, n = F.col("i_"), F.col("n_")
+    short = F.when(F.lit(False), None)
+    for size in range(5, most, 2):
+        short = short.when(n == size, dot(F.get(rows(_smoothing_matrix(size)), i), F.col("first_")))
+    fitted = F.when(n < most, F.coalesce(short, F.col("v"))).when(i < half, dot(F.get(rows(matrix), i), F.col("first_"))).when(i >= n - half, dot(F.get(rows(matrix), i - n + most), F.col("last_"))).otherwise(F.col("middle_"))
+    return joined.withColumn("smooth", (1 - strength) * F.col("v") + strength * fitted).drop("i_", "n_", "middle_", "first_", "last_")
 
 
 def spacing_outliers(series: DataFrame, deviations: float = 3.0, fewest: int = 10) -> DataFrame:

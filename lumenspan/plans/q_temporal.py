@@ -141,7 +141,7 @@ def _(s, d):
     return _out(U.filter_fused(_fused(s, d), both_core=True))
 
 
-_CORR = ", ".join(f"CASE WHEN COUNT(*) FILTER ({a}_score IS NOT NULL AND {b}_score IS NOT NULL) >= 3 THEN COALESCE(corr({a}_score, {b}_score), 0) ELSE 0 END AS {a}_{b}" for a, b in (("video", "audio"), ("video", "chat"), ("audio", "chat")))
+_CORR = ", ".join(f"CASE WHEN COUNT(*) FILTER ({a}_score IS NOT NULL AND {b}_score IS NOT NULL) >= 3 THEN COALESCE(CASE WHEN NOT isnan(corr({a}_score, {b}_score)) THEN corr({a}_score, {b}_score) END, 0) ELSE 0 END AS {a}_{b}" for a, b in (("video", "audio"), ("video", "chat"), ("audio", "chat")))
 CORR = f"cor AS (SELECT stream_id, {_CORR} FROM wide GROUP BY stream_id)"
 
 
@@ -150,15 +150,6 @@ def _(s, d):
     return rounded(U.correlations(U.pivoted(U.align_window(T.detections(s, d)))), "video_audio", "video_chat", "audio_chat")
 
 
-_W = {"video": (0.4, "video_audio", "video_chat"), "audio": (0.3, "video_audio", "audio_chat"), "chat": (0.3, "video_chat", "audio_chat")}
-_MOVED = {m: f"GREATEST(0.1::DOUBLE, {w}::DOUBLE + 0.1 * (CASE WHEN ({a} + {b}) / 2 > 0.3 THEN 1 ELSE 0 END - 0.5))" for m, (w, a, b) in _W.items()}
-
-
-@query("g12_adapted_weights", f"WITH {GRID}, {WINDOWED}, {WIDE}, {CORR} SELECT stream_id, " + ", ".join(f"ROUND({_MOVED[m]} / ({' + '.join(_MOVED.values())}), 6) AS w_{m}" for m in _W) + " FROM cor")
-def _(s, d):
-    return rounded(U.adapted_weights(U.correlations(U.pivoted(U.align_window(T.detections(s, d))))), "w_video", "w_audio", "w_chat")
-
-
 @query("j14_context", f"""WITH {CAND}, mids AS (SELECT *, (start_time + end_time) / 2 AS mid FROM cand), ctx AS (
   SELECT a.id, SUM(b.score / (1 + abs(a.mid - b.mid) / 10)) / SUM(1 / (1 + abs(a.mid - b.mid) / 10)) AS context, var_pop(b.score) AS spread, COUNT(*) AS n_near FROM mids a JOIN mids b ON a.stream_id = b.stream_id AND abs(a.mid - b.mid) <= 60 AND a.id <> b.id GROUP BY a.id)
   SELECT m.id, ROUND(COALESCE(0.85 * score + 0.15 * context, score), 12) AS refined, ROUND(1 - LEAST(1, COALESCE(spread, 0)), 12) AS agreement, COALESCE(n_near, 0) AS n_near FROM mids m LEFT JOIN ctx USING (id)""")
@@ -324,21 +315,6 @@ def _(s, d):
     return K.spread_in_time(candidates(s, d)).select("stream_id", "id")
 
 
-@query("l09_diverse_choice", None)
-def _(s, d):
-    return K.diverse(candidates(s, d))
-
-
-@query("d20_selection_metrics", f"""WITH {CAND}, r AS (SELECT *, ROUND(score * confidence, 9) AS rank_score FROM cand), sel AS (SELECT * FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY rank_score DESC, id) <= 10), own AS (
-  SELECT stream_id, COUNT(*) AS n, AVG(score) AS m, var_pop(score) AS v, LEAST(1, SUM(end_time - start_time) / 4320) AS c FROM sel GROUP BY stream_id), pairs AS (
-  SELECT a.stream_id, AVG(LEAST(1, abs((a.start_time + a.end_time) / 2 - (b.start_time + b.end_time) / 2) / 60)) AS d, AVG(GREATEST(0, LEAST(a.end_time, b.end_time) - GREATEST(a.start_time, b.start_time)) / (GREATEST(a.end_time, b.end_time) - LEAST(a.start_time, b.start_time))) AS o
-  FROM sel a JOIN sel b ON a.stream_id = b.stream_id AND a.id < b.id GROUP BY a.stream_id)
-  SELECT stream_id, n, ROUND(m, 6) AS mean_score, ROUND(COALESCE(d, 0), 6) AS diversity, ROUND(COALESCE(o, 0), 6) AS overlap, ROUND((m + 1 - LEAST(1, v) + c + COALESCE(d, 0) + 1 - COALESCE(o, 0)) / 5, 6) AS quality FROM own LEFT JOIN pairs USING (stream_id)""")
-def _(s, d):
-    chosen = K.first_n(K.ranked(candidates(s, d)), 10)
-    return rounded(K.selection_metrics(chosen).select("stream_id", "n", "mean_score", "diversity", "overlap", "quality"), "mean_score", "diversity", "overlap", "quality")
-
-
 @query("l19_rank_and_select", f"WITH RECURSIVE {CAND.replace('FROM highlights', 'FROM highlights WHERE viewer_engagement >= 0.3 AND end_time - start_time BETWEEN 5 AND 240')}, {CLUSTERS}, best AS (SELECT stream_id, cluster, arg_max({{'id': id, 's': score, 'c': confidence}}, {{'a': score * confidence, 'b': -id}}) AS x FROM walk GROUP BY stream_id, cluster) SELECT stream_id, x.id AS id, CAST(ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY ROUND(x.s * x.c, 9) DESC, x.id) AS INTEGER) AS nth FROM best QUALIFY nth <= 10")
 def _(s, d):
     best = K.best_of_clusters(K.temporal_clusters(K.filter_candidates(candidates(s, d))))
