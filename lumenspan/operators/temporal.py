@@ -115,8 +115,8 @@ def fold_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step
     return dealt.mapInArrow(run, schema)
 
 
-def opened(df: DataFrame, keys: Sequence[str], at: str, tie: str, width: float) -> DataFrame:
-    """``df`` with ``opened`` and ``opens``: windows that open with a row and close when one comes ``width`` or more after it.
+def opened(df: DataFrame, keys: Sequence[str], at: str, tie: str, width: float, strict: bool = False) -> DataFrame:
+    """``df`` with ``opened`` and ``opens``: windows that open with a row and close when one comes ``width`` or more after it (more, if strict).
 
     Where a window opens depends on the one before, so the rows of a key are read in
     order of time, in batches; from one opening to the next the times are searched, and
@@ -142,7 +142,7 @@ def opened(df: DataFrame, keys: Sequence[str], at: str, tie: str, width: float)
                 if key != current:
                     current, start, opens[lo] = key, times[lo], True
                 while i < hi:
-                    end = i + int(np.searchsorted(times[i:hi] - start, width))
+                    end = i + int(np.searchsorted(times[i:hi] - start, width, side="right" if strict else "left"))
                     found[i:end] = start
                     if end < hi:
                         start, opens[end] = times[end], True

@@ -63,7 +63,8 @@ def _(s, d):
     return S.once(events.unionByName(events.where("retry_count > 0"))).select("event_id", "platform")
 
 
-@query("s12_retained", "SELECT frame_id FROM frames WHERE (SELECT MAX(t) FROM frames) - t <= CASE WHEN is_keyframe THEN 360 ELSE 300 END")
+@query("s12_retained", """WITH f AS (SELECT *, (SELECT MAX(t) FROM frames) - t > CASE WHEN is_keyframe THEN 360 ELSE 300 END AS old FROM frames), o AS (SELECT frame_id, COUNT(*) FILTER (NOT old) OVER (PARTITION BY stream_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) AS stays, COUNT(*) OVER (PARTITION BY stream_id) - ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY t, frame_id) AS remaining FROM f)
+  SELECT frame_id FROM o WHERE stays > 0 OR remaining < 100""")
 def _(s, d):
     frames = T.frames(s, d)
     return S.retained(frames, frames.agg(F.max("t")).scalar()).select("frame_id")

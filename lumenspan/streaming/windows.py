@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -46,10 +47,14 @@ def once(df: DataFrame, keys: tuple[str, ...] = ("event_id", "platform"), stream
     return df.dropDuplicates(list(keys))
 
 
-def retained(frames: DataFrame, now: Column, seconds: float = 300.0, more_for_keyframes: float = 60.0) -> DataFrame:
-    """Frames of the last ``seconds``; keyframes stay longer."""
+def retained(frames: DataFrame, now: Column, seconds: float = 300.0, more_for_keyframes: float = 60.0, fewest: int = 100) -> DataFrame:
+    """Frames that a buffer keeps: the oldest go while they are older than ``seconds`` (keyframes longer), the first that stays ends it, and ``fewest`` remain."""
     age = now - F.col("t")
-    return frames.where(age <= F.when(F.col("is_keyframe"), seconds + more_for_keyframes).otherwise(seconds))
+    old = age > F.when(F.col("is_keyframe"), seconds + more_for_keyframes).otherwise(seconds)
+    order = Window.partitionBy("stream_id").orderBy("t", "frame_id")
+    stays = F.count_if(~old).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    left = F.count("*").over(Window.partitionBy("stream_id")) - F.row_number().over(order)
+    return frames.withColumn("stays_", (stays > 0) | (left < fewest)).where("stays_").drop("stays_")
 
 
 def latest(df: DataFrame, key: str, order: str, payload: list[str]) -> DataFrame:
