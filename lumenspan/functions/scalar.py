@@ -260,3 +260,8 @@ def is_stream(url: Column) -> Column:
 def enabled(flags: Mapping[str, Column]) -> Column:
     """The names whose flag is set."""
     return F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]))
+
+
+def processing_mode(is_live: Column, address: Column) -> Column:
+    watched = F.contains(address, F.lit("youtube.com")) | F.contains(address, F.lit("youtu.be"))
+    return F.when(is_live, "live").when(watched, "url").otherwise("file")

@@ -114,3 +114,19 @@ def complexity(series: DataFrame) -> DataFrame:
     clip = lambda c: F.least(F.lit(1.0), c)
     spread, share = clip(10 * F.var_pop("v").over(frame)), F.avg((F.col("v") > 0.5).cast("double")).over(frame)
     return series.withColumn("complexity", clip(0.4 * spread + 0.4 * share + 0.2 * clip(5 * F.var_pop("v").over(frame))))
+
+
+def boundaries(series: DataFrame, scene: float = 0.8, lull: float = 0.3) -> DataFrame:
+    """``boundary``: a high value among the last three, or five low ones in a row."""
+    order = Window.partitionBy("series").orderBy("t", "id")
+    three, five = order.rowsBetween(-2, 0), order.rowsBetween(-4, 0)
+    calm = (F.count("*").over(five) >= 5) & (F.max("v").over(five) < lull)
+    return series.withColumn("boundary", (F.count("*").over(three) >= 3) & ((F.max("v").over(three) > scene) | calm))
+
+
+def place_at(series: DataFrame, moment: float) -> DataFrame:
+    """Per series the place of a moment between its rows, by linear interpolation; no row outside of them."""
+    order = Window.partitionBy("series").orderBy("t", "id")
+    placed = series.withColumn("i_", F.row_number().over(order) - 1).withColumn("t2_", F.lead("t").over(order))
+    found = placed.where((F.col("t") <= moment) & (F.col("t2_") > moment))
+    return found.select("series", (F.col("i_") + (F.lit(moment) - F.col("t")) / (F.col("t2_") - F.col("t"))).alias("place"))
