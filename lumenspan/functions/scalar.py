@@ -265,3 +265,9 @@ def enabled(flags: Mapping[str, Column]) -> Column:
 def processing_mode(is_live: Column, address: Column) -> Column:
     watched = F.contains(address, F.lit("youtube.com")) | F.contains(address, F.lit("youtu.be"))
     return F.when(is_live, "live").when(watched, "url").otherwise("file")
+
+
+def jittered_delay(attempt: Column, spread: Column, jitter: float = 0.1) -> Column:
+    """Whole seconds to wait, up to half the jitter more or less by ``spread`` from 0 to 1."""
+    delay = retry_delay(attempt)
+    return F.floor(delay + delay * jitter * (0.5 - spread)).cast("long")

@@ -396,3 +396,21 @@ def merged_neighbours(highlights: DataFrame) -> DataFrame:
     row = F.struct(*[c for c in highlights.columns if c != "stream_id"])
     pairs = highlights.select(row.alias("a"), F.lead(row).over(order).alias("b")).where("b IS NOT NULL")
     return pairs.select(merged_pair(F.col("a"), F.col("b")).alias("x")).select("x.*")
+
+
+def aligned(detections: DataFrame, method: str = "window") -> DataFrame:
+    """Observations aligned on the times of their stream by the named method."""
+    if method == "strict":
+        return align_strict(detections)
+    return align_interpolated(detections) if method == "interpolated" else align_window(detections)
+
+
+def enhanced_features(candidates: DataFrame, features: Column) -> DataFrame:
+    """Candidates with the score of their length, their weight, and mean, spread and most of their features (an array)."""
+    n = F.size(features)
+    mean = F.aggregate(features, F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.sqrt(F.aggregate(features, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    return candidates.select(
+        "*", duration_score(F.col("end_time") - F.col("start_time")).alias("duration_score"), (F.col("score") * F.col("confidence")).alias("weighted"),
+        mean.alias("feature_mean"), spread.alias("feature_std"), F.array_max(features).alias("feature_max"),
+    )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenspan.operators.temporal import fold_by, islands, opened, overlap_ratio
+from lumenspan.operators.graph import components
+from lumenspan.operators.temporal import band_join, fold_by, islands, opened, overlap_ratio
 from lumenspan.sources.shared import written
 
 IDEAL, LEAST_SCORE = 40.0, 0.3
@@ -68,6 +71,66 @@ def temporal_clusters(candidates: DataFrame, least: float = 0.5) -> DataFrame:
     return fold_by(kept, ["stream_id"], ["start_time", "id"], step, "stream_id long, id long, start_time double, end_time double, score double, confidence double, cluster long")
 
 
+def feature_clusters(candidates: DataFrame, features: list[str], least: float = 0.8, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """``cluster``: a candidate joins the first leader whose direction is near enough, else it leads a new cluster.
+
+    Candidates come by start; only the leaders' unit vectors are remembered, and as no
+    two leaders are near each other, few features have few leaders.
+    """
+
+    def step(state, row):
+        leaders = state if state is not None else []
+        own = [row[f] or 0.0 for f in features]
+        norm = math.sqrt(sum(x * x for x in own))
+        unit = [x / norm if norm else 0.0 for x in own]
+        for i, other in enumerate(leaders):
+            if sum(a * b for a, b in zip(unit, other, strict=True)) >= least:
+                return leaders, [{**{k: row[k] for k in keys}, "id": row["id"], "cluster": i}]
+        return [*leaders, unit], [{**{k: row[k] for k in keys}, "id": row["id"], "cluster": len(leaders)}]
+
+    kept = candidates.select(*keys, "id", "start_time", *features)
+    kinds = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
+    return fold_by(kept, list(keys), ["start_time", "id"], step, f"{kinds}, id long, cluster long")
+
+
+def density_clusters(candidates: DataFrame, features: list[str], eps: float = 0.3) -> DataFrame:
+    """``cluster``: candidates linked by steps of at most ``eps`` in standardised features; lone ones are clusters of their own.
+
+    With two points to a dense place, density clusters are the components of these links,
+    numbered by their smallest id. The first feature cuts the candidates into bands, so
+    only neighbours meet.
+    """
+    stats = candidates.groupBy("stream_id").agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"d_{f}") for f in features])
+    z = [F.coalesce(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"d_{f}")), F.lit(0.0)).alias(f"z{i}") for i, f in enumerate(features)]
+    rows = written(candidates.join(stats, "stream_id").select("stream_id", "id", *z), "density-rows")
+    other = rows.select("stream_id", F.col("id").alias("b"), *[F.col(f"z{i}").alias(f"y{i}") for i in range(len(features))])
+    near = band_join(rows.withColumnRenamed("id", "a"), other, ["stream_id"], "z0", "y0", eps).where("a < b")
+    apart = sum(((F.col(f"z{i}") - F.col(f"y{i}")) * (F.col(f"z{i}") - F.col(f"y{i}")) for i in range(len(features))), F.lit(0.0))
+    labels = components(near.where(F.sqrt(apart) <= eps).select("a", "b"))
+    return rows.select("stream_id", "id").join(labels, "id", "left").select("stream_id", "id", F.coalesce("component", "id").alias("cluster"))
+
+
+def hybrid_clusters(candidates: DataFrame, features: list[str], most: int = 3) -> DataFrame:
+    """Clusters by time; those with more than ``most`` members are divided by features and numbered behind the others by part."""
+    timed = temporal_clusters(candidates).select("stream_id", "id", "cluster").withColumn("n", F.count("*").over(Window.partitionBy("stream_id", "cluster")))
+    large = candidates.join(timed.where(F.col("n") > most).select("id", F.col("cluster").alias("time_cluster")), "id")
+    parts = feature_clusters(large, features, keys=("stream_id", "time_cluster")).select("id", F.col("cluster").alias("part"))
+    return timed.join(parts, "id", "left").select("stream_id", "id", "cluster", F.coalesce("part", F.lit(0)).alias("part"))
+
+
+def clustered(candidates: DataFrame, method: str = "temporal", features: list[str] | None = None) -> DataFrame:
+    """Rows (stream_id, id, cluster) by the named method."""
+    features = features or ["score", "confidence"]
+    if method == "feature":
+        return feature_clusters(candidates, features)
+    if method == "density":
+        return density_clusters(candidates, ["start_time", "end_time", *features])
+    if method == "hybrid":
+        numbered = hybrid_clusters(candidates, features)
+        return numbered.withColumn("cluster", F.dense_rank().over(Window.partitionBy("stream_id").orderBy("cluster", "part")).cast("long") - 1).drop("part")
+    return temporal_clusters(candidates).select("stream_id", "id", "cluster")
+
+
 def best_of_clusters(clustered: DataFrame) -> DataFrame:
     """Of each cluster the row with the highest product of score and confidence."""
     best = F.max_by(F.struct("id", "start_time", "end_time", "score", "confidence"), F.struct(F.col("score") * F.col("confidence"), -F.col("id")))

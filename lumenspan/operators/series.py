@@ -130,3 +130,14 @@ def place_at(series: DataFrame, moment: float) -> DataFrame:
     placed = series.withColumn("i_", F.row_number().over(order) - 1).withColumn("t2_", F.lead("t").over(order))
     found = placed.where((F.col("t") <= moment) & (F.col("t2_") > moment))
     return found.select("series", (F.col("i_") + (F.lit(moment) - F.col("t")) / (F.col("t2_") - F.col("t"))).alias("place"))
+
+
+def smoothed(series: DataFrame, method: str = "savgol", width: float = 10.0, strength: float = 0.3) -> DataFrame:
+    """``smooth`` by the named method."""
+    if method == "average":
+        return moving_average(series, width, strength)
+    if method == "exponential":
+        return exponential(series, strength)
+    if method == "gaussian":
+        return gaussian(series, width, strength)
+    return moving_median(series, strength) if method == "median" else savitzky_golay(series, strength)

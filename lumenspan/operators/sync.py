@@ -69,6 +69,26 @@ def segments(frames: DataFrame, seconds: float) -> DataFrame:
     )
 
 
+def keyframe_segments(frames: DataFrame, fewest: int = 30, most: int = 900, longest: float = 30.0, without: int = 3) -> DataFrame:
+    """Segments cut at a second that has a keyframe once there are enough frames, or after too many frames, seconds or cuts without one.
+
+    Seconds with frames are taken in order; a cut closes the segment with that second.
+    """
+    seconds = frames.groupBy("stream_id", F.floor("t").cast("long").alias("second")).agg(F.count("*").alias("n"), F.max(F.col("is_keyframe").cast("int")).alias("key"))
+
+    def step(state, row):
+        start, count, missed = (row["second"], 0, 0) if state is None else state
+        count += row["n"]
+        found = bool(row["key"]) and count >= fewest
+        cut = found or count >= most or row["second"] - start >= longest or missed >= without
+        if not cut:
+            return (start, count, missed), []
+        missed = 0 if found else missed + (not row["key"])
+        return (row["second"] + 1, 0, missed), [{"stream_id": row["stream_id"], "start_time": float(start), "end_time": float(row["second"] + 1), "n": count}]
+
+    return fold_by(seconds, ["stream_id"], ["second"], step, "stream_id long, start_time double, end_time double, n long")
+
+
 def running_means(found: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Per stream the running means of length and frames after each segment, from 0 on."""
 
@@ -195,3 +215,11 @@ def each_segment(rows: DataFrame, measure: Callable[[pd.Series], dict], schema:
                 yield pd.DataFrame(out)
 
     return rows.mapInPandas(run, schema)
+
+
+def chunks(segments_: DataFrame, seconds: float) -> DataFrame:
+    """Segments cut into chunks of equal length, the last one shorter."""
+    n = F.ceil((F.col("end_time") - F.col("start_time")) / seconds).cast("int")
+    spread = segments_.where(n > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
+    end = F.least("end_time", F.col("start_time") + (F.col("chunk") + 1) * seconds)
+    return spread.withColumn("end_time", end).withColumn("start_time", F.col("start_time") + F.col("chunk") * seconds)
