@@ -175,6 +175,6 @@ def _(s, d):
     return T.usage_records(s, d).select("id", "quantity", F.round(F.col("quantity") * F.col("rate"), 8).alias("cost"), ended.alias("ended"))
 
 
-@query("a23_audio_chunks", "SELECT id, CAST(k AS INTEGER) AS chunk, ROUND(start_time + k * 10, 6) AS start_time, ROUND(LEAST(end_time, start_time + (k + 1) * 10), 6) AS end_time FROM (SELECT *, UNNEST(range(0, CAST(ceil((end_time - start_time) / 10) AS BIGINT))) AS k FROM highlights)")
+@query("a23_audio_chunks", "SELECT id, CAST(k AS INTEGER) AS chunk, ROUND(start_time + k * 10, 9) AS start_time, ROUND(LEAST(end_time, start_time + (k + 1) * 10), 9) AS end_time FROM (SELECT *, UNNEST(range(0, CAST(ceil((end_time - start_time) / 10) AS BIGINT))) AS k FROM highlights)")
 def _(s, d):
-    return rounded(Y.chunks(T.highlights(s, d), 10.0).select("id", "chunk", "start_time", "end_time"), "start_time", "end_time")
+    return rounded(Y.chunks(T.highlights(s, d), 10.0).select("id", "chunk", "start_time", "end_time"), "start_time", "end_time", digits=9)

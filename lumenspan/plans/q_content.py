@@ -108,10 +108,10 @@ def _(s, d):
     return rounded(N.cluster_similarity(K.temporal_clusters(candidates(s, d))), "similarity")
 
 
-@query("u08_merged_clusters", f"""WITH RECURSIVE {CAND}, {CLUSTERS} SELECT w.stream_id, MIN(w.cluster) AS cluster, COUNT(*) AS n, ROUND(MIN(k.start_time), 6) AS start_time, ROUND(MAX(k.end_time), 6) AS end_time FROM walk w JOIN cand k USING (id) GROUP BY w.stream_id, w.cluster // 2""")
+@query("u08_merged_clusters", f"""WITH RECURSIVE {CAND}, {CLUSTERS} SELECT w.stream_id, MIN(w.cluster) AS cluster, COUNT(*) AS n, ROUND(MIN(k.start_time), 9) AS start_time, ROUND(MAX(k.end_time), 9) AS end_time FROM walk w JOIN cand k USING (id) GROUP BY w.stream_id, w.cluster // 2""")
 def _(s, d):
     found = N.merged_clusters(K.temporal_clusters(candidates(s, d)), F.floor(F.col("cluster") / 2))
-    return rounded(found, "start_time", "end_time")
+    return rounded(found, "start_time", "end_time", digits=9)
 
 
 _CATS = "['action', 'emotional', 'informative', 'humorous', 'dramatic', 'other'][id % 6 + 1]"

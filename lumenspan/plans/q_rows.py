@@ -71,9 +71,9 @@ def _(s, d):
     return Z.valid_segments(T.highlights(s, d), "description").select("id")
 
 
-@query("b53_kept_segments", "SELECT id, ROUND(LEAST(end_time, start_time + 120), 6) AS end_time FROM highlights WHERE end_time - start_time >= 5 AND confidence_score >= 0.7")
+@query("b53_kept_segments", "SELECT id, ROUND(LEAST(end_time, start_time + 120), 9) AS end_time FROM highlights WHERE end_time - start_time >= 5 AND confidence_score >= 0.7")
 def _(s, d):
-    return rounded(Z.kept_segments(T.highlights(s, d), "confidence_score").select("id", "end_time"), "end_time")
+    return rounded(Z.kept_segments(T.highlights(s, d), "confidence_score").select("id", "end_time"), "end_time", digits=9)
 
 
 _KIND = "CASE highlight_type WHEN 'view' THEN 'skill_play' WHEN 'click' THEN 'clutch_moment' WHEN 'purchase' THEN 'rare_event' ELSE 'other' END"
@@ -234,16 +234,16 @@ def _pairs(s, d):
 _ENDS = ("a0", "a1", "b0", "b1")
 
 
-@query("u05_intersection", f"WITH {_PAIRS} SELECT id, ROUND(GREATEST(a0, b0), 6) AS start_time, ROUND(LEAST(a1, b1), 6) AS end_time FROM pairs WHERE b0 IS NOT NULL AND GREATEST(a0, b0) < LEAST(a1, b1)")
+@query("u05_intersection", f"WITH {_PAIRS} SELECT id, ROUND(GREATEST(a0, b0), 9) AS start_time, ROUND(LEAST(a1, b1), 9) AS end_time FROM pairs WHERE b0 IS NOT NULL AND GREATEST(a0, b0) < LEAST(a1, b1)")
 def _(s, d):
     found = _pairs(s, d).withColumn("x", M.intersection(*[F.col(c) for c in _ENDS])).where("x IS NOT NULL")
-    return rounded(found.select("id", "x.start_time", "x.end_time"), "start_time", "end_time")
+    return rounded(found.select("id", "x.start_time", "x.end_time"), "start_time", "end_time", digits=9)
 
 
-@query("u06_overlap_seconds", f"WITH {_PAIRS} SELECT id, ROUND(GREATEST(0, LEAST(a1, b1) - GREATEST(a0, b0)), 6) AS seconds, GREATEST(0, LEAST(a1, b1) - GREATEST(a0, b0)) > 5 AS overlaps FROM pairs WHERE b0 IS NOT NULL")
+@query("u06_overlap_seconds", f"WITH {_PAIRS} SELECT id, ROUND(GREATEST(0, LEAST(a1, b1) - GREATEST(a0, b0)), 9) AS seconds, GREATEST(0, LEAST(a1, b1) - GREATEST(a0, b0)) > 5 AS overlaps FROM pairs WHERE b0 IS NOT NULL")
 def _(s, d):
     seconds = M.overlap_seconds(*[F.col(c) for c in _ENDS])
-    return _pairs(s, d).select("id", F.round(seconds, 6).alias("seconds"), (seconds > 5).alias("overlaps"))
+    return _pairs(s, d).select("id", F.round(seconds, 9).alias("seconds"), (seconds > 5).alias("overlaps"))
 
 
 @query("u07_overlap_of_shorter", f"WITH {_PAIRS} SELECT id, ROUND(GREATEST(0, LEAST(a1, b1) - GREATEST(a0, b0)) / LEAST(a1 - a0, b1 - b0), 6) AS share, GREATEST(0, LEAST(a1, b1) - GREATEST(a0, b0)) / LEAST(a1 - a0, b1 - b0) >= 0.5 AS overlaps FROM pairs WHERE b0 IS NOT NULL")

@@ -27,6 +27,11 @@ def query(name: str, sql: str | None):
     return add
 
 
+def settled(name):
+    """Nine digits; the nudge sends exact halves the same way in both engines."""
+    return F.round(F.col(name) + 1e-12, 9)
+
+
 def _wide(s, d):
     return U.pivoted(U.align_window(T.detections(s, d)))
 
@@ -124,16 +129,16 @@ SEGMENTS = """res AS (SELECT stream_id, modality, seq, t AS start_time, t + 8 AS
   segs AS (SELECT stream_id, island, MIN(start_time) AS start_time, MAX(end_time) AS end_time, SUM(weighted) AS weighted, COUNT(*) AS n, arg_max(seq, {'a': start_time, 'b': seq}) FILTER (modality = 'video') AS video, arg_max(seq, {'a': start_time, 'b': seq}) FILTER (modality = 'audio') AS audio, arg_max(seq, {'a': start_time, 'b': seq}) FILTER (modality = 'chat') AS chat FROM numbered GROUP BY stream_id, island)"""
 
 
-@query("u01_fused_segments", f"WITH {SEGMENTS} SELECT stream_id, ROUND(start_time, 6) AS start_time, ROUND(end_time, 6) AS end_time, ROUND(weighted, 6) AS weighted, n, video, audio, chat FROM segs")
+@query("u01_fused_segments", f"WITH {SEGMENTS} SELECT stream_id, ROUND(start_time, 9) AS start_time, ROUND(end_time, 9) AS end_time, ROUND(weighted, 6) AS weighted, n, video, audio, chat FROM segs")
 def _(s, d):
-    return rounded(U.fused_segments(_results(s, d)).drop("island"), "start_time", "end_time", "weighted")
+    return rounded(rounded(U.fused_segments(_results(s, d)).drop("island"), "start_time", "end_time", digits=9), "weighted")
 
 
 _TYPED = f"""{SEGMENTS}, typed AS (SELECT stream_id, start_time, LEAST(end_time, start_time + 120) AS end_time, LEAST(weighted, 1) AS confidence, CASE WHEN video % 3 = 0 THEN 'gameplay' WHEN video % 3 = 1 THEN 'reaction' WHEN audio % 5 = 0 THEN 'funny' WHEN audio % 5 = 1 THEN 'emotional' WHEN chat % 2 = 0 THEN 'climactic' ELSE 'custom' END AS highlight_type,
   COALESCE(NULLIF(concat_ws(' ', 'video ' || video, 'audio ' || audio, 'chat ' || chat), ''), 'Automatically detected highlight') AS description FROM segs WHERE end_time - start_time >= 5 AND weighted >= 0.7)"""
 
 
-@query("k30_segment_highlights", f"WITH {_TYPED} SELECT stream_id, ROUND(start_time, 6) AS start_time, ROUND(end_time, 6) AS end_time, ROUND(confidence, 6) AS confidence, highlight_type, CASE highlight_type {' '.join(f"WHEN '{k}' THEN '{t}'" for k, t in U.TITLES.items())} END AS title, description FROM typed")
+@query("k30_segment_highlights", f"WITH {_TYPED} SELECT stream_id, ROUND(start_time, 9) AS start_time, ROUND(end_time, 9) AS end_time, ROUND(confidence, 6) AS confidence, highlight_type, CASE highlight_type {' '.join(f"WHEN '{k}' THEN '{t}'" for k, t in U.TITLES.items())} END AS title, description FROM typed")
 def _(s, d):
     kept = U.segment_highlights(
         U.fused_segments(_results(s, d)),
@@ -141,14 +146,15 @@ def _(s, d):
         F.when(F.col("audio") % 5 == 0, "funny").when(F.col("audio") % 5 == 1, "emotional"),
         F.when(F.col("chat") % 2 == 0, "excitement"),
     )
-    return rounded(kept.select("stream_id", "start_time", "end_time", "confidence", "highlight_type", "title", "description"), "start_time", "end_time", "confidence")
+    return rounded(kept.select("stream_id", "start_time", "end_time", "confidence", "highlight_type", "title", "description").withColumns({c: F.round(c, 9) for c in ("start_time", "end_time")}), "confidence")
 
 
 @query("u03_merged_pairs", """WITH h AS (SELECT *, LEAD(id) OVER w AS id2, LEAD(end_time) OVER w AS e2, LEAD(confidence_score) OVER w AS c2, LEAD(tags) OVER w AS t2, LEAD(description) OVER w AS d2, LEAD(sentiment_score) OVER w AS s2, LEAD(viewer_engagement) OVER w AS v2 FROM highlights WINDOW w AS (PARTITION BY stream_id ORDER BY start_time, id))
-  SELECT id, ROUND(start_time, 6) AS start_time, ROUND(e2, 6) AS end_time, GREATEST(confidence_score, c2) AS confidence_score, array_to_string(list_sort(list_distinct(list_concat(tags, t2)))[1:10], ',') AS tags, trim(description || ' ' || d2) AS description, ROUND((sentiment_score + s2) / 2, 6) AS sentiment_score, ROUND((viewer_engagement + v2) / 2, 6) AS viewer_engagement FROM h WHERE id2 IS NOT NULL""")
+  SELECT id, ROUND(start_time, 9) AS start_time, ROUND(e2, 9) AS end_time, GREATEST(confidence_score, c2) AS confidence_score, array_to_string(list_sort(list_distinct(list_concat(tags, t2)))[1:10], ',') AS tags, trim(description || ' ' || d2) AS description, ROUND((sentiment_score + s2) / 2, 6) AS sentiment_score, ROUND((viewer_engagement + v2) / 2, 6) AS viewer_engagement FROM h WHERE id2 IS NOT NULL""")
 def _(s, d):
     found = U.merged_neighbours(T.highlights(s, d)).withColumn("tags", F.array_join("tags", ","))
-    return rounded(found.select("id", "start_time", "end_time", "confidence_score", "tags", "description", "sentiment_score", "viewer_engagement"), "start_time", "end_time", "sentiment_score", "viewer_engagement")
+    found = found.select("id", F.round("start_time", 9).alias("start_time"), F.round("end_time", 9).alias("end_time"), "confidence_score", "tags", "description", "sentiment_score", "viewer_engagement")
+    return rounded(found, "sentiment_score", "viewer_engagement")
 
 
 # ---- detectors over feature columns --------------------------------------------------------
@@ -165,12 +171,12 @@ def _detector_sql(weights):
     total, names = sum(weights.values()), list(weights)
     score = " + ".join(f"{w / total}::DOUBLE * {n}" for n, w in weights.items())
     mean = f"(({' + '.join(names)}) / {len(names)})"
-    return f"WITH {_FEAT}, g AS (SELECT l_orderkey, l_linenumber, LEAST(1, {score}) AS score, 1 - ({' + '.join(f'abs({n} - {mean})' for n in names)}) / {len(names)} AS confidence FROM f) SELECT l_orderkey, l_linenumber, ROUND(score, 9) AS score, ROUND(confidence, 9) AS confidence FROM g WHERE ROUND(score, 9) >= 0.5 AND ROUND(confidence, 9) >= 0.7"
+    return f"WITH {_FEAT}, g AS (SELECT l_orderkey, l_linenumber, LEAST(1, {score}) AS score, 1 - ({' + '.join(f'abs({n} - {mean})' for n in names)}) / {len(names)} AS confidence FROM f) SELECT l_orderkey, l_linenumber, ROUND(score, 11) AS score, ROUND(confidence, 11) AS confidence FROM g WHERE ROUND(score, 9) >= 0.5 AND ROUND(confidence, 9) >= 0.7"
 
 
 def _detector(s, d, weights):
     found = D.detected(_features(s, d), weights, None, 0.0, 0.0).where((F.round("score", 9) >= 0.5) & (F.round("confidence", 9) >= 0.7))
-    return rounded(found.select("l_orderkey", "l_linenumber", "score", "confidence"), "score", "confidence", digits=9)
+    return rounded(found.select("l_orderkey", "l_linenumber", "score", "confidence"), "score", "confidence", digits=11)
 
 
 _AUDIO = dict(zip("abce", D.AUDIO_WEIGHTS.values(), strict=True))
@@ -300,10 +306,10 @@ def _scores():
     return F.array(F.col("score"), F.col("confidence"), F.lit(0.5))
 
 
-@query("g18_border_moves", f"WITH {CAND} SELECT id, " + ", ".join(f"ROUND(start_time - ({e}), 6) AS {n}_start, ROUND(end_time + ({e}), 6) AS {n}_end" for n, e in {"scene": f"CASE WHEN {_STAB} < 0.5 THEN 2 ELSE -0.5 END", "audio": f"CASE WHEN {_SPIKES} > 3 THEN 1.5 WHEN {_SPIKES} = 0 THEN -0.5 ELSE 0 END", "content": f"(CASE WHEN {_STAB} < 0.5 THEN 2 ELSE -0.5 END + CASE WHEN {_SPIKES} > 3 THEN 1.5 WHEN {_SPIKES} = 0 THEN -0.5 ELSE 0 END) / 2"}.items()) + " FROM cand")
+@query("g18_border_moves", f"WITH {CAND} SELECT id, " + ", ".join(f"ROUND(start_time - ({e}), 9) AS {n}_start, ROUND(end_time + ({e}), 9) AS {n}_end" for n, e in {"scene": f"CASE WHEN {_STAB} < 0.5 THEN 2 ELSE -0.5 END", "audio": f"CASE WHEN {_SPIKES} > 3 THEN 1.5 WHEN {_SPIKES} = 0 THEN -0.5 ELSE 0 END", "content": f"(CASE WHEN {_STAB} < 0.5 THEN 2 ELSE -0.5 END + CASE WHEN {_SPIKES} > 3 THEN 1.5 WHEN {_SPIKES} = 0 THEN -0.5 ELSE 0 END) / 2"}.items()) + " FROM cand")
 def _(s, d):
     moves = {"scene": U.scene_moves(_stability()), "audio": U.audio_moves(_spikes()), "content": U.content_moves(_stability(), _spikes())}
-    columns = [F.round(F.col(f"{side}_time") + by, 6).alias(f"{n}_{side}") for n, pair in moves.items() for side, by in zip(("start", "end"), pair, strict=True)]
+    columns = [F.round(F.col(f"{side}_time") + by, 9).alias(f"{n}_{side}") for n, pair in moves.items() for side, by in zip(("start", "end"), pair, strict=True)]
     return candidates(s, d).select("id", *columns)
 
 
@@ -321,10 +327,10 @@ def _adaptive_sql(source):
   adapted AS (SELECT *, GREATEST(0, LEAST(1, LEAST(score + 0.2, CASE WHEN score > 0.7 THEN 0.8::DOUBLE * score + 0.2::DOUBLE * refined ELSE 0.5 * score + 0.5 * refined END))) AS new_score, GREATEST(0, LEAST(1, CASE WHEN score > 0.7 THEN 0.7::DOUBLE * boosted + 0.3::DOUBLE * contextual ELSE 0.3::DOUBLE * boosted + 0.7::DOUBLE * contextual END)) AS new_confidence FROM both_)"""
 
 
-@query("g22_adaptive_scores", f"WITH {CAND}, {_adaptive_sql('cand')} SELECT id, ROUND(new_score, 9) AS score, ROUND(new_confidence, 9) AS confidence FROM adapted")
+@query("g22_adaptive_scores", f"WITH {CAND}, {_adaptive_sql('cand')} SELECT id, ROUND(new_score + 1e-12, 9) AS score, ROUND(new_confidence + 1e-12, 9) AS confidence FROM adapted")
 def _(s, d):
     found = U.adaptive_scores(candidates(s, d), _scores())
-    return rounded(found.select("id", F.col("new_score").alias("score"), F.col("new_confidence").alias("confidence")), "score", "confidence", digits=9)
+    return found.select("id", settled("new_score").alias("score"), settled("new_confidence").alias("confidence"))
 
 
 _MOVE = f"((CASE WHEN {_STAB} < 0.5 THEN 2 ELSE -0.5 END + CASE WHEN {_SPIKES} > 3 THEN 1.5 WHEN {_SPIKES} = 0 THEN -0.5 ELSE 0 END) / 2)"
@@ -334,10 +340,10 @@ CHAIN = f"""{SMOOTH}, moved AS (SELECT *, GREATEST(0, start_time - {_MOVE}) AS a
   done AS (SELECT * FROM z QUALIFY (n <= 3 OR z <= 2) OR NOT bool_or(n <= 3 OR z <= 2) OVER (PARTITION BY stream_id))"""
 
 
-@query("g24_post_processed", f"WITH {CHAIN} SELECT id, ROUND(start_time, 9) AS start_time, ROUND(end_time, 9) AS end_time, ROUND(new_score, 9) AS score, ROUND(new_confidence, 9) AS confidence FROM done")
+@query("g24_post_processed", f"WITH {CHAIN} SELECT id, ROUND(start_time, 9) AS start_time, ROUND(end_time, 9) AS end_time, ROUND(new_score + 1e-12, 9) AS score, ROUND(new_confidence + 1e-12, 9) AS confidence FROM done")
 def _(s, d):
     found = U.post_processed(candidates(s, d), _scores(), _stability(), _spikes())
-    return rounded(found.select("id", "start_time", "end_time", "score", "confidence"), "start_time", "end_time", "score", "confidence", digits=9)
+    return found.select("id", F.round("start_time", 9).alias("start_time"), F.round("end_time", 9).alias("end_time"), settled("score").alias("score"), settled("confidence").alias("confidence"))
 
 
 @query("k09_processing_metrics", f"WITH {CHAIN} SELECT stream_id, COUNT(*) AS n, COUNT(*) FILTER (new_score > old_score) AS improved, ROUND(AVG(GREATEST(0, new_score - old_score)), 6) AS score_gain, ROUND(AVG(GREATEST(0, new_confidence - old_confidence)), 6) AS confidence_gain, COUNT(*) FILTER (abs(start_time - old_start) > 0.1 OR abs(end_time - old_end) > 0.1) AS moved FROM done GROUP BY stream_id")

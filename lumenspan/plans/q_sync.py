@@ -35,16 +35,16 @@ def query(name: str, sql: str | None):
 _FORM = "CASE stream_id % 4 WHEN 0 THEN 'epoch_seconds' WHEN 1 THEN 'epoch_millis' WHEN 2 THEN 'relative_seconds' ELSE 'rtmp_timestamp' END"
 
 
-@query("s27_normalized_times", "SELECT frame_id, ROUND(CASE stream_id % 4 WHEN 0 THEN t WHEN 1 THEN t * 0.001::DOUBLE WHEN 2 THEN t + 1000 ELSE t * 0.001::DOUBLE + 1000 END, 6) AS seconds FROM frames")
+@query("s27_normalized_times", "SELECT frame_id, ROUND(CASE stream_id % 4 WHEN 0 THEN t WHEN 1 THEN t * 0.001::DOUBLE WHEN 2 THEN t + 1000 ELSE t * 0.001::DOUBLE + 1000 END, 9) AS seconds FROM frames")
 def _(s, d):
     form = T.pick(F.col("stream_id") % 4, *Y.SCALES)
-    return rounded(T.frames(s, d).select("frame_id", Y.epoch_seconds(F.col("t"), form, F.lit(1000.0)).alias("seconds")), "seconds")
+    return rounded(T.frames(s, d).select("frame_id", Y.epoch_seconds(F.col("t"), form, F.lit(1000.0)).alias("seconds")), "seconds", digits=9)
 
 
-@query("s29_converted_times", "SELECT frame_id, ROUND(t * 2 + 5 + 0.001::DOUBLE * stream_id * (t / 10), 6) AS seconds FROM frames")
+@query("s29_converted_times", "SELECT frame_id, ROUND(t * 2 + 5 + 0.001::DOUBLE * stream_id * (t / 10), 9) AS seconds FROM frames")
 def _(s, d):
     found = Y.converted(F.col("t"), F.lit(2.0), F.lit(5.0), 0.001 * F.col("stream_id"), F.col("t") / 10)
-    return rounded(T.frames(s, d).select("frame_id", found.alias("seconds")), "seconds")
+    return rounded(T.frames(s, d).select("frame_id", found.alias("seconds")), "seconds", digits=9)
 
 
 @query("s31_drift_corrected", f"""WITH {SER}, recent AS (SELECT series, t, t * (1 + 0.001 * series) AS ot FROM ser QUALIFY ROW_NUMBER() OVER (PARTITION BY series ORDER BY t DESC, id DESC) <= 100), dr AS (SELECT series, CASE WHEN COUNT(*) >= 10 THEN regr_slope(ot - t, t) ELSE 0 END AS drift FROM recent GROUP BY series)
@@ -63,18 +63,18 @@ def _(s, d):
     return found.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if("is_keyframe").alias("keyframes"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-@query("s23_video_times", "SELECT c.event_id, ROUND(t + CASE WHEN event_id % 5 = 0 THEN 0 WHEN stream_id % 3 = 0 THEN -2 WHEN stream_id % 3 = 1 THEN -1.5 ELSE 0 END, 6) AS video_t FROM chat_messages c")
+@query("s23_video_times", "SELECT c.event_id, ROUND(t + CASE WHEN event_id % 5 = 0 THEN 0 WHEN stream_id % 3 = 0 THEN -2 WHEN stream_id % 3 = 1 THEN -1.5 ELSE 0 END, 9) AS video_t FROM chat_messages c")
 def _(s, d):
     platform = T.pick(F.col("stream_id") % 3, "twitch", "youtube", "custom")
     found = Y.video_time(F.col("t"), platform, F.col("event_id") % 5 != 0)
-    return rounded(T.chat_messages(s, d).select("event_id", found.alias("video_t")), "video_t")
+    return rounded(T.chat_messages(s, d).select("event_id", found.alias("video_t")), "video_t", digits=9)
 
 
 @query("s23_merged_close", """WITH h AS (SELECT *, MAX(end_time) OVER (PARTITION BY stream_id ORDER BY start_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM highlights), n AS (SELECT *, SUM(CASE WHEN m IS NULL OR start_time > m + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY start_time, id) AS island FROM h)
-  SELECT stream_id, ROUND(MIN(start_time), 6) AS start_time, ROUND(MAX(end_time), 6) AS end_time, MAX(confidence_score) AS confidence, CAST(SUM(id % 7) AS BIGINT) AS messages FROM n GROUP BY stream_id, island""")
+  SELECT stream_id, ROUND(MIN(start_time), 9) AS start_time, ROUND(MAX(end_time), 9) AS end_time, MAX(confidence_score) AS confidence, CAST(SUM(id % 7) AS BIGINT) AS messages FROM n GROUP BY stream_id, island""")
 def _(s, d):
     rows = T.highlights(s, d).select("id", "stream_id", "start_time", "end_time", F.col("confidence_score").alias("confidence"), (F.col("id") % 7).alias("messages"))
-    return rounded(Y.merged_close(rows), "start_time", "end_time")
+    return rounded(Y.merged_close(rows), "start_time", "end_time", digits=9)
 
 
 @query("s24_correlated", "SELECT a.id, COUNT(DISTINCT b.stream_id) AS streams FROM highlights a JOIN highlights b ON a.stream_id <> b.stream_id AND abs(a.start_time - b.start_time) <= 1 GROUP BY a.id")
@@ -88,9 +88,9 @@ def _(s, d):
 _SEG = "seg AS (SELECT *, CAST(floor(t / 30) AS BIGINT) AS segment, ROW_NUMBER() OVER (PARTITION BY stream_id, floor(t / 30) ORDER BY t, frame_id) - 1 AS place FROM frames), segs AS (SELECT stream_id, segment, COUNT(*) AS n, COUNT(*) FILTER (is_keyframe) AS keyframes, MIN(place) FILTER (is_keyframe) AS first_keyframe, COALESCE(AVG(quality) FILTER (quality > 0), 1) AS quality, SUM(size_bytes)::BIGINT AS bytes, MIN(t) AS start_time, MAX(t) AS end_time FROM seg GROUP BY ALL)"
 
 
-@query("s07_segments", f"WITH {_SEG} SELECT stream_id, segment, n, keyframes, CAST(first_keyframe AS INTEGER) AS first_keyframe, ROUND(quality, 6) AS quality, bytes, ROUND(start_time, 6) AS start_time, ROUND(end_time, 6) AS end_time FROM segs")
+@query("s07_segments", f"WITH {_SEG} SELECT stream_id, segment, n, keyframes, CAST(first_keyframe AS INTEGER) AS first_keyframe, ROUND(quality, 9) AS quality, bytes, ROUND(start_time, 9) AS start_time, ROUND(end_time, 9) AS end_time FROM segs")
 def _(s, d):
-    return rounded(Y.segments(T.frames(s, d), 30.0), "quality", "start_time", "end_time")
+    return rounded(Y.segments(T.frames(s, d), 30.0), "quality", "start_time", "end_time", digits=9)
 
 
 @query("s10_running_means", f"""WITH RECURSIVE {_SEG}, o AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY segment) AS i FROM segs), w AS (SELECT stream_id, segment, i, 0.1::DOUBLE * (end_time - start_time) AS a, 0.1::DOUBLE * n AS b FROM o WHERE i = 1
@@ -99,9 +99,9 @@ def _(s, d):
     return rounded(Y.running_means(Y.segments(T.frames(s, d), 30.0)), "avg_length", "avg_frames")
 
 
-@query("s11_frame_windows", "SELECT stream_id, k * 40.0::DOUBLE AS start_time, COUNT(*) AS n, COUNT(*) FILTER (is_keyframe) AS keyframes, ROUND(AVG(quality), 6) AS quality FROM (SELECT *, UNNEST(range(GREATEST(0, CAST(floor((t - 100) / 40) AS BIGINT) + 1), CAST(floor(t / 40) AS BIGINT) + 1)) AS k FROM frames) GROUP BY stream_id, k")
+@query("s11_frame_windows", "SELECT stream_id, k * 40.0::DOUBLE AS start_time, COUNT(*) AS n, COUNT(*) FILTER (is_keyframe) AS keyframes, ROUND(AVG(quality), 9) AS quality FROM (SELECT *, UNNEST(range(GREATEST(0, CAST(floor((t - 100) / 40) AS BIGINT) + 1), CAST(floor(t / 40) AS BIGINT) + 1)) AS k FROM frames) GROUP BY stream_id, k")
 def _(s, d):
-    return rounded(Y.frame_windows(T.frames(s, d), 100.0, 40.0), "quality")
+    return rounded(Y.frame_windows(T.frames(s, d), 100.0, 40.0), "quality", digits=9)
 
 
 @query("s14_kept_segments", f"WITH {_SEG} SELECT stream_id, segment FROM segs WHERE end_time >= 4000 - 300")
@@ -110,10 +110,10 @@ def _(s, d):
 
 
 @query("s16_video_windows", """WITH RECURSIVE f AS MATERIALIZED (SELECT stream_id, t, quality, frame_id, ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY t, frame_id) AS nth FROM frames), w AS (SELECT stream_id, nth, t, quality, t AS opened FROM f WHERE nth = 1 UNION ALL SELECT f.stream_id, f.nth, f.t, f.quality, CASE WHEN f.t - w.opened >= 30 THEN f.t ELSE w.opened END FROM w JOIN f ON f.stream_id = w.stream_id AND f.nth = w.nth + 1)
-  SELECT stream_id, ROUND(opened, 6) AS start_time, ROUND(MAX(t), 6) AS end_time, COUNT(*) AS n, ROUND(AVG(quality), 6) AS quality FROM w GROUP BY stream_id, opened""")
+  SELECT stream_id, ROUND(opened, 9) AS start_time, ROUND(MAX(t), 9) AS end_time, COUNT(*) AS n, ROUND(AVG(quality), 9) AS quality FROM w GROUP BY stream_id, opened""")
 def _(s, d):
     found = Y.window_groups(T.frames(s, d).select("stream_id", "t", "frame_id", "quality"), "t", "frame_id", 30.0, [F.count("*").alias("n"), F.avg("quality").alias("quality")])
-    return rounded(found, "start_time", "end_time", "quality")
+    return rounded(found, "start_time", "end_time", "quality", digits=9)
 
 
 @query("s17_strict_windows", f"WITH RECURSIVE {RESET.replace('>= 1800', '> 1800')} SELECT stream_id, ROUND(opened, 3) AS start_time, ROUND(MAX(t), 3) AS end_time, COUNT(*) AS n FROM walk GROUP BY stream_id, opened")
@@ -127,10 +127,10 @@ def _(s, d):
     return Y.thinned(T.frames(s, d), 30).select("frame_id")
 
 
-@query("k25_buffer_stats", "SELECT stream_id, COUNT(*) AS n, COUNT(*) FILTER (is_keyframe) AS keyframes, SUM(size_bytes)::BIGINT AS bytes, ROUND(MIN(t), 6) AS oldest, ROUND(MAX(t), 6) AS newest FROM frames GROUP BY stream_id")
+@query("k25_buffer_stats", "SELECT stream_id, COUNT(*) AS n, COUNT(*) FILTER (is_keyframe) AS keyframes, SUM(size_bytes)::BIGINT AS bytes, ROUND(MIN(t), 9) AS oldest, ROUND(MAX(t), 9) AS newest FROM frames GROUP BY stream_id")
 def _(s, d):
     found = T.frames(s, d).groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if("is_keyframe").alias("keyframes"), F.sum("size_bytes").alias("bytes"), F.min("t").alias("oldest"), F.max("t").alias("newest"))
-    return rounded(found, "oldest", "newest")
+    return rounded(found, "oldest", "newest", digits=9)
 
 
 # ---- impacts, emotes, milestones, memory -------------------------------------------------------
