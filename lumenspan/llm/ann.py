@@ -43,7 +43,8 @@ K = 20
 BOUND = 3.0
 CANDIDATES, QUERIES = 65_536, 65_536  # rows of a block at most, in expectation
 BLOCK_BYTES = 64 << 20
-LEAST_BLOCKS = 16
+LEAST_BLOCKS = 8
+STEP = 8  # queries estimated at a time
 LEAST_BITS = 256
 PLANES = 4  # bits of a rounded query component
 SEED = 3
@@ -118,15 +119,29 @@ def query_planes(turned: np.ndarray) -> tuple[np.ndarray, float, float]:
     return planes.view(np.uint64), least, step
 
 
-def code_products(words: np.ndarray, ones: np.ndarray, planes: np.ndarray, least: float, step: float) -> np.ndarray:
-    """Products of all codes (words by rows) with a rounded query, by counting bits."""
+def code_products(words: np.ndarray, ones: np.ndarray, planes: np.ndarray, least: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Products of all codes (words by rows) with rounded queries (query, plane, word), by counting bits."""
     bits = 64 * len(words)
-    counts = np.zeros((PLANES, words.shape[1]), dtype=np.uint16)
+    weights = 1 << np.arange(PLANES)
+    counts = np.zeros((len(planes), PLANES, words.shape[1]), dtype=np.uint16)
     for w, word in enumerate(words):
-        counts += np.bitwise_count(word & planes[:, w, None])
-    weighted = (1 << np.arange(PLANES)) @ counts.astype(np.float32)
-    total = step * int((1 << np.arange(PLANES)) @ np.bitwise_count(planes).sum(axis=1, dtype=np.int64)) + least * bits
-    return (2 * (step * weighted + least * ones) - total) / math.sqrt(bits)
+        counts += np.bitwise_count(word & planes[:, :, w, None])
+    weighted = (weights.astype(np.float32)[:, None] * counts).sum(axis=1)
+    total = step * (np.bitwise_count(planes).sum(axis=2, dtype=np.int64) @ weights) + least * bits
+    return (2 * (step[:, None] * weighted + least[:, None] * ones) - total[:, None]) / math.sqrt(bits)
+
+
+def best_of(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of the largest products, ties to smaller ids: summed exactly for those that plain products put near the k-th."""
+    plain = vectors @ query
+    if len(plain) > k:
+        reached = np.partition(plain, len(plain) - k)[len(plain) - k]
+        near = np.flatnonzero(plain >= reached - 1e-9 * (1 + abs(reached)))
+    else:
+        near = np.arange(len(plain))
+    scores = exact_scores(vectors[near], query)
+    order = np.lexsort((ids[near], -scores))[:k]
+    return ids[near][order], scores[order]
 
 
 def _search(k: int, bound: float, turn: np.ndarray, mean: np.ndarray, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -145,25 +160,27 @@ def _search(k: int, bound: float, turn: np.ndarray, mean: np.ndarray, left: pa.T
     # What the code leaves out of a vector, as an error for a query of length one.
     spread = bound * np.sqrt(np.maximum(0.0, 1 - along**2) / max(1, bits - 1)) * scale
     out_q, out_rows = [], []
-    for own, q in zip(right.column("vec_id").to_pylist(), _vectors(right.column("v").combine_chunks(), dim), strict=True):
-        others = ids != own
-        if not others.any():
-            continue
-        rest = q - mean
-        planes, least, step = query_planes(rest @ turn)
+    asked, queries = right.column("vec_id").to_pylist(), _vectors(right.column("v").combine_chunks(), dim)
+    for at in range(0, len(asked), STEP):
+        some = queries[at : at + STEP]
+        rest = some - mean
+        planes, least, step = (np.array(x) for x in zip(*map(query_planes, rest @ turn), strict=True))
         # <o, q> = <o - c, q - c> + <o, c> + <q, c> - <c, c>
-        guess = code_products(words, ones, planes, least, step) * scale + toward + (q @ mean - mean @ mean)
-        guess[~others] = -np.inf
-        error = np.linalg.norm(rest) * spread + (bound * step / math.sqrt(12)) * scale + 1e-6 * (1 + np.abs(q).sum())
-        near = np.flatnonzero(others)
-        if len(near) > 2 * k:
-            first = np.argpartition(guess, len(guess) - 2 * k)[-2 * k :]
-            reached = np.sort(exact_scores(flat[first].astype(np.float64), q))[k]
-            near = np.flatnonzero(others & (guess + error >= reached))
-        scores = exact_scores(flat[near].astype(np.float64), q)
-        best = np.lexsort((ids[near], -scores))[:k]
-        out_q.append(own)
-        out_rows.append([{"vec_id": int(ids[near[j]]), "score": float(scores[j])} for j in best])
+        guesses = code_products(words, ones, planes, least, step) * scale + toward + (some @ mean - mean @ mean)[:, None]
+        errors = np.linalg.norm(rest, axis=1)[:, None] * spread + (bound / math.sqrt(12) * step)[:, None] * scale + 1e-6 * (1 + np.abs(some).sum(axis=1))[:, None]
+        for own, q, guess, error in zip(asked[at : at + STEP], some, guesses, errors, strict=True):
+            others = ids != own
+            near = np.flatnonzero(others)
+            if not len(near):
+                continue
+            if len(near) > 2 * k:
+                guess[~others] = -np.inf
+                first = np.argpartition(guess, len(guess) - 2 * k)[-2 * k :]
+                reached = np.sort(flat[first].astype(np.float64) @ q)[k]
+                near = np.flatnonzero(others & (guess + error >= reached))
+            found, scores = best_of(ids[near], flat[near].astype(np.float64), q, k)
+            out_q.append(own)
+            out_rows.append([{"vec_id": int(i), "score": float(x)} for i, x in zip(found, scores, strict=True)])
     return pa.table({"query_id": pa.array(out_q, pa.int64()), "found": pa.array(out_rows, kind)})
 
 
@@ -174,7 +191,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, bound: float = BOUND
     n_rows, n_asked = index.count(), asked.count()
     most = max(1, BLOCK_BYTES // (8 * len(mean)))
     blocks = max(LEAST_BLOCKS, math.ceil(n_rows / min(CANDIDATES, most)))
-    query_blocks = max(1, math.ceil(n_asked / min(QUERIES, most)))
+    query_blocks = max(1 if n_asked < LEAST_BLOCKS * STEP else 2, math.ceil(n_asked / min(QUERIES, most)))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # The row's number is hashed too, so that rows of one id don't all fall into one block.
     left = index.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).withColumn("query_block", upto(query_blocks))

@@ -52,7 +52,7 @@ def test_bounds_hold():
     held = []
     for q in rest:
         planes, least, step = ann.query_planes(q @ turn)
-        products = ann.code_products(words, ones, planes, least, step)
+        products = ann.code_products(words, ones, planes[None], np.array([least]), np.array([step]))[0]
         rounded = least + step * np.rint((q @ turn - least) / step)
         assert np.allclose(products, signs @ rounded)
         guess = products * far / along
