@@ -121,24 +121,31 @@ def _marked(number: int, more: tuple[str, ...], x: Column) -> Column:
     return F.struct(x["s"].alias("s"), F.lit(number).alias("k"), x["e"].alias("e"), *[x[name].alias(name) for name in more])
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (s, e, kind as its number), unordered."""
+def base_spans(text: Column, digits: Column) -> Column:
+    """Array of (s, k, e), ordered; ``digits`` tells whether the text has any, which three kinds need."""
     per_kind = []
     for number, kind in enumerate(KINDS):
         some = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9][\\x20-]?[0-9]")
+        some = some if kind == "email" else digits & some
         placed = _placed(_found(text, BASE[kind]), partial(_valid, kind))
         plain = F.transform(placed, partial(_marked, number, ()))
         per_kind.append(F.when(some, plain).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
     return F.array_sort(F.concat(*per_kind))
 
 
-def proposals(text: Column) -> Column:
+def proposals(text: Column, digits: Column | None = None) -> Column:
     """Array of proposed spans (s, e, m, k), overlaps included."""
+    digits = text.rlike("[0-9]") if digits is None else digits
     out = []
     for (kind, pattern), needs in zip(PROPOSALS, PROPOSAL_NEEDS, strict=True):
         placed = _placed(_found(text, pattern), lambda m: F.lit(True))
         marked = F.transform(placed, partial(_marked, ALL_KINDS.index(kind), ("m",)))
-        out.append(F.when(text.rlike(needs), marked).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")))
+        some = text.rlike(needs) if kind in ("email", "secret") else digits & text.rlike(needs)
+        if needs.endswith("[:=]"):
+            some = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & some
+        elif needs.startswith("[0-9]"):
+            some = digits & some
+        out.append(F.when(some, marked).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")))
     return F.array_distinct(F.concat(*out))
 
 
@@ -312,8 +319,9 @@ def with_spans(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     scorer = scorer or fit_scorer(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     cuts = F.array(*[F.lit(float(t)) for t in scorer.thresholds])
-    step = docs.withColumn("base_", base_spans(text))
-    step = step.withColumn("proposed_", proposals(text))
+    step = docs.withColumn("digits_", text.rlike("[0-9]"))
+    step = step.withColumn("base_", base_spans(text, F.col("digits_")))
+    step = step.withColumn("proposed_", proposals(text, F.col("digits_")))
     # Proposals that touch a base span go before any scoring.
     fresh = F.filter("proposed_", lambda c: ~F.exists("base_", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     step = step.withColumn("fresh_", fresh)
@@ -327,7 +335,7 @@ def with_spans(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     inside = lambda c, o: (o["k"] == c["k"]) & (o["s"] <= c["s"]) & (c["e"] <= o["e"]) & (o["e"] - o["s"] > c["e"] - c["s"])
     chosen = F.filter("chosen_", lambda c: ~F.exists("chosen_", lambda o: inside(c, o)))
     plain = F.transform(F.coalesce(chosen, F.array().cast("array<struct<s:int,k:int,e:int,p:double>>")), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
-    return step.withColumn("spans_", F.array_sort(F.array_distinct(F.concat("base_", plain)))).drop("proposed_", "fresh_", "told_", "scored_", "chosen_")
+    return step.withColumn("spans_", F.array_sort(F.array_distinct(F.concat("base_", plain)))).drop("digits_", "proposed_", "fresh_", "told_", "scored_", "chosen_")
 
 
 def written(spans: Column) -> Column:
