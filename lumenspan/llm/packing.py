@@ -41,8 +41,8 @@ from lumenspan.llm.common import materialize
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of words whose ids a worker remembers before it forgets the older half; some 60 MB.
-REMEMBERED = 2_500_000
+#: Characters of words whose ids a worker remembers before it forgets the older half; some 150 MB.
+REMEMBERED = 6_000_000
 SLICE = 128  # texts encoded at a time, fewer if they hold more than SLICE_CHARS characters
 SLICE_CHARS = 500_000
 #: Ids that a task holds before it hands them on.
