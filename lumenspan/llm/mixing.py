@@ -9,7 +9,8 @@ other sources by weight.
 Of ``seeds`` hash seeds every source uses the one whose coins bring its taken words
 nearest to its target (the first of equals). Coins stay plain hash-seeded Bernoulli
 draws, only the seed is chosen, which keeps sources of a few long documents near
-their targets too.
+their targets too. Over many choices of ``salt`` a document gets its extra copy about as
+often as the fraction says; for one salt the draw is fixed.
 
 Defined results: a null text has size 0; null is a source of its own, last in order;
 a null id gets the coin of the empty string; repeated rows share their coin; a source
@@ -71,7 +72,7 @@ def coin(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seeds: int = SEEDS, salt: int = 0) -> DataFrame:
     """Rows (source, source_size, target, rate, seed), one per source, from rows (doc_id, source, size)."""
     targets = materialize(
         source_targets(sizes, weights, cap).withColumn(
@@ -81,7 +82,7 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     )
     base = F.floor("rate")
     extra = [
-        F.sum(F.when(coin(F.col("doc_id"), s) < F.col("rate") - base, F.col("size")).otherwise(0)).alias(f"extra_{s}")
+        F.sum(F.when(coin(F.col("doc_id"), salt * seeds + s) < F.col("rate") - base, F.col("size")).otherwise(0)).alias(f"extra_{s}")
         for s in range(seeds)
     ]
     drawn = _with_source(sizes, targets).groupBy("source").agg(F.first("rate").alias("rate"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), *extra)
@@ -95,11 +96,11 @@ def _with_source(docs: DataFrame, table: DataFrame) -> DataFrame:
     return docs.join(named, docs["source"].eqNullSafe(named["source_of_plan"])).drop("source_of_plan")
 
 
-def copies(doc_id: Column, rate: Column, seed: Column, seeds: int = SEEDS) -> Column:
+def copies(doc_id: Column, rate: Column, seed: Column, seeds: int = SEEDS, salt: int = 0) -> Column:
     """How often a document is emitted."""
     drawn = F.lit(None).cast("double")
     for s in reversed(range(seeds)):
-        drawn = F.when(seed == s, coin(doc_id, s)).otherwise(drawn)
+        drawn = F.when(seed == s, coin(doc_id, salt * seeds + s)).otherwise(drawn)
     return (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
@@ -111,7 +112,8 @@ def doc_sizes(docs: DataFrame) -> DataFrame:
 def planned_copies(sizes: DataFrame, **options) -> DataFrame:
     """``sizes`` with source_size, target, rate and copies."""
     plan = mix_plan(sizes, **options)
-    return _with_source(sizes, plan).withColumn("copies", copies(F.col("doc_id"), F.col("rate"), F.col("seed")))
+    drawn = {k: v for k, v in options.items() if k in ("seeds", "salt")}
+    return _with_source(sizes, plan).withColumn("copies", copies(F.col("doc_id"), F.col("rate"), F.col("seed"), **drawn))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -119,7 +121,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = mix_plan(doc_sizes(docs), **options).select(
         F.col("source").alias("plan_source_"), F.col("rate").alias("plan_rate_"), F.col("seed").alias("plan_seed_")
     )
-    times = copies(docs["doc_id"], F.col("plan_rate_"), F.col("plan_seed_")).cast("int")
+    drawn = {k: v for k, v in options.items() if k in ("seeds", "salt")}
+    times = copies(docs["doc_id"], F.col("plan_rate_"), F.col("plan_seed_"), **drawn).cast("int")
     return (
         docs.join(plan, docs["source"].eqNullSafe(plan["plan_source_"]))
         .select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("copy_"))

@@ -56,3 +56,16 @@ def test_query_columns(spark):
     df = q_mixing.query(spark, "/root/testdata/sf0.001")
     assert df.columns == ["doc_id", "size", "source_size", "target", "taken"]
     assert df.where(F.col("taken") > 3 * F.col("size")).isEmpty()
+
+
+def test_copies_over_many_salts_follow_the_fraction(spark):
+    rows = [(i, "a" if i < 40 else "b", 10 + i % 7) for i in range(120)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    drawn, rate = [], {}
+    for salt in range(8):
+        found = mixing.planned_copies(sizes, seeds=4, salt=salt).collect()
+        rate = {r["source"]: r["rate"] for r in found}
+        drawn += [(r["source"], r["copies"] - int(r["rate"])) for r in found]
+    for source, n in (("a", 40), ("b", 80)):
+        mean = sum(x for s, x in drawn if s == source) / (8 * n)
+        assert abs(mean - (rate[source] - int(rate[source]))) < 0.08
