@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,8 @@ __all__ = ["GAP", "SPACES", "WORD", "fresh_path", "materialize", "shuffle_partit
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows of a range of a global order: so many at least where there are enough partitions, and so many at most.
+FEW_ROWS, MOST_ROWS = 1_000, 1_000_000
 
 
 #: Write a table in the shared folder and read it back.
@@ -35,9 +39,12 @@ def with_prefix(df: DataFrame, order: list[str], size: str, name: str, parts: in
     The rows are range-partitioned and written once; the sums of the partitions, one
     row each, are accumulated and joined back, so no task sees more than one range.
     Rows that tie in ``order`` are told apart by their place in the input, so a
-    heavily repeated key is spread over several ranges.
+    heavily repeated key is spread over several ranges. The number of ranges follows the
+    rows: few for small tables, and more than the session's partitions for very large ones.
     """
-    parts = parts or shuffle_partitions(df.sparkSession)
+    if parts is None:
+        n_rows = df.count()
+        parts = max(math.ceil(n_rows / MOST_ROWS), min(shuffle_partitions(df.sparkSession), math.ceil(n_rows / FEW_ROWS)), 1)
     keyed = df.withColumn("tie_", F.monotonically_increasing_id())
     keys = [*order, "tie_"]
     ranged = keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part_", F.spark_partition_id())
