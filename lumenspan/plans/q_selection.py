@@ -150,11 +150,12 @@ def _(s, d):
 
 
 @query("u03_merged_pairs", """WITH h AS (SELECT *, LEAD(id) OVER w AS id2, LEAD(end_time) OVER w AS e2, LEAD(confidence_score) OVER w AS c2, LEAD(tags) OVER w AS t2, LEAD(description) OVER w AS d2, LEAD(sentiment_score) OVER w AS s2, LEAD(viewer_engagement) OVER w AS v2 FROM highlights WINDOW w AS (PARTITION BY stream_id ORDER BY start_time, id))
-  SELECT id, ROUND(start_time, 9) AS start_time, ROUND(e2, 9) AS end_time, GREATEST(confidence_score, c2) AS confidence_score, array_to_string(list_sort(list_distinct(list_concat(tags, t2)))[1:10], ',') AS tags, trim(description || ' ' || d2) AS description, ROUND((sentiment_score + s2) / 2, 6) AS sentiment_score, ROUND((viewer_engagement + v2) / 2, 6) AS viewer_engagement FROM h WHERE id2 IS NOT NULL""")
+  SELECT id, ROUND(start_time, 9) AS start_time, ROUND(e2, 9) AS end_time, GREATEST(confidence_score, c2) AS confidence_score, array_to_string(list_sort(list_distinct(list_concat(tags, t2)))[1:10], ',') AS tags, trim(description || ' ' || d2) AS description, ROUND((sentiment_score + s2) / 2, 6) + 0::DOUBLE AS sentiment_score, ROUND((viewer_engagement + v2) / 2, 6) AS viewer_engagement FROM h WHERE id2 IS NOT NULL""")
 def _(s, d):
     found = U.merged_neighbours(T.highlights(s, d)).withColumn("tags", F.array_join("tags", ","))
     found = found.select("id", F.round("start_time", 9).alias("start_time"), F.round("end_time", 9).alias("end_time"), "confidence_score", "tags", "description", "sentiment_score", "viewer_engagement")
-    return rounded(found, "sentiment_score", "viewer_engagement")
+    # Adding nothing makes a negative zero a plain one.
+    return rounded(found, "sentiment_score", "viewer_engagement").withColumn("sentiment_score", F.col("sentiment_score") + F.lit(0.0))
 
 
 # ---- detectors over feature columns --------------------------------------------------------
