@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's documents. All but the last return the
 columns of ``documents``.
+
+Defined results: a document without text, or with fewer than ten words, fails the base
+rules and goes at the first stage, whatever its other columns; null ids, languages and
+sources are kept through the other stages as values of their own; of rows that repeat an
+id and a text one stays; columns beyond those of ``documents`` are passed through until
+packing; empty tables give an empty result.
 """
 
 from __future__ import annotations
