@@ -41,3 +41,23 @@ def test_registered():
     assert "pipeline" in names
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_odd_rows_and_empty_tables(spark, docs, tmp_path):
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    text = lambda name, n=12: " ".join(f"{name}{chr(97 + i % 26)}{i}x" for i in range(n))
+    df = docs((1, text("one")), (1, text("one")), (2, None), (3, ""), (4, text("four") + " a@b.co", None), (None, text("null")), (5, text("five"), "en", None), (6, text("six", 9000)), extra=True)
+    ids, out = {}, df
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, out, sf), "odd-" + name.replace(" ", "-"))
+        if name != "best-fit packing":
+            assert out.columns == df.columns
+            ids[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
+    assert ids["quality rules"] == [(False, 1), (False, 1), (False, 4), (False, 5), (False, 6), (True, 0)]
+    assert ids["near duplicates"] == ids["personal data"] == [(False, 1), (False, 4), (False, 5), (False, 6), (True, 0)]
+    assert {i for _, i in ids["source mix"]} >= {5} and out.where("doc_id = 6").count() >= 1
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = materialize(stage(spark, empty, sf), "none")
+    assert empty.count() == 0
