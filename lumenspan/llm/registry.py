@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspan.llm import q_ann, q_fim, q_html, q_minhash, q_mixing, q_packing, q_pii, q_quality, q_sharding, q_tokens, q_trie, q_warc
+from lumenspan.llm import q_ann, q_fim, q_html, q_minhash, q_mixing, q_ngram, q_packing, q_pii, q_quality, q_sharding, q_tokens, q_trie, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (q_ann, q_fim, q_html, q_minhash, q_mixing, q_packing, q_pii, q_quality, q_sharding, q_tokens, q_trie, q_warc)
+MODULES = (q_ann, q_fim, q_html, q_minhash, q_mixing, q_ngram, q_packing, q_pii, q_quality, q_sharding, q_tokens, q_trie, q_warc)
 
 
 def queries() -> dict[str, Query]:
