@@ -233,7 +233,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select(
+    return as_frames(_events(spark, sf_dir))
+
+
+def as_frames(numbered: DataFrame) -> DataFrame:
+    """Frames made of numbered events, a table or a stream."""
+    return numbered.select(
         F.col("event_id").alias("frame_id"),
         (F.col("user_id") % 20).alias("stream_id"),
         "ts",
@@ -244,6 +249,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of the files that hold them."""
+    # A pattern, as a streaming source takes a single file by pattern only.
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    return stream.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def stream_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of the streams."""
     key, user = F.col("o_orderkey"), F.col("o_custkey")
