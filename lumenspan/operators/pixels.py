@@ -96,3 +96,47 @@ def activity(measured: DataFrame) -> DataFrame:
         sigmoid(zero("scene_change")).alias("scene_score"), even("scene_change").alias("scene_stability"), zero("color_change").alias("color_change"),
         sigmoid((zero("edge_density") + zero("variance")) / 2).alias("complexity"), F.count_if(F.col("correlation") < CUT).alias("cuts"),
     )
+
+
+# ---- one vector for the colour frames of a segment -------------------------------------------
+
+#: Intensity mean, deviation and range, motion, then the shares of the bins of each channel.
+CHANNELS = 3
+
+
+def _summed(bins: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a frame's pixels (the last column but one) and of their differences from the frame before (the last)."""
+    names = ["count_", "sum_", "squares_", "low_", "high_", "moved_", "compared_", "bins_"]
+    for batch in batches:
+        n = batch.num_columns - 2
+        out: list[tuple] = []
+        for i in range(batch.num_rows):
+            frame, before = (np.asarray(batch.column(n + k)[i].values, dtype=np.float64) if batch.column(n + k)[i].is_valid else None for k in (0, 1))
+            if frame is None or not len(frame):
+                out.append((0, 0.0, 0.0, None, None, 0.0, 0, [0] * (CHANNELS * bins)))
+                continue
+            same = before is not None and len(before) == len(frame)
+            counts = np.concatenate([np.histogram(frame[c::CHANNELS], bins=bins, range=(0, 255))[0] for c in range(CHANNELS)])
+            out.append((len(frame), frame.sum(), (frame**2).sum(), frame.min(), frame.max(), np.abs(frame - before).sum() if same else 0.0, len(frame) if same else 0, counts))
+        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+        columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*batch.schema.names[:n], *names])
+
+
+def video_features(frames: DataFrame, keys: list[str], order: list[str], bins: int = BINS) -> DataFrame:
+    """``keys`` (of a segment) with ``features``: 4 + 3 * ``bins`` numbers of its frames.
+
+    ``pixels`` holds red, green and blue in turn, pixel by pixel. Frames are summed one by
+    one, so a segment of any length is a partial aggregation; motion compares a frame with
+    the one before it in the segment where both have the same size, and is 0 without any.
+    """
+    window = Window.partitionBy(*keys).orderBy(*order)
+    kept = frames.select(*keys, "pixels", F.lag("pixels").over(window).alias("before_"))
+    schema = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
+    sums = kept.mapInArrow(partial(_summed, bins), f"{schema}, count_ long, sum_ double, squares_ double, low_ double, high_ double, moved_ double, compared_ long, bins_ array<long>")
+    per = sums.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("count_", "sum_", "squares_", "moved_", "compared_")), F.min("low_").alias("low_"), F.max("high_").alias("high_"), *(F.sum(F.col("bins_")[i]).alias(f"bin{i}_") for i in range(CHANNELS * bins)))
+    mean = F.col("sum_") / F.col("count_")
+    total = [sum((F.col(f"bin{c * bins + b}_") for b in range(bins)), F.lit(0)) for c in range(CHANNELS)]
+    shares = [F.coalesce(F.try_divide(F.col(f"bin{c * bins + b}_"), total[c]), F.lit(0.0)) for c in range(CHANNELS) for b in range(bins)]
+    basic = [mean, F.sqrt(F.greatest(F.col("squares_") / F.col("count_") - mean * mean, F.lit(0.0))), F.col("high_") - F.col("low_"), F.coalesce(F.try_divide("moved_", "compared_"), F.lit(0.0))]
+    return per.where("count_ > 0").select(*keys, F.array(*basic, *shares).alias("features"))
