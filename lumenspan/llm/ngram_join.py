@@ -22,9 +22,12 @@ of its tokens in y.
    components.
 4. Entries that still hold several components are compared in cells of bounded size:
    members that may be the smaller one of a pair against all of another component. A
-   node with u tokens of its own can only meet sets of a size that follows from u, so
-   documents that share much, but not enough, drop out by number. The pairs left are
-   confirmed on full sets.
+   node with u tokens of its own can only meet sets of a size that follows from u, and a
+   bitmap of its other tokens bounds what it shares with another from above, so documents
+   that share much, but not enough, drop out. In each round every component of a cell
+   proposes one pair, which is confirmed on full sets, and components are joined; when
+   rounds find no more links, or after ``ROUNDS``, all pairs that are still apart and
+   within the bounds are confirmed.
 
 So no link between different components is lost, and no entry is turned into all its
 pairs. Frequencies only steer the order; the hashed counts may join tokens, which costs
@@ -61,6 +64,8 @@ BATCH_BYTES, RANGE_TOKENS = 8 << 20, 4 << 20
 ALONE, IN_PAIRS = 16, 1024
 #: Members of a block; a cell holds two.
 BLOCK = 256
+#: Bits of the map of a node's tokens, and rounds in which components propose one pair each.
+BITS, ROUNDS = 2048, 5
 SLICE = 256
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -190,8 +195,15 @@ def _class_entries(tokens: np.ndarray, levels: np.ndarray, need: int, size_class
     return np.concatenate(out)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The bits that tokens hash to."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(mix(tokens * _FACTORS[2]) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _index_batch(ranges: int, percent: int, nodes: pa.Table, levels: pa.Table) -> pa.Table:
-    """Rows (node, n, own, entries) of a batch, for nodes that have entries."""
+    """Rows (node, n, own, bits, entries) of a batch, for nodes that have entries."""
     out: list[tuple] = []
     if nodes.num_rows:
         sets = shingle_sets(nodes.column("text").to_pylist())
@@ -203,47 +215,70 @@ def _index_batch(ranges: int, percent: int, nodes: pa.Table, levels: pa.Table) -
         for node, tokens, own in zip(nodes.column("node").to_pylist(), sets, np.split(known, cuts), strict=True):
             found = entries(tokens, own, percent)
             if len(found):
-                out.append((node, len(tokens), int(np.count_nonzero(own == 0)), found.view(np.int64)))
-    node, n, own, found = zip(*out, strict=True) if out else ((), (), (), ())
-    return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64()), "entries": pa.array(found, pa.list_(pa.int64()))})
+                out.append((node, len(tokens), int(np.count_nonzero(own == 0)), bitmap(tokens[own > 0]), found.view(np.int64)))
+    node, n, own, bits, found = zip(*out, strict=True) if out else ((), (), (), (), ())
+    return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64()), "bits": pa.array(bits, pa.binary()), "entries": pa.array(found, pa.list_(pa.int64()))})
 
 
 def index(texts: DataFrame, n_tokens: int, n_bytes: int, percent: int = PERCENT) -> DataFrame:
-    """Rows (node, n, own, entries) of the nodes (node, text) that may have partners; own counts tokens of no other node."""
+    """Rows (node, n, own, bits, entries) of the nodes (node, text) that may have partners.
+
+    own counts tokens of no other node, and bits are the map of the rest.
+    """
     ranges = max(1, math.ceil(n_tokens / RANGE_TOKENS))
     batches = max(1, math.ceil(n_bytes / BATCH_BYTES), min(shuffle_partitions(texts.sparkSession), n_bytes >> 16))
     dealt = texts.withColumn("batch", F.pmod(F.xxhash64("node"), F.lit(batches)).cast("long"))
     sent = dealt.groupBy("batch").applyInArrow(lambda t: _count_batch(ranges, t), "batch long, range long, tokens binary, counts binary")
     levels = sent.groupBy("range").applyInArrow(_level_range, "batch long, range long, levels binary")
-    return dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(lambda n, v: _index_batch(ranges, percent, n, v), "node long, n long, own long, entries array<long>")
+    return dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(lambda n, v: _index_batch(ranges, percent, n, v), "node long, n long, own long, bits binary, entries array<long>")
+
 
+def _cell_pairs(percent: int, round_: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell the pairs of different components, the smaller one from side 0, that sizes and bitmaps allow.
 
-def _cell_pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each cell the pairs of different components, the smaller one from side 0, that sizes and own tokens allow."""
+    In a round every component keeps the most promising of its pairs, later ones with some
+    noise so that a pair once refused makes way for others; without a round all are given.
+    """
     for batch in batches:
         lists = batch.column(0)
         bounds, members = lists.offsets.to_numpy(), lists.values
-        side, node, component, n, most = (members.field(k).to_numpy() for k in range(5))
+        side, node, component, n, most, own = (members.field(k).to_numpy() for k in range(6))
+        bits = np.frombuffer(b"".join(members.field(6).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        shared = n - own
+        out = [np.zeros((2, 0), np.int64)]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             rows = np.arange(lo, hi)
             right = rows[side[lo:hi] == 1]
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = []
             for x in rows[side[lo:hi] == 0]:
                 y = right[(component[right] != component[x]) & (n[right] >= n[x]) & (n[right] <= most[x]) & (most[right] >= n[x]) & (percent * n[right] <= 100 * n[x])]
-                a.append(np.minimum(node[y], node[x]))
-                b.append(np.maximum(node[y], node[x]))
-            pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def apart_pairs(members: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components that share an entry and may reach the threshold.
-
-    members: (entry, node, n, own); labels: (id, component), for linked nodes.
+                common = np.minimum(shared[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64), shared[y] - np.bitwise_count(~bits[x] & bits[y]).sum(axis=1, dtype=np.int64))
+                union = n[x] + n[y] - common
+                near = 100 * common >= percent * union
+                found.append((np.full(int(near.sum()), x), y[near], common[near] / union[near]))
+            if not found:
+                continue
+            x, y, like = (np.concatenate(part) for part in zip(*found, strict=True))
+            if round_ is not None and len(x):
+                noise = mix(np.minimum(node[x], node[y]).astype(np.uint64) * _FACTORS[0] + np.maximum(node[x], node[y]).astype(np.uint64) * _FACTORS[1] + np.uint64(round_))
+                order = np.argsort(-(like + (round_ > 0) * 0.1 * (noise >> np.uint64(11)) / (1 << 53)), kind="stable")
+                x, y = x[order], y[order]
+                first = [np.unique(component[side_], return_index=True)[1] for side_ in (x, y)]
+                kept = np.unique(np.concatenate(first))
+                x, y = x[kept], y[kept]
+            out.append(np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))), axis=1))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def apart_pairs(members: DataFrame, labels: DataFrame, percent: int = PERCENT, round_: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share an entry and may reach the threshold; in a round, some of them.
+
+    members: (entry, node, n, own, bits); labels: (id, component), for linked nodes.
     """
     shared = F.col("n") - F.col("own")
     most = F.floor(((100 + percent) * shared - percent * F.col("n")) / percent).cast("long")
-    placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("entry", "node", "n", most.alias("most"), F.coalesce("component", "node").alias("component"))
+    placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("entry", "node", "n", "own", "bits", most.alias("most"), F.coalesce("component", "node").alias("component"))
     placed = placed.withColumn("small", F.col("most") >= F.col("n"))
     ones = lambda c: F.sum(c.cast("long"))
     per = placed.groupBy("entry", "component").agg(F.count("*").alias("n_"), ones(F.col("small")).alias("small_"))
@@ -266,9 +301,9 @@ def apart_pairs(members: DataFrame, labels: DataFrame, percent: int = PERCENT) -
     # Kind 0: small ones of the main component against the rest; kind 1: small ones of the rest against all.
     small = F.when(F.col("is_main"), F.transform(upto("rest_blocks"), lambda j: cell(0, own_block("small_main_blocks"), j, 0))).otherwise(F.transform(upto("all_blocks"), lambda j: cell(1, own_block("small_rest_blocks"), j, 0)))
     large = F.concat(F.when(F.col("is_main"), none).otherwise(F.transform(upto("small_main_blocks"), lambda i: cell(0, i, own_block("rest_blocks"), 1))), F.transform(upto("small_rest_blocks"), lambda i: cell(1, i, own_block("all_blocks"), 1)))
-    dealt = dealt.select("entry", "node", "component", "n", "most", F.explode(F.concat(F.when(F.col("small"), small).otherwise(none), large)).alias("cell"))
-    grouped = dealt.groupBy("entry", "cell.kind", "cell.i", "cell.j").agg(F.collect_list(F.struct("cell.side", "node", "component", "n", "most")).alias("members"))
-    return grouped.select("members").mapInArrow(partial(_cell_pairs, percent), "a long, b long").distinct()
+    dealt = dealt.select("entry", "node", "component", "n", "most", "own", "bits", F.explode(F.concat(F.when(F.col("small"), small).otherwise(none), large)).alias("cell"))
+    grouped = dealt.groupBy("entry", "cell.kind", "cell.i", "cell.j").agg(F.collect_list(F.struct("cell.side", "node", "component", "n", "most", "own", "bits")).alias("members"))
+    return grouped.select("members").mapInArrow(partial(_cell_pairs, percent, round_), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -298,11 +333,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_node = texts.withColumnRenamed("node", "doc_id")
     links = materialize(confirmed(to_center, by_node, percent), "ngram-links")
     labels = materialize(components(links), "ngram-labels")
-    pairs = apart_pairs(members.join(indexed.select("node", "n", "own"), "node").select("entry", "node", "n", "own"), labels, percent)
-    pairs = materialize(pairs, "ngram-pairs")
-    more = materialize(confirmed(pairs, by_node, percent), "ngram-links")
-    if not more.isEmpty():
-        labels = materialize(components(links.union(more)), "ngram-labels")
+    members = members.join(indexed.select("node", "n", "own", "bits"), "node").select("entry", "node", "n", "own", "bits")
+    for round_ in (*range(ROUNDS), None):
+        pairs = materialize(apart_pairs(members, labels, percent, round_), "ngram-pairs")
+        if pairs.isEmpty():
+            break
+        more = materialize(confirmed(pairs, by_node, percent), "ngram-links")
+        if more.isEmpty() and round_ is not None:
+            continue
+        links = links.union(more)
+        labels = materialize(components(links), "ngram-labels")
 
     known = classes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", "class_id", F.coalesce("component", "node").alias("component"))
     lowest = known.groupBy("component").agg(F.min("class_id").alias("component_id"))

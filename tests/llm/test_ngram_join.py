@@ -97,8 +97,27 @@ def test_sets_at_the_threshold_share_an_entry(seed, n, percent, common):
 
 def test_unlinked_entry_makes_no_cells(spark):
     """Nodes that share much, but have too many tokens of their own, drop out before any cell."""
-    members = spark.range(3000).selectExpr("1L AS entry", "id AS node", "100L AS n", "15L AS own")
+    members = spark.range(3000).selectExpr("1L AS entry", "id AS node", "100L AS n", "15L AS own", f"unhex('{'ff' * (ngram_join.BITS // 8)}') AS bits")
     labels = spark.createDataFrame([], "id long, component long")
     assert ngram_join.apart_pairs(members, labels).count() == 0
-    plan = ngram_join.apart_pairs(members.selectExpr("entry", "node", "n", "IF(node = 0, 0L, own) AS own"), labels)
-    assert plan.count() == 0
+    alone = members.selectExpr("entry", "node", "n", "IF(node = 0, 0L, own) AS own", "bits")
+    assert ngram_join.apart_pairs(alone, labels).count() == 0
+
+
+def test_a_round_gives_each_component_one_pair(spark):
+    bits = f"unhex('{'ff' * (ngram_join.BITS // 8)}')"
+    members = spark.range(400).selectExpr("1L AS entry", "id AS node", "100L AS n", "0L AS own", f"{bits} AS bits")
+    labels = spark.createDataFrame([(i, 0) for i in range(100)], "id long, component long")
+    every = ngram_join.apart_pairs(members, labels)
+    assert every.count() == 300 * 299 // 2 + 300 * 100
+    assert ngram_join.apart_pairs(members, labels, round_=0).count() <= 2 * 2 * 301
+
+
+@settings(max_examples=100, deadline=None)
+@given(seed=st.integers(0, 10**6), n=st.integers(1, 3000))
+def test_bitmaps_never_bound_too_low(seed, n):
+    r = np.random.default_rng(seed)
+    universe = np.unique(r.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+    x, y = (r.permutation(universe)[:n] for _ in range(2))
+    a, b = (np.frombuffer(ngram_join.bitmap(t), np.uint64) for t in (x, y))
+    assert len(np.intersect1d(x, y)) <= len(x) - int(np.bitwise_count(a & ~b).sum())
