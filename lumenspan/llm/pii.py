@@ -11,7 +11,10 @@ one are dropped.
 
 The trees are fitted by Spark ML on a fixed table of a few thousand built examples
 (``training_examples``; its size is the bound) and then applied as column expressions
-row by row, so texts are neither shuffled nor exploded.
+row by row, so texts are neither shuffled nor exploded. Every step is linear in the text
+and in its spans, but for searches of a few steps: patterns start where a run starts and
+repeat without going back, positions and reaches are running sums and maxima over arrays,
+and pieces of a text are cut from blocks of it.
 
 Defined results: a null text counts as empty and has no spans; offsets are code
 points, the end exclusive; spans are ordered by start, then kind as listed; repeated
@@ -53,7 +56,8 @@ PROPOSALS = (
     ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{2,7}(?![0-9])"),
     ("ip", r"(?<![0-9])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])"),
-    ("email", r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\x20?(?:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\}|\x20dot\x20)\x20?[A-Za-z]{2,})+"),
+    # At most nine names before the at mark and eight after the first one behind it.
+    ("email", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){0,8}+\x20?(?:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\}|\x20dot\x20)\x20?[A-Za-z]{2,}+){1,8}+"),
     ("phone", r"(?<![0-9+)(.-])0[0-9]{1,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9-])"),
     ("secret", r"(?<=(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?)[A-Za-z0-9_+/=.~-]{8,}+"),
     ("secret", r"(?<![A-Za-z0-9_-])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_-])"),
@@ -86,20 +90,91 @@ def _found(text: Column, pattern: str) -> Column:
     return F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
 
 
-def _placed(found: Column, keep) -> Column:
-    """Positions of the matches that pass ``keep``; ``found`` as from _found."""
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def step(acc, x):
-        start = acc["pos"] + x["g"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))
-        return F.struct(
-            end.alias("pos"),
-            F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"),
-        )
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+#: Elements of an array that are scanned step by step; longer arrays are scanned in such blocks.
+SCAN = 64
+
+
+def _running(values: Column, op, depth: int = 2) -> Column:
+    """For each number (long) of an array what ``op`` makes of those before it, from 0 on."""
+
+    def short(array: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("acc"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda a, x: F.struct(op(a["acc"], x).alias("acc"), F.concat(a["out"], F.array(a["acc"])).alias("out"))
+        return F.aggregate(array, start, step, lambda a: a["out"])
+
+    def in_blocks(array: Column) -> Column:
+        upto = F.sequence(F.lit(0), F.floor(F.greatest(F.size(array) - 1, F.lit(0)) / SCAN).cast("int"))
+        blocks = F.transform(upto, lambda i: F.slice(array, i * SCAN + 1, F.lit(SCAN)))
+
+        def scanned(blocks_: Column) -> Column:
+            totals = F.transform(blocks_, lambda block: F.aggregate(block, F.lit(0).cast("long"), op))
+            return F.flatten(F.zip_with(blocks_, _running(totals, op, depth - 1), lambda block, before: F.transform(short(block), lambda v: op(v, before))))
+
+        return _let(blocks, scanned)
+
+    return _let(values, lambda array: F.when(F.size(array) <= SCAN, short(array)).otherwise(in_blocks(array))) if depth else short(values)
+
+
+def _placed(found: Column) -> Column:
+    """Positions of all matches; ``found`` as from _found."""
+    before = _running(F.transform(found, lambda x: (x["g"] + F.coalesce(F.length(x["m"]), F.lit(0))).cast("long")), lambda a, b: a + b)
+    at = F.zip_with(found, before, lambda x, b: F.struct((b + x["g"]).cast("int").alias("s"), (b + x["g"] + F.length(x["m"])).cast("int").alias("e"), x["m"].alias("m")))
+    return F.filter(at, lambda x: x["m"].isNotNull())
+
+
+def _once(spans: Column) -> Column:
+    """Sorted, without repeats."""
+    return _let(F.array_sort(spans), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
+
+
+def _free(spans: Column, taken: Column) -> Column:
+    """The spans (s, k, e, m) that touch none of ``taken`` (s, k, e).
+
+    One walk in order of where a span ends and a taken one starts: a span touches one if
+    the furthest end of those that start before its own end lies behind its start.
+    """
+    ends = F.transform(spans, lambda x: F.struct(x["e"].alias("at"), F.lit(0).alias("side"), x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m")))
+    starts = F.transform(taken, lambda x: F.struct(x["s"].alias("at"), F.lit(1).alias("side"), x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(None).cast("string").alias("m")))
+
+    def walked(both: Column) -> Column:
+        reach = _running(F.transform(both, lambda x: F.when(x["side"] == 1, x["e"]).otherwise(0).cast("long")), lambda a, b: F.greatest(a, b))
+        met = F.zip_with(both, reach, lambda x, r: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m"), ((x["side"] == 0) & (r <= x["s"])).alias("free")))
+        return F.transform(F.filter(met, lambda x: x["free"]), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m")))
+
+    return _let(F.array_sort(F.concat(ends, starts)), walked)
+
+
+def _outermost(spans: Column) -> Column:
+    """Of spans (s, k, e, p) those that lie in no longer one of their kind: by kind and start, the longer first, none ahead reaches as far."""
+    order = F.array_sort(F.transform(spans, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), (-c["e"]).alias("n"))))
+    place = lambda c: F.shiftleft(c["k"].cast("long") + 1, 32) - c["n"]
+
+    def kept(a: Column) -> Column:
+        reach = _running(F.transform(a, place), lambda x, y: F.greatest(x, y))
+        return F.filter(F.zip_with(a, reach, lambda c, r: F.struct(c["s"].alias("s"), c["k"].alias("k"), (-c["n"]).alias("e"), (r < place(c)).alias("kept"))), lambda c: c["kept"])
+
+    return F.transform(_let(order, kept), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
+
+
+#: Code points of a block; pieces of a text are cut from the blocks that they lie in.
+PIECE = 1024
+
+
+def blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(blocks_: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` (code points)."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(F.greatest(end - 1, start) / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks_, first), F.lit("")), F.coalesce(F.get(blocks_, first + 1), F.lit("")))
+    held = F.when(last - first <= 1, two).otherwise(F.array_join(F.slice(blocks_, first + 1, last - first + 1), ""))
+    return F.when(end > start, F.substring(held, start - first * PIECE + 1, end - start)).otherwise("")
 
 
 def _digits(m: Column) -> Column:
@@ -117,43 +192,52 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _passes(kind: str, x: Column) -> Column:
+    return _valid(kind, x["m"])
+
+
 def _marked(number: int, more: tuple[str, ...], x: Column) -> Column:
     return F.struct(x["s"].alias("s"), F.lit(number).alias("k"), x["e"].alias("e"), *[x[name].alias(name) for name in more])
 
 
-def base_spans(text: Column, digits: Column) -> Column:
-    """Array of (s, k, e), ordered; ``digits`` tells whether the text has any, which three kinds need."""
-    per_kind = []
-    for number, kind in enumerate(KINDS):
-        some = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9][\\x20-]?[0-9]")
-        some = some if kind == "email" else digits & some
-        placed = _placed(_found(text, BASE[kind]), partial(_valid, kind))
-        plain = F.transform(placed, partial(_marked, number, ()))
-        per_kind.append(F.when(some, plain).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
-    return F.array_sort(F.concat(*per_kind))
-
+def matches(text: Column, digits: Column) -> Column:
+    """For each base pattern, then each proposal pattern, an array of its matches (s, e, m).
 
-def proposals(text: Column, digits: Column | None = None) -> Column:
-    """Array of proposed spans (s, e, m, k), overlaps included."""
-    digits = text.rlike("[0-9]") if digits is None else digits
-    out = []
+    ``digits`` tells whether the text has any; a pattern is searched only where the
+    characters that it needs occur.
+    """
+    none = F.array().cast("array<struct<g:int,m:string>>")
+    found = []
+    for kind in KINDS:
+        some = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9][\\x20-]?[0-9]")
+        found.append(F.when(some if kind == "email" else digits & some, _found(text, BASE[kind])).otherwise(none))
     for (kind, pattern), needs in zip(PROPOSALS, PROPOSAL_NEEDS, strict=True):
-        placed = _placed(_found(text, pattern), lambda m: F.lit(True))
-        marked = F.transform(placed, partial(_marked, ALL_KINDS.index(kind), ("m",)))
         some = text.rlike(needs) if kind in ("email", "secret") else digits & text.rlike(needs)
         if needs.endswith("[:=]"):
             some = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & some
         elif needs.startswith("[0-9]"):
             some = digits & some
-        out.append(F.when(some, marked).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")))
-    return F.array_distinct(F.concat(*out))
+        found.append(F.when(some, _found(text, pattern)).otherwise(none))
+    return F.transform(F.array(*found), lambda f: F.when(F.size(f) > 0, _placed(f)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>")))
+
+
+def base_spans(found: Column) -> Column:
+    """Array of (s, k, e), ordered, of the base matches that pass their kind's check; ``found`` as from ``matches``."""
+    kept = [F.transform(F.filter(F.get(found, number), partial(_passes, kind)), partial(_marked, number, ())) for number, kind in enumerate(KINDS)]
+    return F.array_sort(F.concat(*kept))
+
+
+def proposals(found: Column) -> Column:
+    """Array of proposed spans (s, k, e, m), overlaps included."""
+    made = [F.transform(F.get(found, len(KINDS) + i), partial(_marked, ALL_KINDS.index(kind), ("m",))) for i, (kind, _) in enumerate(PROPOSALS)]
+    return _once(F.concat(*made))
 
 
-def features(text: Column, c: Column) -> dict[str, Column]:
-    """Format and context features of a proposal ``c``, as doubles."""
+def features(pieces: Column, c: Column) -> dict[str, Column]:
+    """Format and context features of a proposal ``c``, as doubles; ``pieces`` are the text's blocks."""
     digits, m = _digits(c["m"]), c["m"]
-    before = F.substring(text, F.greatest(c["s"] - CONTEXT + 1, F.lit(1)), F.least(c["s"], F.lit(CONTEXT)))
-    last, following = F.substring(text, c["s"], F.when(c["s"] > 0, 1).otherwise(0)), F.substring(text, c["e"] + 1, F.lit(1))
+    before = _cut(pieces, F.greatest(c["s"] - CONTEXT, F.lit(0)), c["s"])
+    last, following = _cut(pieces, F.greatest(c["s"] - 1, F.lit(0)), c["s"]), _cut(pieces, c["e"], c["e"] + 1)
     own = {
         "is_email": c["k"] == 0, "is_ip": c["k"] == 1, "is_card": c["k"] == 2, "is_phone": c["k"] == 3, "is_secret": c["k"] == 4,
         "n_distinct": F.size(F.array_distinct(F.split(m, ""))), "mixed_case": m.rlike("[a-z]") & m.rlike("[A-Z]"), "issued": m.rlike(ISSUED),
@@ -288,8 +372,9 @@ def fit_scorer(spark: SparkSession, rows: int = 2400, precision: float = 0.98, t
         return _FITTED[key]
     numbered = [(i, *x) for i, x in enumerate(training_examples(rows, seed))]
     examples = spark.createDataFrame(numbered, "row long, text string, secret string, label int")
-    spread = examples.coalesce(1).select("*", F.explode(proposals(F.col("text"))).alias("c"))
-    values = features(F.col("text"), F.col("c"))
+    found = examples.coalesce(1).withColumn("found", matches(F.col("text"), F.col("text").rlike("[0-9]")))
+    spread = found.select("*", F.explode(proposals(F.col("found"))).alias("c"))
+    values = features(blocks(F.col("text")), F.col("c"))
     # A proposal is private if its example is, and it lies within the private string.
     truth = (F.col("label") == 1) & F.contains(F.col("secret"), F.col("c.m"))
     table = spread.select("row", F.col("c.k").alias("kind"), truth.cast("double").alias("truth"), *[v.alias(k) for k, v in values.items()])
@@ -320,22 +405,21 @@ def with_spans(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     cuts = F.array(*[F.lit(float(t)) for t in scorer.thresholds])
     step = docs.withColumn("digits_", text.rlike("[0-9]"))
-    step = step.withColumn("base_", base_spans(text, F.col("digits_")))
-    step = step.withColumn("proposed_", proposals(text, F.col("digits_")))
+    step = step.withColumn("found_", matches(text, F.col("digits_")))
+    step = step.withColumn("base_", base_spans(F.col("found_"))).withColumn("proposed_", proposals(F.col("found_")))
     # Proposals that touch a base span go before any scoring.
-    fresh = F.filter("proposed_", lambda c: ~F.exists("base_", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    step = step.withColumn("fresh_", fresh)
+    step = step.withColumn("fresh_", F.when((F.size("base_") > 0) & (F.size("proposed_") > 0), _free(F.col("proposed_"), F.col("base_"))).otherwise(F.col("proposed_")))
+    step = step.withColumn("blocks_", F.when(F.size("fresh_") > 0, blocks(text)))
     # Features once a proposal, then the trees over them.
-    told = F.transform("fresh_", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), *[v.alias(n) for n, v in features(text, c).items()]))
+    told = F.transform("fresh_", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), *[v.alias(n) for n, v in features(F.col("blocks_"), c).items()]))
     step = step.withColumn("told_", F.when(F.size("fresh_") > 0, told))
     scored = F.transform("told_", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), scorer.margin({n: c[n] for n in FEATURES}).alias("p")))
     step = step.withColumn("scored_", scored)
-    step = step.withColumn("chosen_", F.filter("scored_", lambda c: c["p"] >= F.get(cuts, c["k"])))
+    step = step.withColumn("chosen_", F.coalesce(F.filter("scored_", lambda c: c["p"] >= F.get(cuts, c["k"])), F.array().cast("array<struct<s:int,k:int,e:int,p:double>>")))
     # Of chosen proposals of one kind, those inside a longer one add nothing.
-    inside = lambda c, o: (o["k"] == c["k"]) & (o["s"] <= c["s"]) & (c["e"] <= o["e"]) & (o["e"] - o["s"] > c["e"] - c["s"])
-    chosen = F.filter("chosen_", lambda c: ~F.exists("chosen_", lambda o: inside(c, o)))
-    plain = F.transform(F.coalesce(chosen, F.array().cast("array<struct<s:int,k:int,e:int,p:double>>")), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
-    return step.withColumn("spans_", F.array_sort(F.array_distinct(F.concat("base_", plain)))).drop("digits_", "proposed_", "fresh_", "told_", "scored_", "chosen_")
+    step = step.withColumn("kept_", F.when(F.size("chosen_") > 0, _outermost(F.col("chosen_"))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
+    step = step.withColumn("spans_", F.when(F.size("kept_") > 0, _once(F.concat("base_", "kept_"))).otherwise(F.col("base_")))
+    return step.drop("digits_", "found_", "proposed_", "fresh_", "blocks_", "told_", "scored_", "chosen_", "kept_")
 
 
 def written(spans: Column) -> Column:
@@ -350,21 +434,11 @@ def redact(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     inner = docs.select(F.struct(*docs.columns).alias("row_"), "text")
     found = with_spans(inner, scorer)
 
-    def merge(acc, x):
-        prior = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(prior["s"].alias("s"), prior["k"].alias("k"), F.greatest(prior["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(-1)) > x["s"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    merged = F.aggregate("spans_", F.array().cast("array<struct<s:int,k:int,e:int>>"), merge)
-    found = found.withColumn("merged_", F.when(F.size("spans_") > 0, merged))
-    last = F.size("merged_") - 1
-    pieces = F.transform(
-        "merged_",
-        lambda x, i: F.concat(
-            F.substring("text", F.coalesce(F.get("merged_", i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get("merged_", i - 1)["e"], F.lit(0))),
-            F.get(marks, x["k"]),
-        ),
-    )
-    end = F.get("merged_", last)["e"]
-    clean = F.when(F.size("spans_") > 0, F.concat(F.array_join(pieces, ""), F.substring("text", end + 1, F.length("text") - end))).otherwise(F.col("text"))
+    # A span opens a mark if it starts at or behind the furthest end ahead of it.
+    found = found.withColumn("ahead_", F.when(F.size("spans_") > 0, _running(F.transform("spans_", lambda x: x["e"].cast("long")), lambda a, b: F.greatest(a, b))))
+    opened = F.filter(F.zip_with("spans_", "ahead_", lambda x, r: F.struct(x["s"].alias("s"), x["k"].alias("k"), r.alias("after"))), lambda x: x["s"] >= x["after"])
+    found = found.withColumn("opened_", opened).withColumn("pieces_", F.when(F.size("spans_") > 0, blocks(F.col("text"))))
+    marked = F.transform("opened_", lambda x: F.concat(_cut(F.col("pieces_"), x["after"].cast("int"), x["s"]), F.get(marks, x["k"])))
+    end = F.array_max(F.transform("spans_", lambda x: x["e"]))
+    clean = F.when(F.size("spans_") > 0, F.concat(F.array_join(marked, ""), _cut(F.col("pieces_"), end, F.length("text")))).otherwise(F.col("text"))
     return found.withColumn("clean_", clean).select(*[F.col("clean_").alias(c) if c == "text" else F.col(f"row_.`{c}`").alias(c) for c in docs.columns])

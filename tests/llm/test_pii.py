@@ -121,3 +121,56 @@ def test_query_digest(spark):
         spans = brute(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
         assert sum(r[f"n_{k}"] for k in pii.KINDS) == len([x for x in spans.split(",") if x])
+
+
+def timed_spans(docs, scorer, text):
+    import time
+
+    began = time.time()
+    row = pii.with_spans(docs((1, text)), scorer).select(F.size("base_").alias("b"), F.size("spans_").alias("n")).first()
+    return row["b"], row["n"], time.time() - began
+
+
+@pytest.mark.parametrize(
+    ("name", "text", "least"),
+    [
+        ("dots behind an at mark", "x [at] y " + "a." * 500_000 + "7 ", 0),
+        ("one long word", "see at x " + "a" * 1_000_000 + " 1", 0),
+        ("a domain without end", "joe at " + "example.com." * 100_000 + " 1", 1),
+        ("dots before an at mark", "a." * 500_000 + "b at mail dot com 1", 1),
+        ("many addresses", " ".join(f"u{i} at m{i}.com 10.0.{i % 250}.7" for i in range(50_000)), 50_000),
+        ("a long secret", "token = 7" + "a" * 1_000_000, 0),
+        ("many numbers", "4111 1111 1111 1111, " * 20_000, 20_000),
+    ],
+)
+def test_long_texts_take_seconds(docs, scorer, name, text, least):
+    timed_spans(docs, scorer, "warm up: joe at mail dot com, 10.0.0.7")
+    _, n, took = timed_spans(docs, scorer, text)
+    assert n >= least, name
+    assert took < 40, (name, took)
+
+
+def test_redaction_of_many_spans(docs, scorer):
+    text = " ".join(f"u{i}@m{i}.com and {'x' * (i % 40)}" for i in range(5_000))
+    clean = pii.redact(docs((1, text)), scorer).first()["text"]
+    assert clean == " ".join(f"[EMAIL] and {'x' * (i % 40)}" for i in range(5_000))
+
+
+def test_running_values_over_blocks(spark):
+    import itertools
+
+    rows = [(n, [(7 * i) % 13 for i in range(n)]) for n in (0, 1, 63, 64, 65, 500, 5_000)]
+    df = spark.createDataFrame(rows, "n int, v array<long>")
+    sums = pii._running(F.col("v"), lambda a, b: a + b)
+    tops = pii._running(F.col("v"), lambda a, b: F.greatest(a, b))
+    for r in df.select("n", "v", sums.alias("s"), tops.alias("t")).collect():
+        assert r["s"] == [0, *itertools.accumulate(r["v"])][:-1] if r["n"] else r["s"] == []
+        assert r["t"] == [0, *itertools.accumulate(r["v"], max)][:-1] if r["n"] else r["t"] == []
+
+
+def test_pieces_are_cut_from_blocks(spark):
+    text = "é😀b" * 2_000
+    cuts = [(0, 0), (0, 5), (1020, 1030), (1024, 2048), (5_990, 6_000), (0, 6_000), (3_000, 3_000)]
+    df = spark.createDataFrame([(text, a, b) for a, b in cuts], "t string, a int, b int")
+    for r in df.select("a", "b", pii._cut(pii.blocks(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect():
+        assert r["c"] == text[r["a"] : r["b"]]
