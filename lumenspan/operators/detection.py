@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from lumenspan.functions import text as X
 from lumenspan.functions.scalar import normalize
-from lumenspan.operators.temporal import fold_by, opened
+from lumenspan.operators.scans import running_sums
+from lumenspan.operators.temporal import fold_by, islands, opened
 
 # Fixed weights and limits of the chat detector.
 CHAT_WEIGHTS = {"frequency": 0.3, "sentiment": 0.25, "engagement": 0.25, "keyword_emoji": 0.2}
@@ -50,12 +51,23 @@ def engagement_score(rate: Column, users: Column, length: Column, positive: Colu
 
 
 def spam_flags(messages: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """Users who repeat themselves in less than a minute, shout, or post links; times are told apart to a microsecond."""
+    """Users who repeat themselves in less than a minute, shout, or post links; times are told apart to a microsecond.
+
+    Each message opens a span around its time, and so does each run of a user's equal
+    messages; running sums over the ends of spans tell, at any time, how many messages and
+    how many different ones are near. No set is built, and a user's rows may lie in many ranges.
+    """
     width = seconds - 5e-7
-    frame = f"(PARTITION BY user_id ORDER BY t RANGE BETWEEN CAST({width} AS DOUBLE) PRECEDING AND CAST({width} AS DOUBLE) FOLLOWING)"
-    near = messages.select("*", F.expr(f"count(*) OVER {frame}").alias("n_near"), F.expr(f"size(collect_set(xxhash64(message)) OVER {frame})").alias("n_distinct"))
+    rows = messages.select("event_id", "user_id", "t", F.xxhash64("message").alias("text_"), (F.col("t") - width).alias("from_"), (F.col("t") + width).alias("upto_"))
+    end = lambda at, side, near, different: F.struct(F.col(at).alias("at"), F.lit(side).alias("side"), F.lit(near).alias("near"), F.lit(different).alias("different"), (F.col("event_id") if side == 1 else F.lit(None).cast("long")).alias("event_id"))
+    each = rows.select("user_id", F.explode(F.array(end("from_", 0, 1, 0), end("t", 1, 0, 0), end("upto_", 2, -1, 0))).alias("x"))
+    runs = islands(rows, ["user_id", "text_"], "from_", "upto_", "event_id").groupBy("user_id", "text_", "island").agg(F.min("from_").alias("from_"), F.max("upto_").alias("upto_"))
+    runs = runs.withColumn("event_id", F.lit(None).cast("long"))
+    equal = runs.select("user_id", F.explode(F.array(end("from_", 0, 0, 1), end("upto_", 2, 0, -1))).alias("x"))
+    summed = running_sums(each.unionByName(equal).select("user_id", "x.*"), ["user_id"], ["at", "side"], ["near", "different"], "spam")
+    counts = summed.where("side = 1").select("event_id", F.col("near_upto").alias("n_near"), F.col("different_upto").alias("n_distinct"))
     repeats = (F.col("n_near") > 3) & (F.col("n_distinct") * 2 < F.col("n_near"))
-    return near.withColumn("is_spam", repeats | (X.capitals_share(F.col("message")) > 0.8) | F.lower("message").rlike(r"https?://"))
+    return messages.join(counts, "event_id").withColumn("is_spam", repeats | (X.capitals_share(F.col("message")) > 0.8) | F.lower("message").rlike(r"https?://"))
 
 
 def windowed(messages: DataFrame, seconds: float = 30.0) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenspan.operators.temporal import band_join, fold_by
+from lumenspan.operators.scans import exponential_mean
+from lumenspan.operators.temporal import band_join
 
 
 def moving_average(series: DataFrame, width: float = 10.0, strength: float | None = None) -> DataFrame:
@@ -35,13 +36,7 @@ def gaussian(series: DataFrame, width: float = 10.0, strength: float = 0.3) -> D
 
 def exponential(series: DataFrame, alpha: float) -> DataFrame:
     """Rows (series, id, t, v, smooth) of the exponential mean in order of time."""
-
-    def step(state, row):
-        smooth = row["v"] if state is None else alpha * row["v"] + (1 - alpha) * state["smooth"]
-        return {"smooth": smooth}, [{**row, "smooth": smooth}]
-
-    kept = series.select("series", "id", "t", "v")
-    return fold_by(kept, ["series"], ["t", "id"], step, f"series {kept.schema['series'].dataType.simpleString()}, id long, t double, v double, smooth double")
+    return exponential_mean(series.select("series", "id", "t", "v"), ["series"], ["t", "id"], "v", alpha, "smooth", "exponential")
 
 
 def time_correlation(series: DataFrame, width: float = 30.0, keys: tuple[str, ...] = ("series",)) -> DataFrame:

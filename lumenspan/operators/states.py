@@ -62,12 +62,31 @@ def sync_points(frames: DataFrame, within: float) -> DataFrame:
     return pairs.groupBy("frame_id", "other_stream").agg(nearest.alias("other_frame"))
 
 
+def streams_near(rows: DataFrame, at: str, within: float, strict: bool = True) -> DataFrame:
+    """``rows`` with ``n_near``: other streams that have a row less than ``within`` away (or as far, unless strict).
+
+    Rows are not paired. A stream with a row in the same bucket of ``within`` seconds is
+    near; of the others only the last time in the bucket before and the first one in the
+    bucket behind matter, so each bucket holds one entry a stream.
+    """
+    placed = rows.withColumn("bucket_", F.floor(F.col(at) / within).cast("long"))
+    seen = placed.groupBy("bucket_", "stream_id").agg(F.min(at).alias("first_"), F.max(at).alias("last_"))
+    side = lambda k, last, first: F.struct((F.col("bucket_") + k).alias("bucket_"), F.lit(k == 0).alias("here_"), last.alias("last_"), first.alias("first_"))
+    none = F.lit(None).cast("double")
+    spread = seen.select("stream_id", F.explode(F.array(side(0, none, none), side(1, F.col("last_"), none), side(-1, none, F.col("first_")))).alias("x")).select("stream_id", "x.*")
+    met = spread.groupBy("bucket_", "stream_id").agg(F.max("here_").alias("here_"), F.max("last_").alias("last_"), F.min("first_").alias("first_"))
+    around = met.groupBy("bucket_").agg(F.count_if("here_").alias("n_here_"), F.collect_list(F.when(~F.col("here_"), F.struct("last_", "first_"))).alias("beside_"))
+    t = F.col(at)
+    close = lambda gap: F.coalesce(gap < within if strict else gap <= within, F.lit(False))
+    beside = F.size(F.filter("beside_", lambda x: close(t - x["last_"]) | close(x["first_"] - t)))
+    return placed.join(around, "bucket_").withColumn("n_near", F.col("n_here_") - 1 + beside).drop("bucket_", "n_here_", "beside_")
+
+
 def sync_confidence(frames: DataFrame, within: float) -> DataFrame:
     """Half for a keyframe, half by the share of other streams with a frame less than ``within`` away."""
-    near = _others(frames, frames, within).groupBy("frame_id").agg(F.countDistinct("other_stream").alias("n_near"))
     streams = frames.agg(F.countDistinct("stream_id")).scalar()
-    share = F.coalesce(F.try_divide(F.coalesce("n_near", F.lit(0)), streams - 1), F.lit(0.0))
-    return frames.join(near, "frame_id", "left").withColumn("confidence", F.when(F.col("is_keyframe"), 0.5).otherwise(0.0) + 0.5 * share)
+    share = F.coalesce(F.try_divide(F.col("n_near"), streams - 1), F.lit(0.0))
+    return streams_near(frames, "t", within).withColumn("confidence", F.when(F.col("is_keyframe"), 0.5).otherwise(0.0) + 0.5 * share)
 
 
 # ---- statistics --------------------------------------------------------------------------

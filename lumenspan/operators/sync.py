@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenspan.functions import text as X
+from lumenspan.operators.scans import recurrence
+from lumenspan.operators.states import streams_near
 from lumenspan.operators.temporal import band_join, fold_by, islands, opened
 
 # Fixed values of time stamps, offsets and milestones.
@@ -50,9 +52,8 @@ def merged_close(highlights: DataFrame, gap: float = 2.0) -> DataFrame:
 
 def correlated(highlights: DataFrame, within: float) -> DataFrame:
     """Highlights with the number of other streams that have one starting within ``within`` seconds."""
-    other = highlights.select(F.col("stream_id").alias("other_stream"), F.col("start_time").alias("other_start"))
-    pairs = band_join(highlights.select("id", "stream_id", "start_time"), other, [], "start_time", "other_start", within).where("stream_id <> other_stream")
-    return pairs.groupBy("id").agg(F.countDistinct("other_stream").alias("streams"))
+    found = streams_near(highlights.select("id", "stream_id", "start_time"), "start_time", within, strict=False)
+    return found.where("n_near > 0").select("id", F.col("n_near").alias("streams"))
 
 
 # ---- segments of frames ------------------------------------------------------------------
@@ -91,13 +92,11 @@ def keyframe_segments(frames: DataFrame, fewest: int = 30, most: int = 900, long
 
 def running_means(found: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Per stream the running means of length and frames after each segment, from 0 on."""
-
-    def step(state, row):
-        length, frames = (0.0, 0.0) if state is None else state
-        after = (alpha * (row["end_time"] - row["start_time"]) + (1 - alpha) * length, alpha * row["n"] + (1 - alpha) * frames)
-        return after, [{"stream_id": row["stream_id"], "segment": row["segment"], "avg_length": after[0], "avg_frames": after[1]}]
-
-    return fold_by(found.select("stream_id", "segment", "n", "start_time", "end_time"), ["stream_id"], ["segment"], step, "stream_id long, segment long, avg_length double, avg_frames double")
+    rows = found.select("stream_id", "segment", "n", "start_time", "end_time")
+    kept = lambda value: (F.lit(1 - alpha), alpha * value)
+    rows = recurrence(rows, ["stream_id"], ["segment"], *kept(F.col("end_time") - F.col("start_time")), "avg_length", "mean-length").drop("nth")
+    rows = recurrence(rows, ["stream_id"], ["segment"], *kept(F.col("n")), "avg_frames", "mean-frames")
+    return rows.select("stream_id", "segment", "avg_length", "avg_frames")
 
 
 def frame_windows(frames: DataFrame, size: float, slide: float) -> DataFrame:

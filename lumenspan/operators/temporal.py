@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from lumenspan.operators.scans import known_around
+
 
 def overlap_seconds(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
@@ -63,12 +65,9 @@ def neighbours(grid: DataFrame, observed: DataFrame, keys: Sequence[str], at: st
     points = grid.select(*keys, at, *extra, F.lit(1).alias("grid_"), F.lit(None).cast(observed.select(seen.alias("s")).schema["s"].dataType).alias("seen_"))
     blank = [F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in extra]
     both = points.unionByName(observed.select(*keys, at, *blank, F.lit(0).alias("grid_"), seen.alias("seen_")))
-    # Both run over growing frames, which Spark extends row by row: the second one in reverse order.
-    order = Window.partitionBy(*keys).orderBy(at, "grid_", "seen_")
-    reverse = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("grid_"), F.desc("seen_"))
-    prior = F.last("seen_", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.last("seen_", ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
-    return both.withColumn("prior", prior).withColumn("later", later).where("grid_ = 1").drop("grid_", "seen_")
+    # Ranges of key and time, so that a large key is many tasks.
+    found = known_around(both, list(keys), [at, "grid_", "seen_"], "seen_", "neighbours")
+    return found.where("grid_ = 1").withColumnsRenamed({"before": "prior", "after": "later"}).drop("grid_", "seen_")
 
 
 def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: str, gap: float = 0.0) -> DataFrame:

@@ -212,7 +212,7 @@ _DENSE = " OR ".join(f"contains(message, {_quoted(e)})" for e in X.DENSE_EMOTES)
 
 
 @query("d45_chat_content", f"""WITH {LEXICON}, w AS (SELECT stream_id, {_HOUR}, COUNT(*) AS n, AVG(score) AS sentiment, AVG((hype > 0.5)::INT) AS share, AVG(({_DENSE})::INT) AS density FROM lex GROUP BY ALL)
-  SELECT stream_id, "window", n, ROUND(sentiment, 6) AS sentiment, ROUND(share, 6) AS highlight_share, ROUND(density, 6) AS emote_density, ROUND(LEAST(0.2 * sentiment + 0.3 * share + CASE WHEN n > 50 THEN 0.3 ELSE 0 END + LEAST(n / 100, 0.2), 1), 6) AS score, ROUND(LEAST(0.7 + n / 100, 0.95), 6) AS confidence FROM w""")
+  SELECT stream_id, "window", n, ROUND(sentiment, 6) + 0 AS sentiment, ROUND(share, 6) AS highlight_share, ROUND(density, 6) AS emote_density, ROUND(LEAST(0.2 * sentiment + 0.3 * share + CASE WHEN n > 50 THEN 0.3 ELSE 0 END + LEAST(n / 100, 0.2), 1), 6) + 0 AS score, ROUND(LEAST(0.7 + n / 100, 0.95), 6) AS confidence FROM w""")
 def _(s, d):
     return rounded(D.chat_content(T.chat_messages(s, d)), "sentiment", "highlight_share", "emote_density", "score", "confidence")
 

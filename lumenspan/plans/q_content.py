@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lumenspan.functions import scalar as C
@@ -33,7 +35,9 @@ def query(name: str, sql: str | None):
 # ---- speech and sound --------------------------------------------------------------------
 
 _QUOTE = lambda w: w.replace("'", "''")
-_FOUND = " + ".join(f"len(regexp_extract_all(lower(message), '\\b{_QUOTE(w)}\\b'))" for w in N.SPOKEN)
+#: Words end where letters and digits of any script do; marks around a copy of the text with doubled gaps tell them apart.
+_EDGED = r"(' ' || regexp_replace(lower(message), '([^\p{L}\p{N}_])', ' \1 ', 'g') || ' ')"
+_FOUND = " + ".join(f"len(regexp_extract_all({_EDGED}, '[^\\p{{L}}\\p{{N}}_]{_QUOTE(re.sub(chr(32) + '|' + chr(39), lambda m: ' ' + m[0] + ' ', w))}[^\\p{{L}}\\p{{N}}_]'))" for w in N.SPOKEN)
 
 
 @query("h29_speech_keywords", f"SELECT event_id, CAST({_FOUND} AS INTEGER) AS n, ROUND(1 / (1 + exp(-(10 * ({_FOUND}) / GREATEST(1, len({TOK}))))), 6) AS score FROM chat_messages")
@@ -131,11 +135,6 @@ def _(s, d):
     return rounded(rows.select("stream_id", "moment", "modality", quality.alias("quality")), "moment", "quality")
 
 
-@query("g15_normalized_weights", "SELECT * FROM (VALUES ('video', ROUND(0.4::DOUBLE / 0.7, 6)), ('audio', ROUND(0.3::DOUBLE / 0.7, 6)), ('chat', 0.3::DOUBLE)) t(modality, weight)")
-def _(s, d):
-    return rounded(s.createDataFrame(list(U.NORMALIZED.items()), "modality string, weight double"), "weight")
-
-
 # ---- boundaries and times ------------------------------------------------------------------
 
 
@@ -177,12 +176,6 @@ def _(s, d):
 # ---- intake and dispatch -----------------------------------------------------------------------
 
 
-@query("a33_bulk_created", "SELECT id, stream_id FROM highlights UNION ALL SELECT id + 1000000000, stream_id FROM highlights WHERE id % 10 = 0")
-def _(s, d):
-    rows = T.highlights(s, d).select("id", "stream_id")
-    return rows.unionByName(rows.where("id % 10 = 0").withColumn("id", F.col("id") + 1_000_000_000))
-
-
 @query("a34_bulk_usage", "SELECT id, CAST((ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY id) - 1) // 1000 AS INTEGER) AS batch FROM usage_records")
 def _(s, d):
     from pyspark.sql.window import Window

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspan.plans import q_chat, q_clusters, q_content, q_detection, q_features, q_relational, q_rows, q_segments, q_selection, q_streaming, q_sync, q_temporal
+from lumenspan.plans import q_chat, q_clusters, q_content, q_detection, q_features, q_relational, q_rows, q_scoring, q_segments, q_selection, q_streaming, q_sync, q_temporal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (q_relational, q_rows, q_temporal, q_selection, q_chat, q_content, q_clusters, q_detection, q_sync, q_streaming, q_segments, q_features)
+MODULES = (q_relational, q_rows, q_temporal, q_selection, q_chat, q_content, q_clusters, q_detection, q_sync, q_streaming, q_segments, q_features, q_scoring)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

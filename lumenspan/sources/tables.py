@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.operators.scans import running_sums
+from lumenspan.sources.shared import written
+
 EPOCH = "2024-01-01 00:00:00"
 #: Event times are pressed together by this factor so that intervals of a stream overlap.
 PRESS = 600
@@ -195,7 +198,7 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Phrases of the chat, one for each event by its number; every second one is followed by the event's type.
+#: Chat phrases; every fourth message ends with one, so that emotes and slang occur in given texts.
 PHRASES = (
     "gg that clutch was insane :)", "LETS GO THIS IS AMAZING POGGERS", "worst stream ever, so boring and bad :(", "omg no way!!! unreal play xD",
     "follow my channel at https://spam.example.com for free giveaway", "nooooooooo how did they lose", "@streamer love the new #setup, great and nice quality KEKW", "hi",
@@ -204,17 +207,35 @@ PHRASES = (
 )
 
 
+def chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations and every document as a whole, numbered from 1."""
+    turns = read(spark, sf_dir, "conversations").select(F.lit(0).alias("kind"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), "role", "text")
+    whole = read(spark, sf_dir, "documents").select(F.lit(1).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("role"), "text")
+    return running_sums(turns.unionByName(whole), [], ["kind", "a", "b", "role", "text"], [], "chat-texts").select("nth", "text")
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of ten channels, one for each event."""
-    phrase = pick((F.col("event_id") + F.col("k")) % len(PHRASES), *PHRASES)
-    return _events(spark, sf_dir).select(
-        "event_id",
+    """Messages of ten channels. Events and texts are dealt to each other in turn: no event and no text is left out.
+
+    ``event_id`` numbers the messages from 0.
+    """
+    events = written(running_sums(_events(spark, sf_dir).drop("props"), [], ["event_id", "ts"], [], "chat-order"), "chat-events")
+    texts = written(chat_texts(spark, sf_dir), "chat-texts")
+    n_events, n_texts = events.count(), texts.count()
+    nth = F.col("nth") - 1
+    if n_events >= n_texts:
+        dealt = events.withColumn("i", nth).withColumn("nth", nth % max(n_texts, 1) + 1).join(texts, "nth", "left")
+    else:
+        dealt = texts.withColumn("i", nth).withColumn("nth", nth % max(n_events, 1) + 1).join(events, "nth")
+    phrase = pick((F.col("i") + F.col("k")) % len(PHRASES), *PHRASES)
+    return dealt.select(
+        F.col("i").alias("event_id"),
         (F.col("user_id") % 10).alias("stream_id"),
         "user_id",
         F.concat(F.when(F.col("user_id") % 50 == 0, "bot").otherwise("user"), F.col("user_id")).alias("username"),
         "ts",
         seconds("ts").alias("t"),
-        F.when(F.col("event_id") % 2 == 1, F.concat(phrase, F.lit(" "), F.col("event_type"))).otherwise(phrase).alias("message"),
+        F.concat(F.coalesce("text", F.lit("")), F.when(F.col("i") % 4 == 0, F.concat(F.lit(" "), phrase)).otherwise("")).alias("message"),
     )
 
 

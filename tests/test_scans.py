@@ -3,8 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.operators import scans
-from lumenspan.operators.series import exponential
+from lumenspan.operators import detection, scans, states
 
 
 @pytest.fixture(scope="module")
@@ -53,9 +52,14 @@ def test_known_around(rows, parts):
 @pytest.mark.parametrize(("parts", "block"), [(1, 64), (8, 64), (8, 5)])
 def test_exponential_mean_equals_the_fold(rows, monkeypatch, parts, block):
     monkeypatch.setattr(scans, "BLOCK", block)
-    df, _ = rows
-    known = df.fillna(0.5, ["v"]).fillna("none", ["k"])
-    folded = {r["id"]: r["smooth"] for r in exponential(known.withColumnRenamed("k", "series"), 0.3).collect()}
+    df, made = rows
+    known = df.fillna(0.5, ["v"])
+    folded = {}
+    for key in by_key(made).values():
+        mean = None
+        for _, _, i, v in key:
+            v = 0.5 if v is None else v
+            mean = folded[i] = v if mean is None else 0.3 * v + 0.7 * mean
     scanned = scans.exponential_mean(known, ["k"], ["t", "id"], "v", 0.3, "smooth", "t", parts)
     assert {r["id"]: pytest.approx(r["smooth"], rel=1e-12) for r in scanned.collect()} == folded
     assert "Python" not in scanned._jdf.queryExecution().executedPlan().toString()
@@ -72,3 +76,31 @@ def test_empty(rows):
     assert scans.running_sums(none, ["k"], ["t"], ["v"], "t").count() == 0
     assert scans.known_around(none, ["k"], ["t"], "v", "t").count() == 0
     assert scans.exponential_mean(none, ["k"], ["t"], "v", 0.5, "x", "t").count() == 0
+
+
+def test_spam_flags_equal_a_search(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice([1, 1, 1, 2, 3]), r.choice([r.uniform(0, 900), float(r.randrange(0, 900, 60))]), r.choice(["gg", "gg", "hello there", "WOW GREAT", f"text {i}", "see https://x.y", "ok", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t double, message string")
+    found = {x["event_id"]: (x["n_near"], x["n_distinct"]) for x in detection.spam_flags(df).collect()}
+    for i, user, t, _ in rows:
+        near = [m for _, u, s, m in rows if u == user and abs(s - t) < 60]
+        assert found[i] == (len(near), len(set(near)))
+
+
+def test_streams_near_in_one_crowded_bucket(spark):
+    frames = spark.range(100_000).selectExpr("id AS frame_id", "id % 50 AS stream_id", "id / 1e6 AS t", "false AS is_keyframe")
+    found = states.streams_near(frames, "t", 0.2)
+    assert [tuple(x) for x in found.groupBy("n_near").count().collect()] == [(49, 100_000)]
+    joins = found._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.count("Join") == 1
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_streams_near_equal_a_search(spark, strict):
+    r = random.Random(2)
+    rows = [(i, r.randrange(6), r.choice([r.uniform(-5, 30), float(r.randrange(0, 30))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, stream_id long, t double")
+    found = {x["id"]: x["n_near"] for x in states.streams_near(df, "t", 1.0, strict).collect()}
+    for i, s, t in rows:
+        assert found[i] == len({o for _, o, u in rows if o != s and (abs(u - t) < 1 if strict else abs(u - t) <= 1)})
