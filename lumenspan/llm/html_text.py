@@ -7,24 +7,25 @@ page marks as something else (menus, headers, footers, sidebars, notices, advert
 forms, scripts, styles, reader comments) are stripped with their content and leave a
 gap of empty lines as wide as the window, so that the sums dive there. A class or id
 marks such a part only if it is a known name, alone or beside neutral words, and not
-if the element holds most of the text of the page, or of its article and main parts. If article or
-main parts hold most of a page's text outside links, only lines inside them count, and
-those made of links too; otherwise their borders are gaps, and the sums of their blocks
-count twice against the share. Of several blocks, those whose
+if the element holds most of the text of the page, or of its article and main parts. The
+borders of article and main parts are gaps, and the sums of their blocks count twice
+against the share; the sums choose among all blocks on every page. Of several blocks, those whose
 highest sum reaches a share of the page's highest are kept, and with them the lower
 blocks of the same text: those in the same box, those beyond an advert or the like in
 a box beside it, and those between kept ones. A line made of links only counts as
 empty in the sums, but is kept between kept lines.
 
 Defined results: a null or empty page has an empty text; unclosed elements end with
-their parent; unfinished references and tags at the end of a page are kept as text or
-dropped with the tag; whole pages are read whatever their length; repeated rows get
+their parent; an unfinished reference at the end of a page is kept as text, an unfinished tag is
+dropped with what follows, and a comment without an end takes the rest of the page; pages
+are read in time that grows with their length, broken ones too; whole pages are read whatever their length; repeated rows get
 equal texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -68,6 +69,39 @@ COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond"}
 FRAME = {"nav", "header", "footer", "menu", "navbar", "navigation", "foot", "masthead", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "toolbar", "banner", "contentinfo", "menubar"} | COMMENTS
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 SPACE = re.compile(r"\s+")
+TAG = re.compile(r"<[A-Za-z]")
+UNENDED = re.compile(r"<[A-Za-z/!?]")
+#: A start tag with its attributes, whose quotes end and which holds no further start of a tag outside quotes.
+WHOLE_TAG = re.compile(r"<[A-Za-z][^\s/>\"'<]*+(?:[^>\"'<]++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Characters in which a tag must end; longer ones are taken for text.
+LONGEST_TAG = 1 << 18
+
+
+def split_tags(html: str) -> str:
+    """The page with the start tags that don't end set apart: their quotes become marks of their own."""
+    out: list[str] = []
+    done = 0
+    for found in TAG.finditer(html):
+        at = found.start()
+        if at < done:
+            continue
+        whole = WHOLE_TAG.match(html, at, at + LONGEST_TAG)
+        if whole:
+            out.append(html[done : whole.end()])
+            done = whole.end()
+            continue
+        # Up to the next start of a tag: without an end of its own it is no tag.
+        following = TAG.search(html, at + 1)
+        stop = following.start() if following else len(html)
+        end = html.find(">", at, stop)
+        if end < 0:
+            out.append(html[done:at])
+            done = stop
+        else:
+            out.append(html[done:at] + html[at : end + 1].replace('"', "").replace("'", ""))
+            done = end + 1
+    out.append(html[done:])
+    return "".join(out)
 
 
 def marks_of(names: str) -> set[str]:
@@ -100,6 +134,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, left out, main part, named aside, box, part of the frame
+        self.open: Counter[str] = Counter()  # how many elements of a name are open
         self.out = self.main = self.links = 0
         self.asides: list[int] = []
         self.named: list[bool] = []  # of each named aside, whether it is one of reader comments
@@ -125,6 +160,7 @@ class Lines(HTMLParser):
 
     def pop(self) -> None:
         name, left_out, main, aside, box, wall = self.stack.pop()
+        self.open[name] -= 1
         if name in BLOCKS or left_out or main or aside:
             self.flush()
         self.out -= left_out
@@ -161,6 +197,8 @@ class Lines(HTMLParser):
         return [x for x in self.lines if all(stays[a] for a in x.asides) and not (x.gap >= 0 and stays[x.gap])]
 
     def close_to(self, names: set[str], stop: set[str]) -> None:
+        if not any(self.open[n] for n in names):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in names:
                 while len(self.stack) > i:
@@ -208,17 +246,22 @@ class Lines(HTMLParser):
             self.n_boxes += 1
             self.boxes.append(self.n_boxes)
         self.stack.append((tag, left_out, main, bool(names), box, wall))
+        self.open[tag] += 1
         self.out += left_out
         self.main += main
         self.links += tag == "a"
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        # Without an end it takes the rest, and no later one looks for the end again.
+        return super().parse_comment(i, report) if self.rawdata.find("-->", i) >= 0 else len(self.rawdata)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "br" or tag == "p" and all(x[0] != "p" for x in self.stack):
+        if tag == "br" or tag == "p" and not self.open["p"]:
             self.flush()
         elif tag not in VOID:
             barrier = {"article", "main", "body", "html"} if tag in ("p", "b", "i", "span", "a", "em", "strong") else set()
@@ -231,10 +274,16 @@ class Lines(HTMLParser):
                 self.plain += len(data.strip())
 
 
+def finished(html: str) -> str:
+    """The page without what follows its last bracket and starts a tag that never ends."""
+    cut = UNENDED.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 def page_lines(html: str) -> list[Line]:
     """The lines of a page, without those of its asides."""
     parser = Lines()
-    parser.feed(html)
+    parser.feed(split_tags(finished(html)))
     parser.close()
     while parser.stack:
         parser.pop()
@@ -292,12 +341,9 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     if not html:
         return ""
     lines = page_lines(html)
-    marked = 2 * sum(x.plain for x in lines if x.main) > sum(x.plain for x in lines)
-    if marked:
-        lines = [x if x.main or not x.text else x._replace(text="", plain=0) for x in lines]
-    elif any(x.main for x in lines):
+    if any(x.main for x in lines):
         lines = bordered(lines)
-    sizes = np.array([len(x.text) if marked else x.plain for x in lines], dtype=np.int64)
+    sizes = np.array([x.plain for x in lines], dtype=np.int64)
     if not sizes.any():
         return ""
     # sums[i]: letters of lines i to i + window - 1.
@@ -305,7 +351,7 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     surges = np.flatnonzero((sums > 0) & (np.concatenate(([0], sums[:-1])) == 0))
     dives = np.flatnonzero((sums > 0) & (np.concatenate((sums[1:], [0])) == 0))
     # The first sum above nothing already looks window - 1 lines ahead; lines of a main part count more.
-    high = [bool((BONUS if lines[b].main and not marked else 1) * sums[a : b + 1].max() >= share * sums.max()) for a, b in zip(surges, dives, strict=True)]
+    high = [bool((BONUS if lines[b].main else 1) * sums[a : b + 1].max() >= share * sums.max()) for a, b in zip(surges, dives, strict=True)]
     parts = [(int(a + np.flatnonzero(sizes[a : b + 1])[0]), int(b)) for a, b in zip(surges, dives, strict=True)]
     kept: list[str] = []
     end = None

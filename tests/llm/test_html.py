@@ -90,3 +90,58 @@ def test_distribution_alone_on_pages_without_marks(spark):
         a, b = (Counter(html_text.main_text(x).split()) for x in (row["html"], unmarked(row["html"])))
         both, right, found = both + sum((a & b).values()), right + sum(a.values()), found + sum(b.values())
     assert both > 0.99 * right and both > 0.94 * found
+
+
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    broken = {"starts": "<a " * 330_000, "quotes": '<p a="' * 160_000, "comments": "<!--" * 250_000, "closed at last": '<p a="' * 160_000 + ">", "crossed": "<b></i>" * 140_000, "ends": "<div></p>" * 110_000, "items": "<b><li>" * 140_000, "declarations": "<!x" * 300_000, "script": "<script>" + "</a" * 300_000}
+    for name, tail in broken.items():
+        began = time.time()
+        found = html_text.main_text("<article><p>a text of its own</p></article>" + tail)
+        assert found.startswith("a text of its own"), name
+        assert time.time() - began < 20, name
+
+
+def test_comment_marks_in_scripts_take_nothing():
+    page = "<body><script>var a = '<!--', b = \"<p \", c = 1 <d;</script><p>" + "The text goes on here. " * 9 + "</p><!-- no end <p>gone</p>"
+    assert html_text.main_text(page) == ("The text goes on here. " * 9).strip()
+
+
+def surges(sizes, window=3):
+    """Blocks of lines between surge and dive, by looking at every window."""
+    sums = [sum(sizes[i : i + window]) for i in range(len(sizes) - window + 1)]
+    out, start = [], None
+    for i, s in enumerate(sums + [0]):
+        if s and start is None:
+            start = i
+        if not s and start is not None:
+            held = [k for k in range(start, i) if sizes[k]]
+            out.append((held[0], held[-1], max(sums[start:i])))
+            start = None
+    return out
+
+
+def test_sums_choose_the_blocks():
+    """Boxes of lines with no telling tags: those whose highest sum reaches the share stay, as do those between them."""
+    import random
+
+    r = random.Random(3)
+    changed = 0
+    for _ in range(60):
+        blocks = [[r.choice([0, 1, 20, 90]) for _ in range(r.randint(1, 5))] for _ in range(r.randint(1, 5))]
+        html, lines = "", []
+        for k, block in enumerate(blocks):
+            html += f"<nav>m</nav><section><div>{''.join(f'<p>{chr(97 + k) * n}</p>' for n in block)}</div></section>"
+            lines += [0] * 6 + [n for n in block if n]
+        lines += [0] * 3
+        found = surges(lines)
+        top = max((s for *_, s in found), default=0)
+        high = [i for i, (*_, s) in enumerate(found) if s >= 0.25 * top]
+        kept = found[high[0] : high[-1] + 1] if high else []
+        order = [(chr(97 + k) * n) for k, block in enumerate(blocks) for n in block if n]
+        places = [i for i, n in enumerate(lines) if n]
+        text = " ".join(t for t, at in zip(order, places, strict=True) if any(a <= at <= b for a, b, _ in kept))
+        assert html_text.main_text("<body>" + html + "</body>") == text
+        changed += text != " ".join(order)
+    assert changed > 5
