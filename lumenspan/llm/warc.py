@@ -35,7 +35,7 @@ from itertools import islice
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm.common import fresh_path, materialize
@@ -52,8 +52,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Names that Hadoop and Arrow give to the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and store that Spark takes it to be in, so that tasks open the same one.
+
+    Without a scheme it lies in Spark's default file system, not in a task's own. A store
+    that the archives' reader doesn't know raises ``ValueError`` here rather than in a task.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    full = "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+    try:
+        open_system(full)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as error:
+        raise ValueError(f"archives can't be written to {full}") from error
+    return full
 
 
 # ---- records ------------------------------------------------------------------------
@@ -142,7 +163,7 @@ def _write_part(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Write one archive a task into ``folder`` (by default in the shared folder); the manifest (path, records)."""
-    folder = folder or fresh_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder or fresh_path(pages.sparkSession, "warc"))
     return materialize(with_first(pages, least).mapInArrow(partial(_write_part, folder), "path string, records long"), "warc-manifest")
 
 

@@ -102,3 +102,27 @@ def test_a_hot_payload_is_spread_over_archives(spark, tmp_path):
             spark.conf.set(f"spark.sql.{k}", v) if v is not None else spark.conf.unset(f"spark.sql.{k}")
     assert sum(r["records"] for r in manifest) == 1800
     assert max(r["records"] for r in manifest) < 600  # the hot payload's copies
+
+
+def test_folders_are_qualified(spark, tmp_path):
+    assert warc.qualified(spark, f"{tmp_path}/a") == f"file://{tmp_path}/a"
+    assert warc.qualified(spark, f"file:{tmp_path}/a") == f"file://{tmp_path}/a"
+    assert warc.qualified(spark, f"file://{tmp_path}/a") == f"file://{tmp_path}/a"
+    with pytest.raises(ValueError, match="can't be written"):
+        warc.qualified(spark, "webhdfs://localhost/a")
+
+
+def test_stores_have_the_reader_s_names(monkeypatch):
+    asked = []
+    monkeypatch.setattr(warc, "pafs", type("fs", (), {"FileSystem": type("FileSystem", (), {"from_uri": staticmethod(asked.append)})}))
+    for uri in ("s3a://bucket/a", "s3n://bucket/a", "s3://bucket/a", "file:///a", "hdfs://host/a"):
+        warc.open_system(uri)
+    assert asked == ["s3://bucket/a"] * 3 + ["file:///a", "hdfs://host/a"]
+
+
+def test_an_unqualified_folder_and_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a", "x" * 50, "s", 7), (2, "http://b", "x" * 50, "t", 8), (None, None, None, None, None)], "page_id long, url string, html string, sha_ string, first_ int")
+    manifest = warc.write_archives(pages, f"{tmp_path}/out")
+    assert all(r["path"].startswith(f"file://{tmp_path}/out/") for r in manifest.collect())
+    found = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_archives(manifest).collect())
+    assert found == [(0, "response", None), (1, "response", None), (2, "revisit", 1)]
