@@ -117,9 +117,9 @@ def _(s, d):
     return T.frames(s, d).where("stream_id = 4 AND t >= 300 AND t < 600").select("frame_id")
 
 
-@query("j12_frame_at", "SELECT arg_min(frame_id, {'d': abs(t - 1000), 'i': frame_id}) AS frame_id, stream_id FROM frames WHERE abs(t - 1000) <= 5 GROUP BY stream_id")
+@query("j12_frame_at", "SELECT arg_min(f.frame_id, {'d': abs(f.t - p.moment), 'i': f.frame_id}) AS frame_id, f.stream_id FROM frames f JOIN (SELECT stream_id, MIN(t) AS moment FROM detections WHERE score >= 0.9 GROUP BY stream_id) p ON p.stream_id = f.stream_id AND abs(f.t - p.moment) <= 5 GROUP BY f.stream_id")
 def _(s, d):
-    points = s.range(20).select(F.col("id").alias("stream_id"), F.lit(1000.0).alias("moment"))
+    points = T.detections(s, d).where("score >= 0.9").groupBy("stream_id").agg(F.min("t").alias("moment"))
     return M.nearest(points, T.frames(s, d).select("stream_id", "frame_id", "t"), ["stream_id"], ["stream_id"], "moment", "t", "frame_id", 5.0, ["frame_id"])
 
 

@@ -89,10 +89,10 @@ def _(s, d):
     return rounded(U.align_interpolated(T.detections(s, d)).select("stream_id", "moment", "modality", "score", "blended"), "moment", "score")
 
 
-@query("j11_nearest_frame", """SELECT p.moment, f.stream_id, arg_min(f.frame_id, {'d': abs(f.t - p.moment), 'i': f.frame_id}) AS frame_id FROM (SELECT UNNEST(range(0, 4000, 50))::DOUBLE AS moment) p JOIN frames f ON abs(f.t - p.moment) <= 10 GROUP BY p.moment, f.stream_id""")
+@query("j11_nearest_frame", """SELECT p.moment, f.stream_id, arg_min(f.frame_id, {'d': abs(f.t - p.moment), 'i': f.frame_id}) AS frame_id FROM (SELECT DISTINCT stream_id, floor(t / 50) * 50 AS moment FROM detections) p JOIN frames f ON f.stream_id = p.stream_id AND abs(f.t - p.moment) <= 10 GROUP BY p.moment, f.stream_id""")
 def _(s, d):
     frames = T.frames(s, d).select("stream_id", "frame_id", "t")
-    points = s.range(0, 4000, 50).select(F.col("id").cast("double").alias("moment"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("stream_id"))
+    points = T.detections(s, d).select("stream_id", (F.floor(F.col("t") / 50) * 50).cast("double").alias("moment")).distinct()
     return M.nearest(points, frames, ["stream_id"], ["moment", "stream_id"], "moment", "t", "frame_id", 10.0, ["frame_id"])
 
 

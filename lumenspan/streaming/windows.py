@@ -51,10 +51,14 @@ def retained(frames: DataFrame, now: Column, seconds: float = 300.0, more_for_ke
     """Frames that a buffer keeps: the oldest go while they are older than ``seconds`` (keyframes longer), the first that stays ends it, and ``fewest`` remain."""
     age = now - F.col("t")
     old = age > F.when(F.col("is_keyframe"), seconds + more_for_keyframes).otherwise(seconds)
-    order = Window.partitionBy("stream_id").orderBy("t", "frame_id")
-    stays = F.count_if(~old).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    left = F.count("*").over(Window.partitionBy("stream_id")) - F.row_number().over(order)
-    return frames.withColumn("stays_", (stays > 0) | (left < fewest)).where("stays_").drop("stays_")
+    # The place from which a stream is kept: its first frame that isn't old, or its last ones. Of each
+    # stream only so many rows of a task are sorted, and the places are joined back.
+    place = F.struct("t", "frame_id")
+    last = Window.partitionBy("stream_id").orderBy(F.desc("t"), F.desc("frame_id"))
+    final = frames.select("stream_id", "t", "frame_id").withColumn("nth_", F.row_number().over(last)).where(F.col("nth_") <= fewest)
+    fresh = frames.where(~old).select("stream_id", "t", "frame_id")
+    from_ = final.drop("nth_").unionByName(fresh).groupBy("stream_id").agg(F.min(place).alias("from_"))
+    return frames.join(from_, "stream_id").where(place >= F.col("from_")).select(frames.columns)
 
 
 def latest(df: DataFrame, key: str, order: str, payload: list[str]) -> DataFrame:

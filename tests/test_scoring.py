@@ -108,3 +108,33 @@ def test_reference_stream(spark):
     asked = [*rows, (4, 9, "hls", "epoch", None, 40, True), (5, 8, "flv", "epoch", 2.0, 50, True)]
     assert [x["stream_id"] for x in intake.registered(spark.createDataFrame(asked, schema)).where("is_reference").collect()] == [8]
     assert intake.registered(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_topics_find_planted_ones(spark):
+    from lumenspan.operators import content
+
+    r = random.Random(1)
+    fields = [["goal", "striker", "penalty", "keeper", "stadium"], ["boss", "dungeon", "loot", "raid", "healer"], ["guitar", "chorus", "melody", "drummer", "encore"]]
+    rows = [(i, " ".join(r.choice(fields[i % 3]) for _ in range(12))) for i in range(150)]
+    found = content.topics(spark.createDataFrame(rows, "id long, message string"), clusters=3).collect()
+    assert sum(t["n"] for t in found) == 150
+    for t in found:
+        own = [sum(any(w in k for w in f) for k in t["keywords"]) for f in fields]
+        assert max(own) >= 0.9 * len(t["keywords"])
+    assert sorted(t["n"] for t in found) == [50, 50, 50]
+
+
+def test_frames_kept_in_a_buffer(spark):
+    from lumenspan.streaming import windows
+
+    r = random.Random(2)
+    rows = [(s, i, r.uniform(0, 1000), r.random() < 0.2) for s in range(4) for i in range(1000 * s, 1000 * s + (3, 40, 90, 200)[s])]
+    df = spark.createDataFrame(rows, "stream_id long, frame_id long, t double, is_keyframe boolean")
+    wanted = set()
+    for s in range(4):
+        mine = sorted((x for x in rows if x[0] == s), key=lambda x: (x[2], x[1]))
+        while len(mine) > 50 and 1000 - mine[0][2] > (360 if mine[0][3] else 300):
+            mine.pop(0)
+        wanted |= {x[1] for x in mine}
+    assert {x["frame_id"] for x in windows.retained(df, F.lit(1000.0), fewest=50).collect()} == wanted
+    assert windows.retained(df.limit(0), F.lit(0.0)).count() == 0
