@@ -42,20 +42,27 @@ def merged_in_order(candidates: DataFrame, gap: float = 10.0) -> DataFrame:
 
 
 def merged_by_category(candidates: DataFrame, window: float = 5.0, least: float = 0.0) -> DataFrame:
-    """Close neighbours of one category merged, confidence becoming the running mean of two."""
+    """Close neighbours of one category merged, confidence becoming the running mean of two.
+
+    Nothing merges past a pause of more than ``window``, so each stretch between such pauses is walked by itself.
+    """
 
     def step(state, row):
         if state is not None and row["category"] == state["category"] and row["start_time"] - state["end_time"] <= window:
             return {**state, "end_time": max(state["end_time"], row["end_time"]), "confidence": (state["confidence"] + row["confidence"]) / 2, "n": state["n"] + 1}, []
         return {**row, "n": 1}, [] if state is None else [state]
 
-    kept = candidates.select("stream_id", "id", "category", "start_time", "end_time", "confidence")
+    kept = islands(candidates.select("stream_id", "id", "category", "start_time", "end_time", "confidence"), ["stream_id"], "start_time", "end_time", "id", window)
     schema = "stream_id long, id long, category string, start_time double, end_time double, confidence double, n long"
-    return fold_by(kept, ["stream_id"], ["start_time", "id"], step, schema, lambda s: [s]).where(F.col("confidence") >= least)
+    return fold_by(kept, ["stream_id", "island"], ["start_time", "id"], step, schema, lambda s: [s]).where(F.col("confidence") >= least)
 
 
 def temporal_clusters(candidates: DataFrame, least: float = 0.5) -> DataFrame:
-    """``cluster``: a candidate joins the open cluster if it overlaps enough with (start of its last member, its furthest end)."""
+    """``cluster``: a candidate joins the open cluster if it overlaps enough with (start of its last member, its furthest end).
+
+    One that starts after every end so far joins nothing, so each island of overlapping
+    candidates is walked by itself; its clusters are numbered behind those of the islands ahead.
+    """
 
     def step(state, row):
         if state is None:
@@ -67,8 +74,13 @@ def temporal_clusters(candidates: DataFrame, least: float = 0.5) -> DataFrame:
         end = max(state["end"], row["end_time"]) if joins else row["end_time"]
         return {"cluster": number, "start": row["start_time"], "end": end}, [{**row, "cluster": number}]
 
-    kept = candidates.select("stream_id", "id", "start_time", "end_time", "score", "confidence")
-    return fold_by(kept, ["stream_id"], ["start_time", "id"], step, "stream_id long, id long, start_time double, end_time double, score double, confidence double, cluster long")
+    kept = islands(candidates.select("stream_id", "id", "start_time", "end_time", "score", "confidence"), ["stream_id"], "start_time", "end_time", "id")
+    schema = "stream_id long, island long, id long, start_time double, end_time double, score double, confidence double, cluster long"
+    found = fold_by(kept, ["stream_id", "island"], ["start_time", "id"], step, schema)
+    counts = found.groupBy("stream_id", "island").agg((F.max("cluster") + 1).alias("n_"))
+    ahead = F.coalesce(F.sum("n_").over(Window.partitionBy("stream_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = found.join(counts.withColumn("ahead_", ahead).drop("n_"), ["stream_id", "island"])
+    return numbered.select("stream_id", "id", "start_time", "end_time", "score", "confidence", (F.col("cluster") + F.col("ahead_")).alias("cluster"))
 
 
 def feature_clusters(candidates: DataFrame, features: list[str], least: float = 0.8, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
