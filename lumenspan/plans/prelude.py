@@ -33,7 +33,7 @@ TABLES = {
     "batch_items": "SELECT l_orderkey AS batch_id, l_partkey AS item_id, l_linenumber AS line, CASE l_returnflag WHEN 'N' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'pending' END AS status FROM lineitem",
     "api_keys": """SELECT c_custkey AS id, c_custkey % 150 AS user_id, md5(c_name) AS key_hash, c_custkey % 9 <> 0 AS is_active, CASE WHEN c_custkey % 4 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((c_custkey % 60)::INTEGER) END AS expires_at,
       list_filter(['streams:read', CASE WHEN c_custkey % 2 = 0 THEN 'streams:write' END, CASE WHEN c_custkey % 3 = 0 THEN 'webhooks:read' END, CASE WHEN c_custkey % 10 = 0 THEN 'admin' END], lambda x: x IS NOT NULL) AS scopes FROM customer""",
-    "chat_texts": """SELECT ROW_NUMBER() OVER (ORDER BY kind, a NULLS FIRST, b NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth, text FROM (SELECT 0 AS kind, conv_id AS a, turn AS b, role, text FROM conversations UNION ALL SELECT 1, doc_id, 0, '', text FROM documents)""",
+    "chat_texts": """SELECT ROW_NUMBER() OVER (ORDER BY kind, a NULLS FIRST, b NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS nth, text FROM (SELECT 0 AS kind, conv_id AS a, turn AS b, role, text FROM conversations UNION ALL SELECT 1, doc_id, 0, '', text FROM documents)""",
     "chat_events": "SELECT ROW_NUMBER() OVER (ORDER BY event_id NULLS FIRST, ts NULLS FIRST) AS nth, * FROM ev",
     "chat_messages": f"""SELECT i AS event_id, user_id % 10 AS stream_id, user_id, CASE WHEN user_id % 50 = 0 THEN 'bot' ELSE 'user' END || user_id AS username, ts, {_T} AS t,
       COALESCE(text, '') || CASE WHEN i % 4 = 0 THEN ' ' || [{', '.join(f"'{p}'" for p in PHRASES)}][(i + k) % {len(PHRASES)} + 1] ELSE '' END AS message

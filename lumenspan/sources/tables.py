@@ -211,7 +211,9 @@ def chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of the conversations and every document as a whole, numbered from 1."""
     turns = read(spark, sf_dir, "conversations").select(F.lit(0).alias("kind"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), "role", "text")
     whole = read(spark, sf_dir, "documents").select(F.lit(1).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("role"), "text")
-    return running_sums(turns.unionByName(whole), [], ["kind", "a", "b", "role", "text"], [], "chat-texts").select("nth", "text")
+    # Ties are told apart by digests, so that the bounds of ranges hold no texts.
+    both = turns.unionByName(whole).withColumn("digest", F.md5("text"))
+    return running_sums(both, [], ["kind", "a", "b", "role", "digest"], [], "chat-texts").select("nth", "text")
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
