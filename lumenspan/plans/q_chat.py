@@ -168,8 +168,8 @@ _CATEGORIES = ("very_positive", "positive", "neutral", "negative", "very_negativ
 
 
 @query("d25_window_reports", f"""WITH {LEXICON}, w AS (SELECT stream_id, {_HOUR}, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, AVG(score) AS sentiment, AVG(len(list_filter({_list(X.EMOTES)}, lambda k: contains(message, k)))) AS emote_density, {', '.join(f"COUNT(*) FILTER (category = '{c}') AS {c}" for c in _CATEGORIES)} FROM named GROUP BY ALL)
-  SELECT stream_id, "window", n, users, ROUND(sentiment, 6) AS sentiment, ROUND(emote_density, 6) AS emote_density, {', '.join(_CATEGORIES)},
-    ROUND(LEAST(1, 0.4 * LEAST(1, n / 3600 / 50) + 0.3 * LEAST(1, (sentiment + 1) / 2 + 0.3 * hype / n) + 0.3 * LEAST(1, emote_density * 2)), 6) AS score FROM w""")
+  SELECT stream_id, "window", n, users, ROUND(sentiment, 6) + 0 AS sentiment, ROUND(emote_density, 6) + 0 AS emote_density, {', '.join(_CATEGORIES)},
+    ROUND(LEAST(1, 0.4 * LEAST(1, n / 3600 / 50) + 0.3 * LEAST(1, (sentiment + 1) / 2 + 0.3 * hype / n) + 0.3 * LEAST(1, emote_density * 2)), 6) + 0 AS score FROM w""")
 def _(s, d):
     return rounded(D.window_reports(T.chat_messages(s, d)), "sentiment", "emote_density", "score")
 
@@ -190,9 +190,9 @@ def _(s, d):
 
 
 @query("s20_velocities", """WITH per AS (SELECT stream_id, CAST(floor(t / 3600) AS BIGINT) AS w, COUNT(*) / 3600 AS rate FROM chat_messages GROUP BY ALL), a AS (SELECT *, COALESCE(rate - LAG(rate) OVER o, 0) AS acc, COALESCE(rate / AVG(rate) OVER (PARTITION BY stream_id ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS ratio FROM per WINDOW o AS (PARTITION BY stream_id ORDER BY w)),
-  b AS (SELECT *, COALESCE(acc - LAG(acc) OVER (PARTITION BY stream_id ORDER BY w), 0) AS jerk FROM a)
-  SELECT stream_id, w AS "window", ROUND(rate, 8) AS rate, ROUND(acc, 8) AS acceleration, ROUND(jerk, 8) AS jerk, ROUND(LEAST(1, GREATEST(0, (ratio - 1) / 4)), 6) AS intensity,
-    ROUND(LEAST(1, CASE WHEN ratio >= 2 AND LEAST(1, GREATEST(0, (ratio - 1) / 4)) >= 0.3 THEN 0.7 + 0.3 * LEAST(1, GREATEST(0, (ratio - 1) / 4)) ELSE LEAST(rate / 20, 0.5) END + CASE WHEN acc > 0 THEN LEAST(acc / 10, 0.2) ELSE 0 END), 6) AS score FROM b""")
+  b AS (SELECT *, COALESCE(acc - LAG(acc) OVER (PARTITION BY stream_id ORDER BY w), 0) + 0 AS jerk FROM a)
+  SELECT stream_id, w AS "window", ROUND(rate, 8) + 0 AS rate, ROUND(acc, 8) + 0 AS acceleration, ROUND(jerk, 8) + 0 AS jerk, ROUND(LEAST(1, GREATEST(0, (ratio - 1) / 4)), 6) + 0 AS intensity,
+    ROUND(LEAST(1, CASE WHEN ratio >= 2 AND LEAST(1, GREATEST(0, (ratio - 1) / 4)) >= 0.3 THEN 0.7 + 0.3 * LEAST(1, GREATEST(0, (ratio - 1) / 4)) ELSE LEAST(rate / 20, 0.5) END + CASE WHEN acc > 0 THEN LEAST(acc / 10, 0.2) ELSE 0 END), 6) + 0 AS score FROM b""")
 def _(s, d):
     found = D.velocities(T.chat_messages(s, d)).withColumn("score", D.velocity_score(F.col("rate"), F.col("acceleration"), F.col("spike"), F.col("intensity")))
     return rounded(rounded(found.drop("spike"), "rate", "acceleration", "jerk", digits=8), "intensity", "score")
