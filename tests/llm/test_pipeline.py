@@ -39,7 +39,7 @@ def test_run_equals_the_stages(spark, stages):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
