@@ -66,7 +66,8 @@ ALONE, IN_PAIRS = 16, 1024
 BLOCK = 256
 #: Bits of the map of a node's tokens, and rounds in which components propose one pair each.
 BITS, ROUNDS = 2048, 5
-SLICE = 256
+#: Texts, and tokens of a range, that are handled at a time.
+SLICE, COUNTED = 256, 1 << 19
 
 _LOW = np.uint64(0xFFFFFFFF)
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,6 +101,12 @@ def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.filter(pa.array([k == own for k, own in zip(keys, part.column(1).to_pylist(), strict=True)], pa.bool_())).select(["node", "text"])
 
 
+def _slices(texts: pa.ChunkedArray) -> Iterator[list[np.ndarray]]:
+    """The sets of a batch's texts, for a slice at a time, so that words and places of a slice only are held."""
+    for at in range(0, len(texts), SLICE):
+        yield shingle_sets(texts.slice(at, SLICE).to_pylist())
+
+
 def _places(tokens: np.ndarray, ranges: int) -> np.ndarray:
     """Range and place of tokens, as one number that sorts by range."""
     return (((tokens >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32)) | (tokens & _LOW)
@@ -107,8 +114,7 @@ def _places(tokens: np.ndarray, ranges: int) -> np.ndarray:
 
 def _count_batch(ranges: int, table: pa.Table) -> pa.Table:
     """The tokens of a batch and their counts, one row for each range."""
-    sets = shingle_sets(table.column("text").to_pylist())
-    places, counts = np.unique(_places(np.concatenate(sets), ranges), return_counts=True)
+    places, counts = np.unique(np.concatenate([_places(np.concatenate(sets), ranges) for sets in _slices(table.column("text"))]), return_counts=True)
     found, starts = np.unique(places >> np.uint64(32), return_index=True)
     ends = [*starts[1:], len(places)]
     tokens = (places & _LOW).astype(np.uint32)
@@ -124,13 +130,25 @@ def _count_batch(ranges: int, table: pa.Table) -> pa.Table:
 
 
 def _level_range(table: pa.Table) -> pa.Table:
-    """The levels of a range's tokens, for each batch in the order it sent them."""
-    tokens = [np.frombuffer(b, np.uint32) for b in table.column("tokens").to_pylist()]
-    counts = [np.frombuffer(zlib.decompress(b), np.uint32) for b in table.column("counts").to_pylist()]
-    _, which = np.unique(np.concatenate(tokens), return_inverse=True)
-    levels = level(np.bincount(which, weights=np.concatenate(counts)))[which]
-    cuts = np.cumsum([len(t) for t in tokens])[:-1]
-    return pa.table({"batch": table.column("batch"), "range": table.column("range"), "levels": pa.array([zlib.compress(part.tobytes(), 1) for part in np.split(levels, cuts)], pa.binary())})
+    """The levels of a range's tokens, for each batch in the order it sent them, which is theirs by value.
+
+    Some COUNTED tokens are counted at a time: those between two values, of all batches.
+    """
+    tokens = [np.frombuffer(b.as_buffer(), np.uint32) for b in table.column("tokens")]
+    counts = [np.frombuffer(zlib.decompress(b.as_buffer()), np.uint32) for b in table.column("counts")]
+    levels = [np.empty(len(t), np.uint8) for t in tokens]
+    parts = math.ceil(sum(map(len, tokens)) / COUNTED)
+    limits = (np.arange(1, parts, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(parts)).astype(np.uint32)
+    cuts = [[0, *np.searchsorted(t, limits), len(t)] for t in tokens]
+    for k in range(parts):
+        within = [slice(c[k], c[k + 1]) for c in cuts]
+        _, which = np.unique(np.concatenate([t[w] for t, w in zip(tokens, within, strict=True)]), return_inverse=True)
+        found = level(np.bincount(which, weights=np.concatenate([n[w] for n, w in zip(counts, within, strict=True)])))[which]
+        at = 0
+        for own, w in zip(levels, within, strict=True):
+            own[w] = found[at : at + w.stop - w.start]
+            at += w.stop - w.start
+    return pa.table({"batch": table.column("batch"), "range": table.column("range"), "levels": pa.array([zlib.compress(own, 1) for own in levels], pa.binary())})
 
 
 def groups(size_class: int, percent: int) -> tuple[int, int]:
@@ -206,7 +224,7 @@ def _index_batch(ranges: int, percent: int, nodes: pa.Table, levels: pa.Table) -
     """Rows (node, n, own, bits, entries) of a batch, for nodes that have entries."""
     out: list[tuple] = []
     if nodes.num_rows:
-        sets = shingle_sets(nodes.column("text").to_pylist())
+        sets = [s for part in _slices(nodes.column("text")) for s in part]
         places = _places(np.concatenate(sets), ranges)
         _, which = np.unique(places, return_inverse=True)
         by_range = sorted(zip(levels.column("range").to_pylist(), levels.column("levels").to_pylist(), strict=True))
@@ -314,10 +332,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
     # Written first, so that ids stay and Spark can split the join on a hot set.
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
-    first = docs.select(F.col("doc_id").alias("class_id"), "text").join(classes.select("class_id", "node", "set_key"), "class_id")
-    texts = first.select("node", "set_key", "text").mapInArrow(_own_sets, "node long, text string")
-    if named.count() > named.select("doc_id").distinct().count():
-        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(classes.select("class_id", "node", "set_key"), "class_id").select("node", "set_key", "text")
+    ids = sketches.where("doc_id IS NOT NULL").select("doc_id")
+    if ids.count() > ids.distinct().count():  # else the one row of a class's id has its set
+        texts = texts.mapInArrow(_own_sets, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+    texts = texts.select("node", "text")
     texts = materialize(texts, "ngram-texts")
     sums = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     indexed = materialize(index(texts, *sums, percent), "ngram-index")

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,3 +124,58 @@ def test_bitmaps_never_bound_too_low(seed, n):
     x, y = (r.permutation(universe)[:n] for _ in range(2))
     a, b = (np.frombuffer(ngram_join.bitmap(t), np.uint64) for t in (x, y))
     assert len(np.intersect1d(x, y)) <= len(x) - int(np.bitwise_count(a & ~b).sum())
+
+
+def test_unique_ids_need_no_second_look_at_their_texts(docs, monkeypatch):
+    """Only of rows that repeat an id may one have another set than the class it stands for; empty rows count too."""
+    rows = near_copies(4)
+    expected = brute([(i, t) for i, (_, t) in enumerate(rows)], 80)
+
+    def refused(batches):
+        raise AssertionError("texts were looked at again")
+
+    looked = ngram_join._own_sets
+    monkeypatch.setattr(ngram_join, "_own_sets", refused)
+    assert found(docs(*((i, t) for i, (_, t) in enumerate(rows)))) == expected
+    monkeypatch.setattr(ngram_join, "_own_sets", looked)
+    repeated = [(i, t) for i, (_, t) in enumerate(rows)] + [(0, None), (1, " ")]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(*repeated)).collect()]
+    assert sorted(got) == sorted([(i, n, c) for i, (n, c) in expected.items()] + [(0, 0, 0), (1, 0, 1)])
+
+
+def test_a_range_is_counted_in_slices():
+    """Levels as if all were counted at once, in little more memory than the tokens, counts and levels themselves."""
+    r = np.random.default_rng(5)
+    tokens = [np.unique(r.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)) for n in [60_000] * 30 + [1, 0, 7]]
+    tokens += [np.sort(r.permutation(t)[: len(t) // 2]) for t in tokens]
+    counts = [r.integers(1, 9, len(t)).astype(np.uint32) for t in tokens]
+    sent = pa.table(
+        {
+            "batch": list(range(len(tokens))),
+            "range": [3] * len(tokens),
+            "tokens": pa.array([t.tobytes() for t in tokens], pa.binary()),
+            "counts": pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary()),
+        }
+    )
+    tracemalloc.start()
+    got = ngram_join._level_range(sent)
+    held = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    values, which = np.unique(np.concatenate(tokens), return_inverse=True)
+    levels = ngram_join.level(np.bincount(which, weights=np.concatenate(counts)))[which]
+    assert got.column("batch").to_pylist() == list(range(len(tokens)))
+    assert b"".join(zlib.decompress(b) for b in got.column("levels").to_pylist()) == levels.tobytes()
+    assert held < 60
+
+
+def test_sets_of_a_batch_are_made_in_slices(monkeypatch):
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 100_000, 500)) for _ in range(2500)]
+    places, counts = np.unique(ngram_join._places(np.concatenate(ngram_join.shingle_sets(texts)), 4), return_counts=True)
+    made, make = [], ngram_join.shingle_sets
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda t: made.append(len(t)) or make(t))
+    got = ngram_join._count_batch(4, pa.table({"batch": pa.array([5] * len(texts), pa.int64()), "text": texts}))
+    assert sum(made) == len(texts) and max(made) == ngram_join.SLICE
+    assert got.column("range").to_pylist() == [0, 1, 2, 3]
+    assert b"".join(got.column("tokens").to_pylist()) == places.astype(np.uint32).tobytes()
+    assert b"".join(zlib.decompress(b) for b in got.column("counts").to_pylist()) == counts.astype(np.uint32).tobytes()
