@@ -276,8 +276,9 @@ def refine_by_context(candidates: DataFrame, width: float = 60.0, blend: float =
     own = candidates.withColumn("mid", mid)
     other = own.select("stream_id", F.col("id").alias("other_id"), F.col("mid").alias("other_mid"), F.col("score").alias("other_score"))
     pairs = band_join(own, other, ["stream_id"], "mid", "other_mid", width).where("id <> other_id")
-    weight = 1 / (1 + F.abs(F.col("mid") - F.col("other_mid")) / 10)
-    context = pairs.groupBy("id").agg((F.sum(weight * F.col("other_score")) / F.sum(weight)).alias("context"), F.var_pop("other_score").alias("spread"), F.count("*").alias("n_near"))
+    # Divided, not multiplied by a rounded weight: where all scores are equal, so are the digits of SQL's mean.
+    away = 1 + F.abs(F.col("mid") - F.col("other_mid")) / 10
+    context = pairs.groupBy("id").agg((F.sum(F.col("other_score") / away) / F.sum(1 / away)).alias("context"), F.var_pop("other_score").alias("spread"), F.count("*").alias("n_near"))
     joined = own.join(context, "id", "left")
     return joined.withColumn("refined", F.coalesce((1 - blend) * F.col("score") + blend * F.col("context"), "score")).withColumn("agreement", 1 - F.least(F.lit(1.0), F.coalesce("spread", F.lit(0.0)))).withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
@@ -327,9 +328,12 @@ def smoothed_candidates(candidates: DataFrame, width: float = 10.0, strength: fl
 def boosted_confidence(confidence: Column, scores: Column, factor: float = 1.1) -> Column:
     """More where the modalities' scores (an array) agree; a little more for a single one."""
     n = F.size(scores)
-    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(scores, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.least(F.lit(1.0), confidence * F.when(n > 1, 1 + (1 - F.least(F.lit(1.0), spread)) * (factor - 1)).otherwise(1.05))
+    # Mean and squares in one pass, as var_pop does; the gain without the noise of 1.1 - 1.
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    moved = lambda a, x: a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+    seen = F.aggregate(scores, start, lambda a, x: F.struct((a["n"] + 1).alias("n"), moved(a, x).alias("mean"), (a["squares"] + (x - a["mean"]) * (x - moved(a, x))).alias("squares")))
+    spread = seen["squares"] / n
+    return F.least(F.lit(1.0), confidence * F.when(n > 1, 1 + (1 - F.least(F.lit(1.0), spread)) * round(factor - 1, 12)).otherwise(1.05))
 
 
 def adaptive_scores(candidates: DataFrame, scores: Column, most: float = 0.2) -> DataFrame:
