@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenspan.operators.series import moving_average, time_correlation
-from lumenspan.operators.temporal import band_join, islands, nearest, neighbours
+from lumenspan.operators.temporal import band_join, islands, neighbours
 
 MODALITIES = ("video", "audio", "chat")
 CORE = ("video", "audio")
@@ -32,9 +32,37 @@ def align_strict(detections: DataFrame, width: float = 0.1) -> DataFrame:
     return first.select("stream_id", "moment", "modality", "x.seq", "x.score", "x.confidence")
 
 
+def aligned_wide(detections: DataFrame, width: float = 5.0) -> DataFrame:
+    """Per time of a stream the nearest observation of each modality within ``width``, as structs (seq, score, confidence); the earlier-listed wins ties.
+
+    The nearest one is the last up to the time or the first after it, in the bucket of
+    ``width`` seconds or at the edge of the next ones; no pairs are made.
+    """
+    best = lambda m: F.min(F.when(F.col("modality") == m, F.struct("seq", "score", "confidence"))).alias(m)
+    moments = detections.where("stream_id IS NOT NULL AND t IS NOT NULL").groupBy("stream_id", F.col("t").alias("moment")).agg(*[best(m) for m in MODALITIES])
+    placed = moments.withColumn("bucket_", F.floor(F.col("moment") / width).cast("long"))
+    seen = {m: F.when(F.col(m).isNotNull(), F.struct("moment", m)) for m in MODALITIES}
+    ends = placed.groupBy("stream_id", "bucket_").agg(*[f(x).alias(f"{n}_{m}_") for m, x in seen.items() for n, f in (("last", F.max), ("first", F.min))])
+    beside = lambda side, k: ends.select("stream_id", (F.col("bucket_") + k).alias("bucket_"), *[F.col(f"{side}_{m}_") for m in MODALITIES])
+    full = placed.join(beside("last", 1), ["stream_id", "bucket_"], "left").join(beside("first", -1), ["stream_id", "bucket_"], "left")
+    order = Window.partitionBy("stream_id", "bucket_").orderBy("moment")
+    before, after = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("stream_id", "bucket_").orderBy(F.desc("moment")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def nearest_of(m: str) -> Column:
+        sides = (F.coalesce(F.last(seen[m], ignorenulls=True).over(before), f"last_{m}_"), F.coalesce(F.last(seen[m], ignorenulls=True).over(after), f"first_{m}_"))
+        away = [F.abs(F.col("moment") - x["moment"]) for x in sides]
+        # Null where there is none, so that the least of both skips it.
+        return F.least(*[F.when(d <= width, F.struct(d.alias("apart"), x[m]["seq"].alias("seq"), x[m]["score"].alias("score"), x[m]["confidence"].alias("confidence"))) for d, x in zip(away, sides, strict=True)])
+
+    found = full.select("stream_id", "moment", *[nearest_of(m).alias(m) for m in MODALITIES])
+    return found.select("stream_id", "moment", *[F.when(F.col(m).isNotNull(), F.col(m).dropFields("apart")).alias(m) for m in MODALITIES])
+
+
 def align_window(detections: DataFrame, width: float = 5.0) -> DataFrame:
     """Per time and modality the nearest observation within ``width``; the earlier-listed wins ties."""
-    return nearest(grid_of(detections), detections, ["stream_id", "modality"], ["stream_id", "moment", "modality"], "moment", "t", "seq", width, ["seq", "score", "confidence"])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("modality"), F.col(m).alias("x")) for m in MODALITIES])).alias("y")
+    found = aligned_wide(detections, width).select("stream_id", "moment", each).where("y.x IS NOT NULL")
+    return found.select("stream_id", "moment", "y.modality", "y.x.seq", "y.x.score", "y.x.confidence")
 
 
 def interpolated(detections: DataFrame, most: float = 10.0) -> DataFrame:
@@ -73,6 +101,11 @@ def pivoted(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy("stream_id", "moment").agg(*[pick(m, c) for m in MODALITIES for c in ("score", "confidence")])
 
 
+def pivoted_window(detections: DataFrame, width: float = 5.0) -> DataFrame:
+    """``pivoted(align_window(detections, width))`` without a shuffle of its own."""
+    return aligned_wide(detections, width).select("stream_id", "moment", *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in MODALITIES for c in ("score", "confidence")])
+
+
 def _present(m: str, least: float) -> Column:
     return F.col(f"{m}_score").isNotNull() & (F.col(f"{m}_confidence") >= least)
 
@@ -137,10 +170,8 @@ NORMALIZED = {m: WEIGHTS[m] / sum(WEIGHTS[c] for c in CORE) if m in CORE else WE
 
 def combined_correlations(wide: DataFrame, width: float = 30.0) -> DataFrame:
     """Per stream and pair the mean of the scores' correlation and of the first one's with time; 0 under three times or where undefined."""
-    rows = None
-    for a, b in PAIRS:
-        some = wide.where(F.col(f"{a}_score").isNotNull() & F.col(f"{b}_score").isNotNull()).select("stream_id", F.lit(f"{a}_{b}").alias("pair"), F.col("moment").alias("t"), F.col(f"{a}_score").alias("v"), F.col(f"{b}_score").alias("w"))
-        rows = some if rows is None else rows.unionByName(some)
+    some = [F.struct(F.lit(f"{a}_{b}").alias("pair"), F.col(f"{a}_score").alias("v"), F.col(f"{b}_score").alias("w")) for a, b in PAIRS]
+    rows = wide.select("stream_id", F.col("moment").alias("t"), F.explode(F.array(*some)).alias("x")).select("stream_id", "x.pair", "t", "x.v", "x.w").where("v IS NOT NULL AND w IS NOT NULL")
     pearson = F.try_divide(F.covar_pop("v", "w"), F.stddev_pop("v") * F.stddev_pop("w"))
     between = rows.groupBy("stream_id", "pair").agg(F.when(F.count("*") >= 3, pearson).alias("r"))
     joined = between.join(time_correlation(rows, width, ("stream_id", "pair")), ["stream_id", "pair"], "left")

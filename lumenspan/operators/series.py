@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from lumenspan.operators.scans import exponential_mean
 from lumenspan.operators.temporal import band_join
@@ -39,11 +39,45 @@ def exponential(series: DataFrame, alpha: float) -> DataFrame:
     return exponential_mean(series.select("series", "id", "t", "v"), ["series"], ["t", "id"], "v", alpha, "smooth", "exponential")
 
 
+def _moments(t: Column, v: Column, over: WindowSpec) -> Column:
+    """Struct of number, means, variances, covariance and ends of the pairs (t, v) in a window; pairs with a null are left out."""
+    t, v = F.when(v.isNotNull(), t), F.when(t.isNotNull(), v)
+    found = {"n": F.count(v), "mt": F.avg(t), "mv": F.avg(v), "vt": F.var_pop(t), "vv": F.var_pop(v), "tv": F.covar_pop(t, v), "t0": F.min(t), "t1": F.max(t), "v0": F.min(v), "v1": F.max(v)}
+    return F.struct(*[x.over(over).alias(n) for n, x in found.items()])
+
+
+def _joint_correlation(a: Column, b: Column) -> Column:
+    """Correlation over two sets of pairs together, from their moments; 0 where a value never changes or nothing is known."""
+    n, m = a["n"], b["n"]
+    each = lambda x, k: F.when(k > 0, k * x).otherwise(0.0)
+    apart = lambda p, q: F.when((n > 0) & (m > 0), (b[p] - a[p]) * (b[q] - a[q]) * (n * m / (n + m))).otherwise(0.0)
+    joint = lambda x, p, q: each(a[x], n) + each(b[x], m) + apart(p, q)
+    still = (F.least(a["v0"], b["v0"]) == F.greatest(a["v1"], b["v1"])) | (F.least(a["t0"], b["t0"]) == F.greatest(a["t1"], b["t1"]))
+    found = F.try_divide(joint("tv", "mt", "mv"), F.sqrt(joint("vt", "mt", "mt")) * F.sqrt(joint("vv", "mv", "mv")))
+    return F.when(still, 0.0).otherwise(F.coalesce(found, F.lit(0.0)))
+
+
 def time_correlation(series: DataFrame, width: float = 30.0, keys: tuple[str, ...] = ("series",)) -> DataFrame:
-    """Per series the mean absolute correlation of value and time over the windows that start at each row."""
-    frame = f"(PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN CURRENT ROW AND CAST({width} AS DOUBLE) FOLLOWING)"
-    local = series.select(*keys, F.expr(f"count(*) OVER {frame}").alias("n"), F.abs(F.expr(f"try_divide(covar_pop(t, v) OVER {frame}, (stddev_pop(t) OVER {frame}) * (stddev_pop(v) OVER {frame}))")).alias("c"))
-    return local.where("n >= 3").groupBy(*keys).agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("correlation"))
+    """Per series the mean absolute correlation of value and time over the windows that start at each row.
+
+    Time is cut into buckets of the width. A window is the rest of its start's bucket and
+    the beginning of the next; moments run on along both and are put together, so the work
+    does not grow with the rows in a window, and a series is spread over its buckets.
+    """
+    bucket = F.floor(F.col("t") / width).cast("long")
+    # Each row is a start beside its bucket, at the end of its window, and goes on the bucket before.
+    place = lambda starts, k, at: F.struct(F.lit(starts).alias("starts_"), (bucket + k).alias("bucket_"), at.alias("at_"))
+    rows = series.select(*keys, "t", "v", F.explode(F.array(place(True, 0, F.col("t") + width), place(False, -1, F.col("t") + 0.0))).alias("x")).select(*keys, "t", "v", "x.*").where("starts_ OR t IS NOT NULL")
+    beside = Window.partitionBy(*keys, "bucket_")
+    rest = beside.orderBy(F.desc("at_")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = beside.orderBy("at_").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    starts, t, v = F.col("starts_"), F.col("t"), F.col("v").cast("double")
+    local = rows.select(
+        *keys, "starts_", (F.count_if(starts).over(rest) + F.count_if(~starts).over(begun)).alias("n"),
+        _moments(F.when(starts, t), F.when(starts, v), rest).alias("a"), _moments(F.when(~starts, t), F.when(~starts, v), begun).alias("b"),
+    )
+    found = local.where("starts_ AND n >= 3").withColumn("c", F.abs(_joint_correlation(F.col("a"), F.col("b"))))
+    return found.groupBy(*keys).agg(F.avg("c").alias("correlation"))
 
 
 def _smoothing_matrix(n: int) -> np.ndarray:

@@ -11,6 +11,7 @@ from lumenspan.operators import series as S
 from lumenspan.plans.prelude import with_tables
 from lumenspan.plans.q_temporal import CAND, GRID, SER, WIDE, WINDOWED, candidates, rounded, series
 from lumenspan.sources import tables as T
+from lumenspan.sources.shared import written
 
 QUERIES, SQL = {}, {}
 
@@ -33,7 +34,8 @@ def settled(name):
 
 
 def _wide(s, d):
-    return U.pivoted(U.align_window(T.detections(s, d)))
+    # Written, as the correlations and the fusion that uses them both read it.
+    return written(U.pivoted_window(T.detections(s, d)), "aligned")
 
 
 # ---- correlations and adapted weights -----------------------------------------------------
