@@ -81,13 +81,20 @@ def reset_windows(messages: DataFrame, seconds: float = 30.0) -> DataFrame:
     return found.groupBy("stream_id", F.col("opened").alias("start_time")).agg(F.max("t").alias("end_time"), F.count("*").alias("n"))
 
 
-def window_measures(messages: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """Per window what the excitement scores need: counts, users, balance of users, sentiment, words and emojis of the useful messages."""
+def measured_texts(texts: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept`` and what windows need of each ``message``: whether it is long enough with little spam (``fit``), sentiment, excited words, emojis."""
     text = F.col("message")
-    slim = messages.select(
-        "stream_id", "t", "event_id", "user_id", is_useful().alias("useful"), X.word_sentiment(text).alias("sentiment"),
-        F.size(X.excited_words(text)).alias("n_excited"), X.emoji_count(text).alias("n_emoji"),
-    )
+    fit = (F.length(text) >= SHORTEST) & (X.spam_score(text) <= MOST_SPAM)
+    return texts.select(*kept, fit.alias("fit"), X.word_sentiment(text).alias("sentiment"), F.size(X.excited_words(text)).alias("n_excited"), X.emoji_count(text).alias("n_emoji"))
+
+
+def window_measures(messages: DataFrame, seconds: float = 30.0) -> DataFrame:
+    """Per window what the excitement scores need: counts, users, balance of users, sentiment, words and emojis of the useful messages.
+
+    Messages may come with the columns of ``measured_texts`` instead of their text.
+    """
+    known = messages if "fit" in messages.columns else measured_texts(messages, *messages.columns)
+    slim = known.select("stream_id", "t", "event_id", "user_id", (F.col("fit") & ~X.is_bot(F.col("username"))).alias("useful"), "sentiment", "n_excited", "n_emoji")
     of_window = ["stream_id", "opened"]
     useful = F.col("useful")
     per_user = windowed(slim, seconds).groupBy(*of_window, "user_id").agg(

@@ -108,8 +108,11 @@ _MOST = f"GREATEST({', '.join(X.EMOTIONS)})"
 
 @query("h15_emotions", f"WITH {_EMO} SELECT event_id, {', '.join(f'ROUND({e}, 6) AS {e}' for e in X.EMOTIONS)}, CASE WHEN {_MOST} = 0 THEN 'neutral' {' '.join(f"WHEN {e} = {_MOST} THEN '{e}'" for e in X.EMOTIONS)} END AS primary_emotion FROM emo")
 def _(s, d):
-    found = T.chat_messages(s, d).select("event_id", X.emotions(F.col("message")).alias("x"))
-    return found.select("event_id", *[F.round(F.col("x")[e], 6).alias(e) for e in X.EMOTIONS], X.primary_emotion(F.col("x")).alias("primary_emotion"))
+    sent, texts = T.chat_parts(s, d)
+    words = texts.select("message_id", X.emotion_words(F.col("message")).alias("words"))
+    found = words.select("message_id", X.emotions_of(F.col("words")).alias("x"))
+    told = found.select("message_id", *[F.round(F.col("x")[e], 6).alias(e) for e in X.EMOTIONS], X.primary_emotion(F.col("x")).alias("primary_emotion"))
+    return sent.select("event_id", "message_id").join(told, "message_id").drop("message_id")
 
 
 @query("h16_keywords", f"""WITH words AS (SELECT stream_id, UNNEST(list_filter({TOK}, lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains({_list(X.STOP)}, w))) AS word FROM chat_messages)
@@ -131,8 +134,10 @@ def _(s, d):
 @query("h20_message_analysis", f"WITH {SCORED}, {LEXICON}, {_EMO} SELECT event_id, ROUND(n.score, 6) AS score, n.category, CASE WHEN {_MOST} = 0 THEN 'neutral' {' '.join(f"WHEN {e} = {_MOST} THEN '{e}'" for e in X.EMOTIONS)} END AS emotion, CAST(len({TOK.replace('message', 's.message')}) AS INTEGER) AS n_words, ROUND(s.toxicity, 6) AS toxicity FROM scored s JOIN named n USING (event_id) JOIN emo USING (event_id)")
 def _(s, d):
     text, x = F.col("message"), F.col("x")
-    found = T.chat_messages(s, d).withColumn("x", X.lexicon_sentiment(text)).withColumn("e", X.emotions(text))
-    return found.select("event_id", F.round(x["score"], 6).alias("score"), X.sentiment_category(x["score"], x["hype"]).alias("category"), X.primary_emotion(F.col("e")).alias("emotion"), F.size(X.tokens(text)).alias("n_words"), F.round(X.toxicity(text), 6).alias("toxicity"))
+    sent, texts = T.chat_parts(s, d)
+    found = texts.withColumn("x", X.lexicon_sentiment(text)).withColumn("e", X.emotions(text))
+    told = found.select("message_id", F.round(x["score"], 6).alias("score"), X.sentiment_category(x["score"], x["hype"]).alias("category"), X.primary_emotion(F.col("e")).alias("emotion"), F.size(X.tokens(text)).alias("n_words"), F.round(X.toxicity(text), 6).alias("toxicity"))
+    return sent.select("event_id", "message_id").join(told, "message_id").drop("message_id")
 
 
 @query("h21_emotes", f"SELECT event_id, array_to_string(list_filter({_list(X.EMOTES)}, lambda k: contains(message, k)), ',') AS emotes FROM chat_messages")
@@ -250,8 +255,14 @@ WINDOWS = f"""{RESET}, {SCORED}, placed AS (SELECT c.*, w.opened FROM walk w JOI
     LEAST(1, ({_SIG('words * 5')} + 1.5 * {_SIG('emojis * 2')}) / 2) AS keyword_emoji FROM (SELECT o.*, n / len AS rate, (n / len) / GREATEST(0.1, rate0) AS ratio, (users / len) / GREATEST(1, users0 / 60) AS users_ratio FROM ordered o JOIN base USING (stream_id, nth)))"""
 
 
+def _measured(s, d):
+    """Messages with what windows need, measured once on each different text."""
+    sent, texts = T.chat_parts(s, d)
+    return sent.join(D.measured_texts(texts, "message_id"), "message_id")
+
+
 def _windows(s, d):
-    return D.with_excitement(D.with_baselines(D.window_measures(T.chat_messages(s, d), 1800.0)))
+    return D.with_excitement(D.with_baselines(D.window_measures(_measured(s, d), 1800.0)))
 
 
 @query("w13_frequency_spikes", f"WITH RECURSIVE {WINDOWS} SELECT stream_id, ROUND(opened, 3) AS start_time, n, ROUND(rate, 6) AS rate, ROUND(ratio, 4) AS ratio, ROUND(frequency, 6) AS frequency FROM excited")
@@ -285,5 +296,5 @@ _MEAN = f"(({' + '.join(_PARTS)}) / 4)"
 @query("g27_chat_detector", f"""WITH RECURSIVE {WINDOWS}, found AS (SELECT stream_id, opened, LEAST(1, ({' + '.join(f'{w} * {p}' for p, w in D.CHAT_WEIGHTS.items())}) * (1 + 0.1 * LEAST(1, users_all / 100))) AS score, 1 - ({' + '.join(f'abs({p} - {_MEAN})' for p in _PARTS)}) / 4 AS confidence FROM excited)
   SELECT stream_id, ROUND(opened, 3) AS start_time, ROUND(score, 6) AS score, ROUND(confidence, 6) AS confidence FROM found WHERE score >= 0.1 AND confidence >= 0.1""")
 def _(s, d):
-    found = D.chat_highlights(T.chat_messages(s, d), 1800.0)
+    found = D.chat_highlights(_measured(s, d), 1800.0)
     return rounded(found.select("stream_id", F.round("start_time", 3).alias("start_time"), "score", "confidence"), "score", "confidence")
